@@ -7,10 +7,86 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from foliant.llm import packing, simhash
+from foliant.llm import embeddings, mixing, packing, simhash, url_filter
 from foliant.llm.common import read
 
 
+def op2_embedding_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return embeddings.near_duplicates(read(spark, sf_dir, "embeddings"), threshold=0.98)
+
+
+def op5_source_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Sources at the square root of their size, one epoch's worth of rows in all."""
+    return mixing.mix(read(spark, sf_dir, "documents"), temperature=0.5, epochs=1.0, seed=17)
+
+
+OP5_SQL = """
+WITH counts AS (SELECT source, count(*) AS n FROM documents GROUP BY source),
+rates AS (
+  SELECT source, round(sqrt(n) / sum(sqrt(n)) OVER () * sum(n) OVER () * 1.0 / n, 9) AS rate FROM counts),
+steps AS (
+  SELECT source, rate, unnest(range(0, CAST(ceil(rate + 10 * sqrt(rate) + 20) AS BIGINT) + 1)) AS k FROM rates),
+cdf AS (
+  SELECT source, round(sum(exp(-rate + k * ln(rate) - lgamma(k + 1))) OVER (PARTITION BY source ORDER BY k), 12) AS c FROM steps),
+drawn AS (
+  SELECT *, CAST(('0x' || substr(md5('17:' || doc_id), 1, 13)) AS BIGINT)::DOUBLE / 4503599627370496 AS u FROM documents),
+counted AS (
+  SELECT d.doc_id, d.text, d.lang, d.source, d.n_chars, count(*) AS n
+  FROM drawn d JOIN cdf ON cdf.source IS NOT DISTINCT FROM d.source AND cdf.c <= d.u
+  GROUP BY ALL),
+copies AS (SELECT doc_id, text, lang, source, n_chars, CAST(unnest(range(1, n + 1)) AS INTEGER) AS copy_no FROM counted)
+SELECT *, md5('17:' || doc_id || ':' || copy_no) AS shuffle_key FROM copies
+"""
+
+#: When each page was fetched, and the dated list, are derived from the tables at hand: minutes from the
+#: page's id, and up to four entries a host from its digest. Both engines read the same expressions.
+FETCHED = "timestamp_seconds(1704067200 + 60 * ((page_id * 7919) % 525600))"
+ENTRIES = """
+SELECT CASE WHEN h % 3 = 0 AND host LIKE '%.%.%' THEN regexp_replace(host, '^[^.]+[.]', '') ELSE host END AS pattern,
+       CASE WHEN h % 2 = 0 THEN 'adult' ELSE 'spam' END AS category,
+       CASE WHEN step % 2 = 0 THEN 'add' ELSE 'remove' END AS action,
+       timestamp_seconds(1704067200 + 86400 * (h % 200 + step * (h % 50 + 5))) AS dated
+FROM (SELECT host, h, explode(sequence(0, CAST(h % 4 AS INT))) AS step
+      FROM (SELECT host, CAST(conv(substr(md5(host), 1, 8), 16, 10) AS BIGINT) AS h FROM {hosts} WHERE host <> '') WHERE h % 5 < 3)
+"""
+
+
+def op10_url_filters(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every page against the list as it stood when the page was fetched."""
+    captures = read(spark, sf_dir, "pages").select("page_id", "url", F.expr(FETCHED).alias("fetched_at"))
+    hosts = captures.select(url_filter.host_of(F.col("url")).alias("host")).distinct()
+    found = url_filter.filter_urls(captures, spark.sql(ENTRIES, hosts=hosts))
+    return found.withColumn("n_active", F.col("n_active").cast("long"))
+
+
+OP10_SQL = r"""
+WITH captures AS (
+  SELECT page_id, url, make_timestamp((1704067200 + 60 * ((page_id * 7919) % 525600)) * 1000000) AS fetched_at,
+         regexp_replace(regexp_extract(lower(url), '^\s*[a-z][a-z0-9+.-]*://(?:[^/?#@\s]*@)?([^/?#:@\s]+)', 1), '\.+$', '') AS host
+  FROM pages),
+hashed AS (
+  SELECT host, CAST(('0x' || substr(md5(host), 1, 8)) AS BIGINT) AS h FROM (SELECT DISTINCT host FROM captures) WHERE host <> ''),
+entries AS (
+  SELECT DISTINCT CASE WHEN h % 3 = 0 AND host LIKE '%.%.%' THEN regexp_replace(host, '^[^.]+[.]', '') ELSE host END AS pattern,
+         CASE WHEN h % 2 = 0 THEN 'adult' ELSE 'spam' END AS category,
+         CASE WHEN step % 2 = 0 THEN 'add' ELSE 'remove' END AS action,
+         make_timestamp((1704067200 + 86400 * (h % 200 + step * (h % 50 + 5))) * 1000000) AS dated
+  FROM (SELECT host, h, unnest(range(0, h % 4 + 1)) AS step FROM hashed WHERE h % 5 < 3)),
+spans AS (
+  SELECT * FROM (SELECT *, lead(dated) OVER (PARTITION BY pattern, category ORDER BY dated, action) AS valid_to FROM entries)
+  WHERE action = 'add' AND (valid_to IS NULL OR valid_to > dated)),
+hits AS (
+  SELECT c.page_id, s.pattern, s.category, s.dated,
+         row_number() OVER (PARTITION BY c.page_id ORDER BY length(s.pattern) DESC, s.dated DESC, s.category) AS k,
+         count(*) OVER (PARTITION BY c.page_id) AS n
+  FROM captures c JOIN spans s
+    ON (c.host = s.pattern OR ends_with(c.host, '.' || s.pattern)) AND s.dated <= c.fetched_at AND (s.valid_to IS NULL OR s.valid_to > c.fetched_at))
+SELECT c.page_id, c.url, c.fetched_at, c.host, h.page_id IS NOT NULL AS blocked, coalesce(h.n, 0) AS n_active,
+       h.pattern, h.category, h.dated AS listed_at
+FROM captures c LEFT JOIN hits h ON h.page_id = c.page_id AND h.k = 1
+"""
+
+
 def op9_simhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = simhash.near_duplicates(read(spark, sf_dir, "documents"), words=3, distance=3)
     return found.select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
@@ -22,10 +98,13 @@ def op3_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
+        "op2_embedding_near_dedup": op2_embedding_near_dedup,
+        "op5_source_mixing": op5_source_mixing,
+        "op10_url_filters": op10_url_filters,
         "op3_best_fit_packing": op3_best_fit_packing,
         "op9_simhash_near_dedup": op9_simhash_near_dedup,
     }
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return {"op5_source_mixing": OP5_SQL, "op10_url_filters": OP10_SQL}
