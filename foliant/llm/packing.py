@@ -9,12 +9,15 @@ each shard is packed by itself; a shard loses at most about one sequence.
 from __future__ import annotations
 
 import os
+import re
 import zlib
+from array import array
 from collections.abc import Iterator
 from itertools import accumulate
 
 import numpy as np
 import pyarrow as pa
+import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -35,11 +38,24 @@ AT_ONCE = 256
 GRAIN = 8
 
 
+#: The vocabulary's own pre-tokeniser pattern, fixed by its file.
+TOKEN = regex.compile(r"'s|'t|'re|'ve|'m|'ll|'d|\p{L}+|\p{N}|[^\s\p{L}\p{N}]+")
+#: Words beyond these characters, and those that may hold a special token, go through the tokeniser itself.
+PLAIN = re.compile("[!-~\u00a1-\u024f]*")
+
+
+def byte_letters() -> dict[int, str]:
+    """The byte-level alphabet: printable Latin-1 stands for itself, other bytes for the letters from U+0100."""
+    own = [*range(0x21, 0x7F), *range(0xA1, 0xAD), *range(0xAE, 0x100)]
+    other = (b for b in range(256) if b not in set(own))
+    return {b: chr(b) for b in own} | {b: chr(0x100 + i) for i, b in enumerate(other)}
+
+
 class WordEncoder:
     """Token ids of whole texts, as little-endian unsigned 32-bit bytes.
 
     The vocabulary's pre-tokeniser never joins what a blank or a line end separates, so each word between
-    these is encoded once and remembered.
+    these is encoded once and remembered. A plain word's parts go to the merge model directly.
     """
 
     def __init__(self, path: str) -> None:
@@ -47,30 +63,32 @@ class WordEncoder:
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
-        self.mark = next((i for i, t in sorted(self.tokenizer.get_added_tokens_decoder().items()) if t.special), None)
+        self.model, self.letters = self.tokenizer.model, byte_letters()
         self.known: dict[str, bytes] = {"": b""}
-
-    def learn(self, words: list[str]) -> None:
-        """Encode the words at one go, a special token between them; words that hold such a token go singly."""
-        own = self.tokenizer.get_added_tokens_decoder().values()
-        plain = [w for w in words if self.mark is not None and not any(t.content in w for t in own)]
-        odd = set(words).difference(plain)
-        if plain:
-            text = f" {self.tokenizer.id_to_token(self.mark)} ".join(plain)
-            ids = np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, dtype="<u4")
-            marks = np.flatnonzero(ids == self.mark)
-            raw = ids.tobytes()
-            starts, ends = [0, *(4 * (marks + 1)).tolist()], [*(4 * marks).tolist(), len(raw)]
-            self.known.update(zip(plain, (raw[lo:hi] for lo, hi in zip(starts, ends, strict=True)), strict=True))
-        for word in odd:
-            self.known[word] = np.array(self.tokenizer.encode(word, add_special_tokens=False).ids, dtype="<u4").tobytes()
+        self.parts: dict[str, bytes] = {}
+
+    def part(self, part: str) -> bytes:
+        got = self.parts.get(part)
+        if got is None:
+            spelt = part if part.isascii() else part.encode().decode("latin-1").translate(self.letters)
+            got = array("I", [t.id for t in self.model.tokenize(spelt)]).tobytes()
+            if len(part) <= LONG_WORD:
+                self.parts[part] = got
+        return got
+
+    def word(self, word: str) -> bytes:
+        if PLAIN.fullmatch(word) and "<|" not in word:
+            return b"".join(map(self.part, TOKEN.findall(word.lower())))
+        return array("I", self.tokenizer.encode(word, add_special_tokens=False).ids).tobytes()
 
     def __call__(self, texts: list[str]) -> list[bytes]:
         split = [t.replace("\n", " ").split(" ") for t in texts]
         if len(self.known) > MEMORY:
             self.known = {"": b""}
-        new = list(set().union(*split) - self.known.keys())
-        self.learn(new)
+        if len(self.parts) > MEMORY:
+            self.parts = {}
+        new = set().union(*split) - self.known.keys()
+        self.known.update((w, self.word(w)) for w in new)
         out = [b"".join(map(self.known.__getitem__, words)) for words in split]
         for word in new:
             if len(word) > LONG_WORD:
