@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from foliant.llm import embeddings, mixing, packing, simhash, url_filter
+from foliant.llm import embeddings, language, mixing, packing, quality, simhash, url_filter
 from foliant.llm.common import read
 
 
@@ -15,6 +15,10 @@ def op2_embedding_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return embeddings.near_duplicates(read(spark, sf_dir, "embeddings"), threshold=0.98)
 
 
+def op4_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return language.identify(read(spark, sf_dir, "documents"))
+
+
 def op5_source_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Sources at the square root of their size, one epoch's worth of rows in all."""
     return mixing.mix(read(spark, sf_dir, "documents"), temperature=0.5, epochs=1.0, seed=17)
@@ -87,6 +91,10 @@ FROM captures c LEFT JOIN hits h ON h.page_id = c.page_id AND h.k = 1
 """
 
 
+def op7_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quality.quality_rules(read(spark, sf_dir, "documents"))
+
+
 def op9_simhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = simhash.near_duplicates(read(spark, sf_dir, "documents"), words=3, distance=3)
     return found.select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
@@ -99,6 +107,8 @@ def op3_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op2_embedding_near_dedup": op2_embedding_near_dedup,
+        "op4_language_id": op4_language_id,
+        "op7_quality_rules": op7_quality_rules,
         "op5_source_mixing": op5_source_mixing,
         "op10_url_filters": op10_url_filters,
         "op3_best_fit_packing": op3_best_fit_packing,
