@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from foliant.llm import embeddings, language, mixing, packing, quality, simhash, url_filter
+from foliant.llm import embeddings, language, mixing, packing, quality, simhash, toxicity, url_filter
 from foliant.llm.common import read
 
 
@@ -91,6 +91,10 @@ FROM captures c LEFT JOIN hits h ON h.page_id = c.page_id AND h.k = 1
 """
 
 
+def op6_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return toxicity.score(read(spark, sf_dir, "documents"), read(spark, sf_dir, "labels"))
+
+
 def op7_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.quality_rules(read(spark, sf_dir, "documents"))
 
@@ -108,6 +112,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op2_embedding_near_dedup": op2_embedding_near_dedup,
         "op4_language_id": op4_language_id,
+        "op6_toxicity": op6_toxicity,
         "op7_quality_rules": op7_quality_rules,
         "op5_source_mixing": op5_source_mixing,
         "op10_url_filters": op10_url_filters,
