@@ -6,7 +6,7 @@ dealt by block, verified by Hamming distance, and linked into components.
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from itertools import combinations, repeat
 
 import numpy as np
@@ -18,6 +18,7 @@ from pyspark.sql import functions as F
 from foliant.llm.common import connected_components, merge_labels, numpy_column, stage, whole_partition
 
 BITS = 64
+Accept = Callable[[int, int], bool] | None
 #: Rows of one block value that are compared directly; longer runs are split by further blocks first.
 RUN = 512
 #: Distinct fingerprints that a block value may hold on average before longer keys are taken.
@@ -72,11 +73,12 @@ def block_plan(n: int, distance: int, bits: int = BITS, per_block: int = PER_BLO
     return [sum(c) for c in combinations(parts, keep)]
 
 
-def link_close(labels: np.ndarray, rows: np.ndarray, fps: np.ndarray, free: list[int], distance: int) -> None:
+def link_close(labels: np.ndarray, rows: np.ndarray, fps: np.ndarray, free: list[int], distance: int, accept: Accept = None) -> None:
     """Join the classes of all rows (indices into labels and fps) within `distance` bits of one another.
 
     free: the bits in which the rows may differ. Long runs are split by blocks of these bits again, so that
-    the direct comparisons stay few; no pair is left out.
+    the direct comparisons stay few; no pair is left out. accept: whether two rows really belong together;
+    it is asked only for rows that aren't in one class yet.
     """
     if len(rows) > RUN and len(free) >= 4 * (distance + 1):
         for part in np.array_split(np.array(free), distance + 1):
@@ -84,30 +86,32 @@ def link_close(labels: np.ndarray, rows: np.ndarray, fps: np.ndarray, free: list
             rest = [i for i in free if i not in set(part.tolist())]
             key = fps[rows] & mask
             order = np.argsort(key, kind="stable")
-            link_runs(labels, rows[order], key[order], fps, rest, distance)
+            link_runs(labels, rows[order], key[order], fps, rest, distance, accept)
         return
     own = fps[rows]
     for step in range(1, len(rows)):
         near = np.flatnonzero(np.bitwise_count(own[:-step] ^ own[step:]) <= distance)
-        merge_labels_of(labels, rows, near, step)
+        join(labels, rows[near], rows[near + step], accept)
 
 
-def merge_labels_of(labels: np.ndarray, rows: np.ndarray, near: np.ndarray, step: int) -> None:
-    if len(near):
-        a, b = rows[near], rows[near + step]
-        differ = labels[a] != labels[b]
-        if differ.any():
-            merge_labels(labels, a[differ], b[differ])
+def join(labels: np.ndarray, a: np.ndarray, b: np.ndarray, accept: Accept) -> None:
+    if accept is None:
+        if len(a):
+            merge_labels(labels, a, b)
+        return
+    for i, j in zip(a.tolist(), b.tolist(), strict=True):
+        if labels[i] != labels[j] and accept(i, j):
+            merge_labels(labels, np.array([i]), np.array([j]))
 
 
-def link_runs(labels: np.ndarray, rows: np.ndarray, keys: np.ndarray, fps: np.ndarray, free: list[int], distance: int) -> None:
+def link_runs(labels: np.ndarray, rows: np.ndarray, keys: np.ndarray, fps: np.ndarray, free: list[int], distance: int, accept: Accept = None) -> None:
     """link_close() for every run of equal keys; short runs are compared all at once, one step apart at a time."""
     if len(rows) < 2:
         return
     starts = np.flatnonzero(np.concatenate(([True], keys[1:] != keys[:-1])))
     lengths = np.diff(np.append(starts, len(rows)))
     for at in np.flatnonzero(lengths > RUN):
-        link_close(labels, rows[starts[at] : starts[at] + lengths[at]], fps, free, distance)
+        link_close(labels, rows[starts[at] : starts[at] + lengths[at]], fps, free, distance, accept)
     left = np.repeat(np.where(lengths > RUN, 0, lengths), lengths) - (np.arange(len(rows)) - np.repeat(starts, lengths))
     index = np.flatnonzero(left > 1)
     for step in range(1, RUN):
@@ -116,8 +120,26 @@ def link_runs(labels: np.ndarray, rows: np.ndarray, keys: np.ndarray, fps: np.nd
             return
         a, b = rows[index], rows[index + step]
         near = np.bitwise_count(fps[a] ^ fps[b]) <= distance
-        if near.any():
-            merge_labels(labels, a[near], b[near])
+        join(labels, a[near], b[near], accept)
+
+
+def dealt_by_block(rows: DataFrame, masks: list[int]) -> DataFrame:
+    """`rows` (with fp) once for each mask, dealt by what the mask shows: columns kind and key are added."""
+    signed = [m - (1 << 64) if m >> 63 else m for m in masks]
+    keys = F.array(*[F.col("fp").bitwiseAND(F.lit(m)) for m in signed])
+    return rows.select("*", F.posexplode(keys).alias("kind", "key")).repartition("kind", "key")
+
+
+def linked_labels(table: pa.Table, masks: list[int], distance: int, accept: Accept = None) -> np.ndarray:
+    """The class of each row of a partition of dealt_by_block()."""
+    fps, kind, key = (numpy_column(table, c) for c in ("fp", "kind", "key"))
+    fps, key = fps.view(np.uint64), key.view(np.uint64)
+    labels = np.arange(len(fps))
+    for k in np.unique(kind):
+        rows = np.flatnonzero(kind == k)
+        rows = rows[np.argsort(key[rows], kind="stable")]
+        link_runs(labels, rows, key[rows], fps, [i for i in range(BITS) if not masks[k] >> i & 1], distance, accept)
+    return labels
 
 
 def close_links(reps: DataFrame, distance: int, per_block: int = PER_BLOCK) -> DataFrame:
@@ -126,25 +148,15 @@ def close_links(reps: DataFrame, distance: int, per_block: int = PER_BLOCK) -> D
     reps: (node long, fp long), fingerprints distinct. Within a partition only a spanning forest leaves.
     """
     masks = block_plan(reps.count(), distance, per_block=per_block)
-    signed = [m - (1 << 64) if m >> 63 else m for m in masks]
-    dealt = reps.select("node", "fp", F.posexplode(F.array(*[F.col("fp").bitwiseAND(F.lit(m)) for m in signed])).alias("kind", "key"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         table = whole_partition(batches)
-        if table is None:
-            return
-        node, fps = numpy_column(table, "node"), numpy_column(table, "fp").view(np.uint64)
-        kind, key = numpy_column(table, "kind"), numpy_column(table, "key").view(np.uint64)
-        labels = np.arange(len(node))
-        for k in np.unique(kind):
-            rows = np.flatnonzero(kind == k)
-            rows = rows[np.argsort(key[rows], kind="stable")]
-            free = [i for i in range(BITS) if not masks[k] >> i & 1]
-            link_runs(labels, rows, key[rows], fps, free, distance)
-        linked = np.flatnonzero(labels != np.arange(len(node)))
-        yield pa.RecordBatch.from_arrays([pa.array(node[linked]), pa.array(node[labels[linked]])], ["a", "b"])
-
-    return dealt.repartition("kind", "key").mapInArrow(run, "a long, b long")
+        if table is not None:
+            labels, node = linked_labels(table, masks, distance), numpy_column(table, "node")
+            linked = np.flatnonzero(labels != np.arange(len(node)))
+            yield pa.RecordBatch.from_arrays([pa.array(node[linked]), pa.array(node[labels[linked]])], ["a", "b"])
+
+    return dealt_by_block(reps.select("node", "fp"), masks).mapInArrow(run, "a long, b long")
 
 
 def components(fps: DataFrame, distance: int = 3) -> DataFrame:
