@@ -7,10 +7,14 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from foliant.llm import embeddings, language, lines, mixing, packing, quality, simhash, toxicity, url_filter
+from foliant.llm import embeddings, language, lines, mixing, packing, quality, simhash, suffixes, toxicity, url_filter
 from foliant.llm.common import read
 
 
+def op1_suffix_array_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return suffixes.dedup_substrings(read(spark, sf_dir, "documents"), width=200, with_bytes=False).drop("spans")
+
+
 def op2_embedding_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return embeddings.near_duplicates(read(spark, sf_dir, "embeddings"), threshold=0.98)
 
@@ -115,6 +119,7 @@ def op3_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
+        "op1_suffix_array_dedup": op1_suffix_array_dedup,
         "op2_embedding_near_dedup": op2_embedding_near_dedup,
         "op4_language_id": op4_language_id,
         "op6_toxicity": op6_toxicity,
