@@ -11,6 +11,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute  # noqa: F401  pa.compute
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -145,13 +146,15 @@ class KneserNey:
 class Models:
     """Models of several labels over one sorted table: a look-up gives every label's log-probability."""
 
-    def __init__(self, rows: list[tuple[str | None, int, int]], order: int, modified: bool, letters_only: bool) -> None:
-        by: dict[str | None, list[tuple[int, int]]] = {}
-        for label, key, n in rows:
-            by.setdefault(label, []).append((key, n))
-        self.labels, self.order, self.letters_only = sorted(by, key=lambda x: (x is not None, x)), order, letters_only
-        got = [np.array(by[x], dtype=np.int64).reshape(-1, 2) for x in self.labels]
-        self.models = [KneserNey(np.ascontiguousarray(g[:, 0]).view(np.uint64), g[:, 1], order, modified) for g in got]
+    def __init__(self, table: pa.Table, order: int, modified: bool, letters_only: bool) -> None:
+        """table: label, key, n."""
+        labels = table.column("label").combine_chunks()
+        self.labels, self.order, self.letters_only = sorted(labels.unique().to_pylist()), order, letters_only
+        keys, n = (table.column(c).combine_chunks().to_numpy() for c in ("key", "n"))
+        self.models = []
+        for label in self.labels:
+            own = pa.compute.equal(labels, label).to_numpy(zero_copy_only=False)
+            self.models.append(KneserNey(keys[own].view(np.uint64), n[own], order, modified))
         self.keys = np.unique(np.concatenate([m.levels[-1][0] for m in self.models])) if self.models else np.zeros(0, np.uint64)
         self.logs = self.computed(self.keys)
 
@@ -181,5 +184,5 @@ class Models:
 def fit(docs: DataFrame, order: int = ORDER, modified: bool = False, letters_only: bool = True, most: int = MOST) -> Models:
     """Models of each label of `docs` (label, text). Counts cover every row; the `most` commonest n-grams form the tables."""
     counted = count_grams(docs, order, letters_only)
-    rows = counted.orderBy(F.desc("n"), "label", "key").limit(most).collect()
-    return Models([(r.label, r.key, r.n) for r in rows], order, modified, letters_only)
+    table = counted.where("label IS NOT NULL").orderBy(F.desc("n"), "label", "key").limit(most).toArrow()
+    return Models(table, order, modified, letters_only)
