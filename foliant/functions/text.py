@@ -42,9 +42,9 @@ def count_of(text: Column, sign: str) -> Column:
 
 def escape_dimensions(text: Column) -> Column:
     r"""`2*3`, `20m*30` and `2.0 * 2` with `\*`; emphasis and list marks stay."""
-    spaced = F.regexp_replace(text, r"((?:\d+\.\d+|\d+))\s+\*(?=\s*\d)", r"$1 \\\\*")
-    tight = F.regexp_replace(spaced, r"(?<=[\d.(\[{])\*(?=\d)", r"\\\\*")
-    return F.regexp_replace(tight, r"(?<=[mM])\*(?=\d)", r"\\\\*")
+    spaced = F.regexp_replace(text, r"((?:\d+\.\d+|\d+))\s+\*(?=\s*\d)", r"$1 \\*")
+    tight = F.regexp_replace(spaced, r"(?<=[\d.(\[{])\*(?=\d)", r"\\*")
+    return F.regexp_replace(tight, r"(?<=[mM])\*(?=\d)", r"\\*")
 
 
 def strip_fence(text: Column) -> Column:

@@ -6,9 +6,9 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from foliant.plans import queries_figures, queries_jobs, queries_markdown
+from foliant.plans import queries_figures, queries_jobs, queries_markdown, queries_text
 
-_ALL = queries_jobs.QUERIES | queries_markdown.QUERIES | queries_figures.QUERIES
+_ALL = queries_jobs.QUERIES | queries_markdown.QUERIES | queries_figures.QUERIES | queries_text.QUERIES
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
