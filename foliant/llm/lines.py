@@ -19,6 +19,9 @@ SIMILARITY, DISTANCE = 0.8, 3
 CHUNK = 1 << 20
 BASE = np.uint64(0x9E3779B97F4A7C15 | 1)
 _MAP: list[np.ndarray] = []
+_POWERS: list[np.ndarray] = []
+#: A byte's bits, each in a byte of its own.
+LANES = np.unpackbits(np.arange(256, dtype=np.uint8)[:, None], axis=1, bitorder="little").view(np.uint64).ravel()
 
 
 def line_map() -> np.ndarray:
@@ -33,7 +36,7 @@ def line_map() -> np.ndarray:
             elif c.isnumeric():
                 out[i] = 48
         out[10] = 10
-        _MAP.append(out)
+        _MAP.extend((out, mixed(np.arange(0x10000, dtype=np.uint64) + np.uint64(1))))
     return _MAP[0]
 
 
@@ -44,15 +47,30 @@ def mixed(h: np.ndarray) -> np.ndarray:
     return h ^ (h >> np.uint64(33))
 
 
+def powers(n: int) -> tuple[np.ndarray, np.ndarray]:
+    """Powers of BASE, and of its inverse, modulo 2^64: at least n + 1 of each."""
+    if not _POWERS or len(_POWERS[0]) <= n:
+        steps = (BASE, np.uint64(pow(int(BASE), -1, 1 << 64)))
+        _POWERS[:] = [np.multiply.accumulate(np.concatenate(([np.uint64(1)], np.full(n, s, np.uint64)))) for s in steps]
+    return _POWERS[0], _POWERS[1]
+
+
 def run_hashes(values: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
     """A polynomial hash, modulo 2^64, of each run of values."""
     n = len(values)
-    inverse = np.uint64(pow(int(BASE), -1, 1 << 64))
-    with np.errstate(over="ignore"):
-        up = np.multiply.accumulate(np.concatenate(([np.uint64(1)], np.full(n, BASE, np.uint64))))
-        down = np.multiply.accumulate(np.concatenate(([np.uint64(1)], np.full(n, inverse, np.uint64))))
-        prefix = np.concatenate(([np.uint64(0)], np.cumsum(values * down[:n], dtype=np.uint64)))
-        return mixed((prefix[ends] - prefix[starts]) * up[starts] + (ends - starts).astype(np.uint64))
+    up, down = powers(n)
+    prefix = np.concatenate(([np.uint64(0)], np.cumsum(values * down[:n], dtype=np.uint64)))
+    return mixed((prefix[ends] - prefix[starts]) * up[starts] + (ends - starts).astype(np.uint64))
+
+
+def bit_counts(hashes: np.ndarray, first: np.ndarray, size: np.ndarray) -> np.ndarray:
+    """How often each of the 64 bits is set in each run of hashes: eight counters of a byte are added at a time."""
+    lanes = LANES[hashes.view(np.uint8).reshape(-1, 8)]
+    starts = first if size.max() <= 255 else np.concatenate([np.arange(a, a + n, 255) for a, n in zip(first, size, strict=True)])
+    counts = np.add.reduceat(lanes, starts, axis=0).view(np.uint8).reshape(-1, 64)
+    if len(starts) == len(first):
+        return counts.astype(np.int32)
+    return np.add.reduceat(counts, np.searchsorted(starts, first), axis=0, dtype=np.int32)
 
 
 def line_prints(texts: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
@@ -60,14 +78,19 @@ def line_prints(texts: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray, n
     empty = np.zeros(0, np.int64)
     raw = [(t + "\n").encode("utf-32-le", "surrogatepass") for t in texts]
     points = np.frombuffer(b"".join(raw), dtype="<u4")
-    codes = np.where(points < 0x10000, line_map()[np.minimum(points, 0xFFFF)], points).astype(np.uint64)
+    low = np.minimum(points, 0xFFFF)
+    codes = line_map()[low]
+    values = _MAP[1][codes]
+    if (high := np.flatnonzero(points > 0xFFFF)).size:
+        codes[high] = points[high]
+        values[high] = mixed(codes[high] + np.uint64(1))
     ends_line = codes == 10
     inside = ~ends_line & (codes != 32)
     edge = np.diff(np.concatenate(([False], inside, [False])).astype(np.int8))
     starts, ends = np.flatnonzero(edge == 1), np.flatnonzero(edge == -1)
     if not len(starts):
         return empty, empty, empty, empty
-    words = run_hashes(mixed(codes + np.uint64(1)), starts, ends)
+    words = run_hashes(values, starts, ends)
     line_of = np.concatenate(([0], np.cumsum(ends_line)))[starts]
     first = np.flatnonzero(np.concatenate(([True], line_of[1:] != line_of[:-1])))
     size = np.diff(np.append(first, len(words)))
@@ -75,7 +98,7 @@ def line_prints(texts: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray, n
     lines_before = np.concatenate(([0], np.cumsum(ends_line)[text_ends - 1]))
     long = size >= MIN_WORDS
     hashes = run_hashes(words, first, first + size)[long]
-    ones = np.add.reduceat(np.unpackbits(words.view(np.uint8).reshape(-1, 8), axis=1, bitorder="little"), first, axis=0, dtype=np.int32)[long]
+    ones = bit_counts(words, first, size)[long]
     prints = np.packbits(2 * ones > size[long, None], axis=1, bitorder="little").view(np.uint64).ravel()
     line = line_of[first][long]
     text = np.searchsorted(lines_before, line, side="right") - 1
@@ -126,12 +149,27 @@ def edit_distance(a: str, b: str) -> int:
     return score
 
 
+def common_prefix(a: str, b: str) -> int:
+    lo, hi = 0, min(len(a), len(b))
+    while lo < hi:
+        mid = (lo + hi + 1) // 2
+        if a[lo:mid] == b[lo:mid]:
+            lo = mid
+        else:
+            hi = mid - 1
+    return lo
+
+
 def similar(a: str, b: str, least: float = SIMILARITY) -> bool:
-    """Whether 1 - distance / longer length reaches `least`."""
+    """Whether 1 - distance / longer length reaches `least`. What both begin and end with costs nothing."""
     longer = max(len(a), len(b))
     if abs(len(a) - len(b)) > (1 - least) * longer + 1e-9:
         return False
-    return not longer or edit_distance(a, b) <= (1 - least) * longer + 1e-9
+    k = common_prefix(a, b)
+    a, b = a[k:], b[k:]
+    k = common_prefix(a[::-1], b[::-1])
+    a, b = a[: len(a) - k], b[: len(b) - k]
+    return max(len(a), len(b)) <= (1 - least) * longer + 1e-9 or edit_distance(a, b) <= (1 - least) * longer + 1e-9
 
 
 def texts_of(docs: DataFrame, wanted: DataFrame) -> DataFrame:
@@ -159,13 +197,12 @@ def verified_links(texts: DataFrame, masks: list[int], distance: int, least: flo
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         table = whole_partition(batches)
         if table is not None:
-            text, node, told = table.column("text").to_pylist(), numpy_column(table, "node"), {}
+            text, node, kind, fps = table.column("text").to_pylist(), numpy_column(table, "node"), numpy_column(table, "kind"), numpy_column(table, "fp").tolist()
 
             def accept(i: int, j: int) -> bool:
-                pair = (min(node[i], node[j]), max(node[i], node[j]))
-                if pair not in told:
-                    told[pair] = similar(text[i], text[j], least)
-                return told[pair]
+                """A pair that shares several blocks is compared in the first of them alone."""
+                apart = fps[i] ^ fps[j]
+                return all(apart & m for m in masks[: kind[i]]) and similar(text[i], text[j], least)
 
             labels = simhash.linked_labels(table, masks, distance, accept)
             linked = np.flatnonzero(labels != np.arange(len(node)))

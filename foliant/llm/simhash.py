@@ -113,14 +113,16 @@ def link_runs(labels: np.ndarray, rows: np.ndarray, keys: np.ndarray, fps: np.nd
     for at in np.flatnonzero(lengths > RUN):
         link_close(labels, rows[starts[at] : starts[at] + lengths[at]], fps, free, distance, accept)
     left = np.repeat(np.where(lengths > RUN, 0, lengths), lengths) - (np.arange(len(rows)) - np.repeat(starts, lengths))
+    own = fps[rows]
     index = np.flatnonzero(left > 1)
     for step in range(1, RUN):
-        index = index[left[index] > step]
+        if step > 1:
+            index = index[left[index] > step]
         if not len(index):
             return
-        a, b = rows[index], rows[index + step]
-        near = np.bitwise_count(fps[a] ^ fps[b]) <= distance
-        join(labels, a[near], b[near], accept)
+        near = index[np.bitwise_count(own[index] ^ own[index + step]) <= distance]
+        if len(near):
+            join(labels, rows[near], rows[near + step], accept)
 
 
 def dealt_by_block(rows: DataFrame, masks: list[int]) -> DataFrame:
