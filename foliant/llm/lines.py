@@ -7,6 +7,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -17,6 +18,9 @@ from foliant.llm.common import connected_components, numpy_column, stage, unstag
 MIN_WORDS = 5
 SIMILARITY, DISTANCE = 0.8, 3
 CHUNK = 1 << 20
+#: Bands of min-wise hashes under which similar lines of dedup_all_lines() meet: short and long lines have n-grams of
+#: their own, (n, hashes a band, shortest, longest). Any two similar lines lie within one of the ranges.
+BANDS, RANGES = 16, ((4, 3, 0, 50), (8, 2, 40, 1 << 60))
 BASE = np.uint64(0x9E3779B97F4A7C15 | 1)
 _MAP: list[np.ndarray] = []
 _POWERS: list[np.ndarray] = []
@@ -265,3 +269,183 @@ def dedup_lines(docs: DataFrame, least: float = SIMILARITY, distance: int = DIST
     found = removed_lines(docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text")), least, distance)
     joined = docs.join(found.select(F.col("doc_id").alias("__id"), F.col("removed").alias("n_removed_lines")), docs[id_col].cast("long") == F.col("__id"), "left").drop("__id")
     return without_lines(joined, text_col, "n_removed_lines")
+
+
+def forms_of(docs: DataFrame) -> DataFrame:
+    """(doc_id, line, hash, fuzzy) of every line of `docs` (doc_id, text); fuzzy: whether similar lines count as repeats."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            own, line, hashes, fuzzy = [], [], [], []
+            for doc_id, text in zip(batch.column("doc_id").to_pylist(), batch.column("text").to_pylist(), strict=True):
+                for k, x in enumerate((text or "").split("\n")):
+                    form = normal_form(x)
+                    if form.count(" ") + 1 < MIN_WORDS:
+                        continue
+                    own.append(doc_id)
+                    line.append(k)
+                    hashes.append(xxhash.xxh64_intdigest(re.sub(r"\d", "0", form).encode("utf-8", "surrogatepass")))
+                    fuzzy.append(True)
+            arrays = [pa.array(own, pa.int64()), pa.array(line, pa.int32()), pa.array(np.array(hashes, np.uint64).view(np.int64)), pa.array(fuzzy, pa.bool_())]
+            yield pa.RecordBatch.from_arrays(arrays, ["doc_id", "line", "hash", "fuzzy"])
+
+    return docs.mapInArrow(run, "doc_id long, line int, hash long, fuzzy boolean")
+
+
+def band_keys(texts: list[str]) -> np.ndarray:
+    """BANDS keys of each text for each of RANGES, zero outside of it: min-wise hashes of its character n-grams."""
+    out = np.zeros((len(texts), BANDS * len(RANGES)), dtype=np.uint64)
+    rng = np.random.default_rng(7)
+    for k, (n, rows, shortest, longest) in enumerate(RANGES):
+        salts, odd = rng.integers(0, 1 << 32, BANDS * rows, dtype=np.uint32), rng.integers(0, 1 << 32, BANDS * rows, dtype=np.uint32) | np.uint32(1)
+        picked = [i for i, t in enumerate(texts) if max(n, shortest) <= len(t) <= longest]
+        at = 0
+        while at < len(picked):
+            to, total = at, 0
+            while to < len(picked) and (to == at or total + len(texts[picked[to]]) <= CHUNK >> 2):
+                total += len(texts[picked[to]])
+                to += 1
+            own = picked[at:to]
+            points = np.frombuffer("".join([texts[i] for i in own]).encode("utf-32-le", "surrogatepass"), dtype="<u4").astype(np.uint64)
+            sizes = np.array([len(texts[i]) for i in own])
+            grams = np.zeros(len(points) - n + 1, dtype=np.uint64)
+            for i in range(n):
+                grams = grams * BASE + points[i : len(grams) + i]
+            inside = np.ones(len(points), dtype=bool)
+            for i in range(1, n):
+                inside[np.cumsum(sizes) - i] = False
+            grams = (mixed(grams[inside[: len(grams)]]) >> np.uint64(32)).astype(np.uint32)
+            starts = np.concatenate(([0], np.cumsum(sizes - n + 1)[:-1]))
+            for band in range(BANDS):
+                key = np.full(len(own), k * BANDS + band + 1, dtype=np.uint64)
+                for r in range(band * rows, (band + 1) * rows):
+                    key = mixed(key * BASE + np.minimum.reduceat((grams ^ salts[r]) * odd[r], starts))
+                out[own, k * BANDS + band] = key
+            at = to
+    return out
+
+
+def bags(texts: list[str]) -> np.ndarray:
+    """How many characters of each text fall in each of 16 classes, 255 at most."""
+    sizes = np.array([len(t) for t in texts])
+    points = np.frombuffer("".join(texts).encode("utf-32-le", "surrogatepass"), dtype="<u4").astype(np.int64)
+    return np.minimum(np.bincount(np.repeat(np.arange(len(texts)), sizes) * 16 + points % 16, minlength=16 * len(texts)), 255).astype(np.uint8).reshape(-1, 16)
+
+
+def may_be_similar(bag: np.ndarray, size: np.ndarray, a: np.ndarray, b: np.ndarray, least: float) -> np.ndarray:
+    """Whether lengths and characters allow a similarity of `least`; never False where similar() is True."""
+    limit = (1 - least) * np.maximum(size[a], size[b]) + 1e-9
+    fits = np.abs(size[a] - size[b]) <= limit
+    at = np.flatnonzero(fits)
+    apart = bag[a[at]].astype(np.int16) - bag[b[at]]
+    up = np.maximum(apart, 0).sum(1)
+    fits[at] = np.maximum(up, up - apart.sum(1)) <= limit[at]
+    return fits
+
+
+def banded(texts: DataFrame) -> DataFrame:
+    """(node, size, bag0, bag1, key): each (node, text) once for each band, dealt by the band's key."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            node, text = batch.column("node").to_numpy(), batch.column("text").to_pylist()
+            keys, size = band_keys(text).view(np.int64), np.array([len(t) for t in text], dtype=np.int32)
+            bag = bags(text).view(np.int64)
+            for band in range(keys.shape[1]):
+                at = np.flatnonzero(keys[:, band])
+                arrays = [node[at], size[at], bag[at, 0], bag[at, 1], keys[at, band]]
+                yield pa.RecordBatch.from_arrays([pa.array(x) for x in arrays], ["node", "size", "bag0", "bag1", "key"])
+
+    return texts.mapInArrow(run, "node long, size int, bag0 long, bag1 long, key long").repartition("key")
+
+
+def with_partner(rows: DataFrame, least: float) -> DataFrame:
+    """(node, key) of the rows of banded() that another row of their key may be similar to."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        table = whole_partition(batches)
+        if table is None:
+            return
+        size, key = numpy_column(table, "size"), numpy_column(table, "key")
+        order = np.lexsort((size, key))
+        size, key = size[order], key[order]
+        bag = np.stack([numpy_column(table, c)[order] for c in ("bag0", "bag1")], axis=1).view(np.uint8)
+        starts = np.flatnonzero(np.concatenate(([True], key[1:] != key[:-1])))
+        end = np.repeat(np.append(starts[1:], len(key)), np.diff(np.append(starts, len(key))))
+        found, rows, step = np.zeros(len(key), dtype=bool), np.arange(len(key)), 1
+        while True:
+            rows = rows[rows + step < end[rows]]
+            rows = rows[size[rows] >= least * size[rows + step] - 1e-9]  # sizes ascend
+            if not len(rows):
+                break
+            ask = rows[~(found[rows] & found[rows + step])]
+            for at in range(0, len(ask), CHUNK):
+                a = ask[at : at + CHUNK]
+                a = a[may_be_similar(bag, size, a, a + step, least)]
+                found[a] = found[a + step] = True
+            if step & (step - 1) == 0 or step % 64 == 0:  # rows go once they and all after them have a partner
+                open_before = np.concatenate(([0], np.cumsum(~found)))
+                rows = rows[open_before[end[rows]] > open_before[rows]]
+            step += 1
+        yield pa.RecordBatch.from_arrays([pa.array(numpy_column(table, "node")[order][found]), pa.array(key[found])], ["node", "key"])
+
+    return rows.mapInArrow(run, "node long, key long")
+
+
+def similar_links(rows: DataFrame, least: float) -> DataFrame:
+    """Edges (a, b) that span the lines of each key of `rows` (node, key, text) whose edit similarity reaches `least`."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        table = whole_partition(batches)
+        if table is None:
+            return
+        node, key, text = numpy_column(table, "node"), numpy_column(table, "key").view(np.uint64), table.column("text").to_pylist()
+        size, bag, keys = np.array([len(t) for t in text]), bags(text), band_keys(text)
+        labels, order = np.arange(len(node)), np.argsort(key, kind="stable")
+        for group in np.split(order, np.flatnonzero(np.diff(key[order])) + 1):
+            band = int(np.flatnonzero(keys[group[0]] == key[group[0]])[0])
+            own = np.arange(len(group))  # classes within the group
+            for i in range(1, len(group)):
+                left = np.flatnonzero(own[:i] != own[i])
+                left = left[~((keys[group[left], :band] == keys[group[i], :band]) & (keys[group[i], :band] != 0)).any(axis=1)]  # compared in the first band that they share
+                left = left[may_be_similar(bag, size, group[left], np.full(len(left), group[i]), least)]
+                for j in left.tolist():
+                    if own[i] != own[j] and similar(text[group[i]], text[group[j]], least):
+                        own[own == max(own[i], own[j])] = min(own[i], own[j])
+            labels[group] = group[own]
+            linked = group[labels[group] != group]
+            if len(linked):
+                yield pa.RecordBatch.from_arrays([pa.array(node[linked]), pa.array(node[labels[linked]])], ["a", "b"])
+
+    return rows.repartition("key").mapInArrow(run, "a long, b long")
+
+
+def repeated_lines(docs: DataFrame, least: float = SIMILARITY) -> DataFrame:
+    """(doc_id, removed array<int>): the lines that repeat an earlier one, exactly or by edit similarity.
+
+    docs: (doc_id long, text). Earlier is the smaller (doc_id, line). Candidates are lines that share a band of
+    min-wise hashes of their character n-grams; every candidate is decided by similar().
+    """
+    lines = stage(forms_of(docs.where("doc_id IS NOT NULL")), "lines")
+    first = F.min(F.struct("doc_id", "line")).alias("first")
+    distinct = stage(lines.groupBy(F.col("hash").alias("node")).agg(F.first("fuzzy").alias("fuzzy"), first, F.count("*").alias("n")), "distinct")
+    wanted = distinct.where("fuzzy").select("node", F.lit(0).cast("long").alias("fp"), "first.doc_id", "first.line")
+    texts = stage(texts_of(docs, wanted).select("node", "text").dropDuplicates(["node"]), "texts")
+    hits = stage(with_partner(banded(texts), least), "hits")
+    groups = stage(connected_components(similar_links(hits.join(texts, "node"), least)), "groups")
+    unstage(texts, hits)
+    own = groups.join(distinct, "node").select("component", "node", "first")
+    keepers = own.join(own.groupBy("component").agg(F.min("first").alias("keep")), "component").select("node", "keep")
+    alone = distinct.where("n > 1").join(groups.select("node"), "node", "left_anti").select("node", F.col("first").alias("keep"))
+    gone = lines.join(keepers.union(alone), F.col("hash") == F.col("node")).where("struct(doc_id, line) <> keep")
+    return gone.groupBy("doc_id").agg(F.collect_set("line").alias("removed"))  # within one document
+
+
+def dedup_all_lines(docs: DataFrame, least: float = SIMILARITY, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """dedup_lines() on edit similarity alone, found by character n-grams instead of fingerprints of words."""
+    docs = docs.drop("n_removed_lines")
+    found = repeated_lines(docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text")), least)
+    joined = docs.join(found.select(F.col("doc_id").alias("__id"), F.col("removed").alias("n_removed_lines")), docs[id_col].cast("long") == F.col("__id"), "left").drop("__id")
+    return without_lines(joined, text_col, "n_removed_lines")

@@ -104,7 +104,7 @@ def op7_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op8_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    found = lines.dedup_lines(read(spark, sf_dir, "documents"))
+    found = lines.dedup_all_lines(read(spark, sf_dir, "documents"))
     return found.select("doc_id", "text", F.col("n_removed_lines").alias("n_removed"))
 
 

@@ -80,3 +80,24 @@ def test_run_hashes_are_those_of_the_runs(n):
     values = np.random.default_rng(n).integers(0, 1 << 62, n).astype(np.uint64)
     whole = lines.run_hashes(values, np.array([n // 2]), np.array([n]))
     assert whole == lines.run_hashes(values[n // 2 :], np.array([0]), np.array([n - n // 2]))
+
+
+def removed(spark, texts):
+    """The spots that dedup_all_lines() cuts from documents numbered from 0, each line of them being different."""
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    left = {r.doc_id: r.text.split("\n") for r in lines.dedup_all_lines(df).collect()}
+    return {(i, k) for i, t in enumerate(texts) for k, x in enumerate(t.split("\n")) if x not in left[i]}
+
+
+def test_all_lines_of_edit_similarity_are_found(spark):
+    rng = random.Random(8)
+    base = [" ".join("".join(rng.choices("abcdefghijklmnop", k=rng.randint(3, 7))) for _ in range(rng.randint(9, 30))) for _ in range(40)]
+    texts = list(base)
+    for x in base:
+        words = x.split()
+        words[rng.randrange(len(words))] = "".join(rng.choices("qrstuv", k=5))
+        texts.append(" ".join(words))
+    forms = [lines.normal_form(x) for x in texts]
+    pairs = {(j, i) for i in range(len(forms)) for j in range(i) if lines.similar(forms[i], forms[j])}
+    assert len(pairs) >= 38
+    assert removed(spark, texts) == {(i, 0) for _, i in pairs}
