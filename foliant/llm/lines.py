@@ -17,6 +17,8 @@ from foliant.llm.common import connected_components, numpy_column, stage, unstag
 #: Lines of fewer words are structure (headings, list marks) and stay.
 MIN_WORDS = 5
 SIMILARITY, DISTANCE = 0.8, 3
+#: In dedup_all_lines() shorter lines go as well if they are equal; so many signs make a line long in any script.
+MIN_SIGNS = 20
 CHUNK = 1 << 20
 #: Bands of min-wise hashes under which similar lines of dedup_all_lines() meet: short and long lines have n-grams of
 #: their own, (n, hashes a band, shortest, longest). Any two similar lines lie within one of the ranges.
@@ -280,12 +282,12 @@ def forms_of(docs: DataFrame) -> DataFrame:
             for doc_id, text in zip(batch.column("doc_id").to_pylist(), batch.column("text").to_pylist(), strict=True):
                 for k, x in enumerate((text or "").split("\n")):
                     form = normal_form(x)
-                    if form.count(" ") + 1 < MIN_WORDS:
+                    if not form:
                         continue
                     own.append(doc_id)
                     line.append(k)
                     hashes.append(xxhash.xxh64_intdigest(re.sub(r"\d", "0", form).encode("utf-8", "surrogatepass")))
-                    fuzzy.append(True)
+                    fuzzy.append(form.count(" ") + 1 >= MIN_WORDS or len(form) >= MIN_SIGNS)
             arrays = [pa.array(own, pa.int64()), pa.array(line, pa.int32()), pa.array(np.array(hashes, np.uint64).view(np.int64)), pa.array(fuzzy, pa.bool_())]
             yield pa.RecordBatch.from_arrays(arrays, ["doc_id", "line", "hash", "fuzzy"])
 
@@ -444,7 +446,11 @@ def repeated_lines(docs: DataFrame, least: float = SIMILARITY) -> DataFrame:
 
 
 def dedup_all_lines(docs: DataFrame, least: float = SIMILARITY, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """dedup_lines() on edit similarity alone, found by character n-grams instead of fingerprints of words."""
+    """dedup_lines() on edit similarity alone, found by character n-grams instead of fingerprints of words.
+
+    Every line that holds a word goes if it equals an earlier one; those with MIN_WORDS words or MIN_SIGNS signs
+    also if they are similar to another.
+    """
     docs = docs.drop("n_removed_lines")
     found = repeated_lines(docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text")), least)
     joined = docs.join(found.select(F.col("doc_id").alias("__id"), F.col("removed").alias("n_removed_lines")), docs[id_col].cast("long") == F.col("__id"), "left").drop("__id")

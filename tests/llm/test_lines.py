@@ -101,3 +101,10 @@ def test_all_lines_of_edit_similarity_are_found(spark):
     pairs = {(j, i) for i in range(len(forms)) for j in range(i) if lines.similar(forms[i], forms[j])}
     assert len(pairs) >= 38
     assert removed(spark, texts) == {(i, 0) for _, i in pairs}
+
+
+def test_short_lines_go_if_they_are_equal(spark):
+    cjk = "这是一个没有空格的很长的句子用来检查重复的行是否会被删除掉"
+    df = spark.createDataFrame([(0, f"Chapter one\n{cjk}\n--"), (1, f"CHAPTER one:\nChapter two\n{cjk[:-1]}\n--")], "doc_id long, text string")
+    got = {r.doc_id: r.text for r in lines.dedup_all_lines(df).collect()}
+    assert got == {0: f"Chapter one\n{cjk}\n--", 1: "Chapter two\n--"}
