@@ -286,7 +286,7 @@ def forms_of(docs: DataFrame) -> DataFrame:
                         continue
                     own.append(doc_id)
                     line.append(k)
-                    hashes.append(xxhash.xxh64_intdigest(re.sub(r"\d", "0", form).encode("utf-8", "surrogatepass")))
+                    hashes.append(xxhash.xxh64_intdigest(form.encode("utf-8", "surrogatepass")))
                     fuzzy.append(form.count(" ") + 1 >= MIN_WORDS or len(form) >= MIN_SIGNS)
             arrays = [pa.array(own, pa.int64()), pa.array(line, pa.int32()), pa.array(np.array(hashes, np.uint64).view(np.int64)), pa.array(fuzzy, pa.bool_())]
             yield pa.RecordBatch.from_arrays(arrays, ["doc_id", "line", "hash", "fuzzy"])

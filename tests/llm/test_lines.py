@@ -108,3 +108,8 @@ def test_short_lines_go_if_they_are_equal(spark):
     df = spark.createDataFrame([(0, f"Chapter one\n{cjk}\n--"), (1, f"CHAPTER one:\nChapter two\n{cjk[:-1]}\n--")], "doc_id long, text string")
     got = {r.doc_id: r.text for r in lines.dedup_all_lines(df).collect()}
     assert got == {0: f"Chapter one\n{cjk}\n--", 1: "Chapter two\n--"}
+
+
+def test_lines_that_differ_in_digits_are_compared_by_them(spark):
+    texts = ["2021 3045 1290 8841 7723", "1998 5512 3346 0923 1111", "2021 3045 1290 8841 7724"]
+    assert removed(spark, texts) == {(2, 0)}
