@@ -162,6 +162,11 @@ def bbox_apart(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.where("n = 2")
 
 
+def bbox_apart_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """bbox_apart() for every page, whatever its number of boxes; SQL cannot say the greedy rule."""
+    return _pages(spark, sf_dir).select("page_id", F.size("boxes").alias("n"), F.size(figures.first_apart(F.col("boxes"), 0.3)).alias("kept"))
+
+
 BBOX_APART = f"""
 WITH b AS ({_BOXES}), p AS (SELECT a.page, greatest(0, least(a.x1, b.x1) - greatest(a.x0, b.x0)) * greatest(0, least(a.y1, b.y1) - greatest(a.y0, b.y0)) AS i,
   (a.x1 - a.x0) * (a.y1 - a.y0) + (b.x1 - b.x0) * (b.y1 - b.y0) AS s
@@ -179,6 +184,7 @@ QUERIES = {
     "figure_captions": (figure_captions, FIGURE_CAPTIONS),
     "crop_regions": (crop_regions, CROP_REGIONS),
     "figure_inject": (figure_inject, FIGURE_INJECT),
+    "bbox_apart_pages": (bbox_apart_pages, None),
     "bbox_merge": (bbox_merge, None),
     "table_zones": (table_zones, None),
     "figure_match": (figure_match, None),
