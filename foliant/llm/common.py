@@ -64,9 +64,63 @@ def _remove_all() -> None:
             return
 
 
-def whole_partition(batches: Iterator[pa.RecordBatch]) -> pa.Table | None:
-    got = [b for b in batches if b.num_rows]
-    return pa.Table.from_batches(got) if got else None
+def mixed(h: np.ndarray) -> np.ndarray:
+    """A finaliser: every bit of the input reaches every bit of the result."""
+    h = (h ^ (h >> np.uint64(33))) * np.uint64(0xFF51AFD7ED558CCD)
+    h = (h ^ (h >> np.uint64(33))) * np.uint64(0xC4CEB9FE1A85EC53)
+    return h ^ (h >> np.uint64(33))
+
+
+def row_runs(batches: Iterator[pa.RecordBatch], keys: list[str], rows: int, most: int | None = None) -> Iterator[tuple[pa.Table, bool]]:
+    """Tables of whole runs of equal keys, of about `rows` rows each, from batches sorted by the keys.
+
+    Only one such table is held at a time. A run of more than `most` rows (default `rows`, no limit if negative)
+    comes in several tables, each with False beside it; what comes with True holds whole runs alone.
+    """
+    most = rows if most is None else most
+    held: list[pa.RecordBatch] = []
+    size, split = 0, None  # split: the key of a run of which a part has left already
+
+    def key_of(batch: pa.RecordBatch, i: int) -> tuple:
+        return tuple(batch.column(k)[i].as_py() for k in keys)
+
+    def cut(last: bool) -> Iterator[tuple[pa.Table, bool]]:
+        nonlocal held, size, split
+        table = pa.Table.from_batches(held).combine_chunks()
+        codes = [table.column(k).combine_chunks().to_numpy(zero_copy_only=False) for k in keys]
+        change = np.zeros(max(0, table.num_rows - 1), dtype=bool)
+        for c in codes:
+            change |= c[1:] != c[:-1]
+        edges = np.flatnonzero(change) + 1
+        begin = 0
+        if split is not None:  # the rest of a split run
+            same = split == tuple(table.column(k)[0].as_py() for k in keys)
+            begin = int(edges[0]) if same and len(edges) else table.num_rows if same else 0
+            if begin:
+                yield table.slice(0, begin), False
+            if begin < table.num_rows or not same:
+                split = None
+        end = table.num_rows if last else int(edges[-1]) if len(edges) else begin
+        if end > begin:
+            yield table.slice(begin, end - begin), True
+        left = table.slice(max(end, begin))
+        if left.num_rows and 0 <= most <= left.num_rows and not last:
+            split = tuple(left.column(k)[0].as_py() for k in keys)
+            yield left, False
+            left = left.slice(left.num_rows)
+        held, size = [b for b in left.to_batches() if b.num_rows], left.num_rows
+
+    grow = rows
+    for batch in batches:
+        if not batch.num_rows:
+            continue
+        held.append(batch)
+        size += batch.num_rows
+        if size >= grow:
+            yield from cut(False)
+            grow = max(rows, 2 * size)  # a long whole run is not looked through at every batch
+    if size:
+        yield from cut(True)
 
 
 def numpy_column(table: pa.Table, name: str) -> np.ndarray:
@@ -89,13 +143,16 @@ def merge_labels(labels: np.ndarray, a: np.ndarray, b: np.ndarray) -> None:
             labels[:] = up
 
 
+#: Tasks that the edges of one node are dealt over.
+SALTS = 8
+
+
 def connected_components(edges: DataFrame) -> DataFrame:
     """(node, component) for every node of `edges` (a, b: long); component is the smallest node reachable.
 
     Alternating large-star and small-star steps. Every step is an aggregate with partial sums and an
-    equi-join whose hub keys adaptive execution splits; each round is a staged table.
+    equi-join in which a hub's edges are dealt over SALTS tasks; each round is a staged table.
     """
-    spark = edges.sparkSession
     edges = edges.where("a IS NOT NULL AND b IS NOT NULL AND a <> b")
     now = stage(edges.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct(), "edges")
     seen = None
@@ -106,9 +163,8 @@ def connected_components(edges: DataFrame) -> DataFrame:
         seen = sign
         both = now.union(now.select(F.col("b").alias("a"), F.col("a").alias("b")))
         low = both.groupBy("a").agg(F.least(F.col("a"), F.min("b")).alias("m"))
-        large = both.join(low, "a").where("b > a").select(F.col("b").alias("a"), F.col("m").alias("b")).where("a <> b").distinct()
-        low = large.groupBy("a").agg(F.min("b").alias("m"))
-        small = large.join(low, "a")
+        large = _with_lowest(both, low).where("b > a").select(F.col("b").alias("a"), F.col("m").alias("b")).where("a <> b").distinct()
+        small = _with_lowest(large, large.groupBy("a").agg(F.min("b").alias("m")))
         small = small.select(F.col("b").alias("a"), F.col("m").alias("b")).union(small.select("a", F.col("m").alias("b")))
         after = stage(small.where("a <> b").distinct(), "edges")
         unstage(now)
@@ -116,3 +172,9 @@ def connected_components(edges: DataFrame) -> DataFrame:
     out = now.select(F.col("a").alias("node"), F.col("b").alias("component"))
     roots = now.select(F.col("b").alias("node"), F.col("b").alias("component")).distinct()
     return out.union(roots)
+
+
+def _with_lowest(edges: DataFrame, low: DataFrame) -> DataFrame:
+    """`edges` (a, b) with m, the lowest neighbour of a."""
+    salted = low.select("*", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))).alias("salt"))
+    return edges.withColumn("salt", F.pmod(F.xxhash64("b"), F.lit(SALTS)).cast("int")).join(salted, ["a", "salt"]).drop("salt")

@@ -1,4 +1,10 @@
-"""Fuzzy line dedup: SimHash of normalised lines, pigeonhole blocks, edit similarity, one line of each group."""
+"""Fuzzy line dedup: one line of each group of equal or similar lines stays.
+
+Lines are normalised and reduced to distinct ones by their whole normal form. Candidates share a band of min-wise
+hashes of character n-grams; edit similarity decides every one; connected groups keep their first occurrence.
+A fingerprint of majority bits, of words or of n-grams, puts lines at an edit similarity of 0.8 some 13 to 20 of 64
+bits apart, where no pigeonhole blocks are selective; hence the bands.
+"""
 
 from __future__ import annotations
 
@@ -7,132 +13,37 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import regex
 import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from foliant.llm import simhash
-from foliant.llm.common import connected_components, numpy_column, stage, unstage, whole_partition
-
-#: Lines of fewer words are structure (headings, list marks) and stay.
-MIN_WORDS = 5
-SIMILARITY, DISTANCE = 0.8, 3
-#: In dedup_all_lines() shorter lines go as well if they are equal; so many signs make a line long in any script.
-MIN_SIGNS = 20
-CHUNK = 1 << 20
-#: Bands of min-wise hashes under which similar lines of dedup_all_lines() meet: short and long lines have n-grams of
-#: their own, (n, hashes a band, shortest, longest). Any two similar lines lie within one of the ranges.
-BANDS, RANGES = 16, ((4, 3, 0, 50), (8, 2, 40, 1 << 60))
+from foliant.llm.common import connected_components, mixed, numpy_column, row_runs, stage, unstage
+
+SIMILARITY = 0.8
+#: Lines with so many words, or so many signs (in any script), are compared; shorter ones go only if they are equal.
+MIN_WORDS, MIN_SIGNS = 5, 20
+#: Bands of min-wise hashes under which similar lines meet: short and long lines have n-grams of their own,
+#: (n, hashes a band, shortest, longest). Any two similar lines lie within one of the ranges.
+BANDS, RANGES = 12, ((5, 2, 0, 50), (8, 2, 40, 1 << 60))
+#: Signs hashed at one go; rows of one band key that are looked through at one go; lines of one block of a group.
+CHUNK, RUN, BLOCK = 1 << 18, 1 << 16, 1024
+#: Classes of characters in a row's summary, and the bits of its length.
+CLASSES, SIZE_BITS = 11, 20
+#: Tasks that the rows of one group, or the copies of one line, are dealt over.
+SALTS = 16
 BASE = np.uint64(0x9E3779B97F4A7C15 | 1)
-_MAP: list[np.ndarray] = []
-_POWERS: list[np.ndarray] = []
-#: A byte's bits, each in a byte of its own.
-LANES = np.unpackbits(np.arange(256, dtype=np.uint8)[:, None], axis=1, bitorder="little").view(np.uint64).ravel()
-
-
-def line_map() -> np.ndarray:
-    """Code point to code: letters in lower case, digits as 0, the line end as itself, all else blank."""
-    if not _MAP:
-        out = np.full(0x10000, 32, dtype=np.uint64)
-        for i in range(0x10000):
-            c = chr(i)
-            if c.isalpha():
-                low = c.lower()
-                out[i] = ord(low) if len(low) == 1 else i
-            elif c.isnumeric():
-                out[i] = 48
-        out[10] = 10
-        _MAP.extend((out, mixed(np.arange(0x10000, dtype=np.uint64) + np.uint64(1))))
-    return _MAP[0]
-
-
-def mixed(h: np.ndarray) -> np.ndarray:
-    """A finaliser: every bit of the input reaches every bit of the result."""
-    h = (h ^ (h >> np.uint64(33))) * np.uint64(0xFF51AFD7ED558CCD)
-    h = (h ^ (h >> np.uint64(33))) * np.uint64(0xC4CEB9FE1A85EC53)
-    return h ^ (h >> np.uint64(33))
-
-
-def powers(n: int) -> tuple[np.ndarray, np.ndarray]:
-    """Powers of BASE, and of its inverse, modulo 2^64: at least n + 1 of each."""
-    if not _POWERS or len(_POWERS[0]) <= n:
-        steps = (BASE, np.uint64(pow(int(BASE), -1, 1 << 64)))
-        _POWERS[:] = [np.multiply.accumulate(np.concatenate(([np.uint64(1)], np.full(n, s, np.uint64)))) for s in steps]
-    return _POWERS[0], _POWERS[1]
-
-
-def run_hashes(values: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
-    """A polynomial hash, modulo 2^64, of each run of values."""
-    n = len(values)
-    up, down = powers(n)
-    prefix = np.concatenate(([np.uint64(0)], np.cumsum(values * down[:n], dtype=np.uint64)))
-    return mixed((prefix[ends] - prefix[starts]) * up[starts] + (ends - starts).astype(np.uint64))
-
-
-def bit_counts(hashes: np.ndarray, first: np.ndarray, size: np.ndarray) -> np.ndarray:
-    """How often each of the 64 bits is set in each run of hashes: eight counters of a byte are added at a time."""
-    lanes = LANES[hashes.view(np.uint8).reshape(-1, 8)]
-    starts = first if size.max() <= 255 else np.concatenate([np.arange(a, a + n, 255) for a, n in zip(first, size, strict=True)])
-    counts = np.add.reduceat(lanes, starts, axis=0).view(np.uint8).reshape(-1, 64)
-    if len(starts) == len(first):
-        return counts.astype(np.int32)
-    return np.add.reduceat(counts, np.searchsorted(starts, first), axis=0, dtype=np.int32)
-
-
-def line_prints(texts: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """(text, line, hash, fingerprint) of every line with at least MIN_WORDS words."""
-    empty = np.zeros(0, np.int64)
-    raw = [(t + "\n").encode("utf-32-le", "surrogatepass") for t in texts]
-    points = np.frombuffer(b"".join(raw), dtype="<u4")
-    low = np.minimum(points, 0xFFFF)
-    codes = line_map()[low]
-    values = _MAP[1][codes]
-    if (high := np.flatnonzero(points > 0xFFFF)).size:
-        codes[high] = points[high]
-        values[high] = mixed(codes[high] + np.uint64(1))
-    ends_line = codes == 10
-    inside = ~ends_line & (codes != 32)
-    edge = np.diff(np.concatenate(([False], inside, [False])).astype(np.int8))
-    starts, ends = np.flatnonzero(edge == 1), np.flatnonzero(edge == -1)
-    if not len(starts):
-        return empty, empty, empty, empty
-    words = run_hashes(values, starts, ends)
-    line_of = np.concatenate(([0], np.cumsum(ends_line)))[starts]
-    first = np.flatnonzero(np.concatenate(([True], line_of[1:] != line_of[:-1])))
-    size = np.diff(np.append(first, len(words)))
-    text_ends = np.cumsum([len(r) // 4 for r in raw])
-    lines_before = np.concatenate(([0], np.cumsum(ends_line)[text_ends - 1]))
-    long = size >= MIN_WORDS
-    hashes = run_hashes(words, first, first + size)[long]
-    ones = bit_counts(words, first, size)[long]
-    prints = np.packbits(2 * ones > size[long, None], axis=1, bitorder="little").view(np.uint64).ravel()
-    line = line_of[first][long]
-    text = np.searchsorted(lines_before, line, side="right") - 1
-    return text, line - lines_before[text], hashes.view(np.int64), prints.view(np.int64)
-
-
-def prints_of(docs: DataFrame) -> DataFrame:
-    """(doc_id, line, hash, fp) of every line of `docs` (doc_id, text) that has enough words."""
+_SIGNS = regex.compile(r"[^\p{L}\p{M}\p{N}]+")
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            ids, texts = batch.column("doc_id"), [t or "" for t in batch.column("text").to_pylist()]
-            at = 0
-            while at < len(texts):
-                to, total = at, 0
-                while to < len(texts) and (to == at or total + len(texts[to]) <= CHUNK):
-                    total += len(texts[to])
-                    to += 1
-                text, line, hashes, fps = line_prints(texts[at:to])
-                own = ids.take(pa.array(text + at, pa.int64()))
-                yield pa.RecordBatch.from_arrays([own, pa.array(line.astype(np.int32)), pa.array(hashes), pa.array(fps)], ["doc_id", "line", "hash", "fp"])
-                at = to
 
-    return docs.mapInArrow(run, "doc_id long, line int, hash long, fp long")
+def normal_form(line: str) -> str:
+    """Letters, marks and digits in lower case; each run of all else is one blank."""
+    low = line.lower()
+    return (re.sub(r"[^a-z0-9]+", " ", low) if low.isascii() else _SIGNS.sub(" ", low)).strip()
 
 
-def normal_form(line: str) -> str:
-    return " ".join(re.sub(r"[\W_]+", " ", line.lower()).split())
+def is_fuzzy(form: str) -> bool:
+    return len(form) >= MIN_SIGNS or form.count(" ") + 1 >= MIN_WORDS
 
 
 def edit_distance(a: str, b: str) -> int:
@@ -178,120 +89,24 @@ def similar(a: str, b: str, least: float = SIMILARITY) -> bool:
     return max(len(a), len(b)) <= (1 - least) * longer + 1e-9 or edit_distance(a, b) <= (1 - least) * longer + 1e-9
 
 
-def texts_of(docs: DataFrame, wanted: DataFrame) -> DataFrame:
-    """(node, fp, text): the normal form of each wanted (node, fp, doc_id, line)."""
-    lists = wanted.groupBy("doc_id").agg(F.collect_list(F.struct("line", "node", "fp")).alias("wanted"))  # within one document
+def forms_of(rows: DataFrame) -> DataFrame:
+    """(row, id, digest, line, h1, h2, form) of every line of `rows` (row, id, digest, text) that holds a letter or digit."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            node, fp, text = [], [], []
-            for own, picked in zip(batch.column("text").to_pylist(), batch.column("wanted").to_pylist(), strict=True):
-                lines = (own or "").split("\n")
-                for w in picked:
-                    if w["line"] < len(lines):
-                        node.append(w["node"])
-                        fp.append(w["fp"])
-                        text.append(normal_form(lines[w["line"]]))
-            yield pa.RecordBatch.from_arrays([pa.array(node, pa.int64()), pa.array(fp, pa.int64()), pa.array(text, pa.string())], ["node", "fp", "text"])
-
-    return docs.join(lists, "doc_id").select("text", "wanted").mapInArrow(run, "node long, fp long, text string")
-
-
-def verified_links(texts: DataFrame, masks: list[int], distance: int, least: float) -> DataFrame:
-    """Edges (a, b) between lines within `distance` bits whose edit similarity reaches `least`; a spanning forest."""
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        table = whole_partition(batches)
-        if table is not None:
-            text, node, kind, fps = table.column("text").to_pylist(), numpy_column(table, "node"), numpy_column(table, "kind"), numpy_column(table, "fp").tolist()
-
-            def accept(i: int, j: int) -> bool:
-                """A pair that shares several blocks is compared in the first of them alone."""
-                apart = fps[i] ^ fps[j]
-                return all(apart & m for m in masks[: kind[i]]) and similar(text[i], text[j], least)
-
-            labels = simhash.linked_labels(table, masks, distance, accept)
-            linked = np.flatnonzero(labels != np.arange(len(node)))
-            yield pa.RecordBatch.from_arrays([pa.array(node[linked]), pa.array(node[labels[linked]])], ["a", "b"])
-
-    return simhash.dealt_by_block(texts, masks).mapInArrow(run, "a long, b long")
-
-
-def removed_lines(docs: DataFrame, least: float = SIMILARITY, distance: int = DISTANCE) -> DataFrame:
-    """(doc_id, removed array<int>): the lines that repeat an earlier one, exactly or nearly.
-
-    docs: (doc_id long, text). Earlier is the smaller (doc_id, line).
-    """
-    lines = stage(prints_of(docs.where("doc_id IS NOT NULL")), "lines")
-    first = F.min(F.struct("doc_id", "line")).alias("first")
-    distinct = stage(lines.groupBy(F.col("hash").alias("node")).agg(F.min("fp").alias("fp"), first, F.count("*").alias("n")), "distinct")
-    masks = simhash.block_plan(distinct.count(), distance)
-    near = simhash.close_links(distinct.select("node", "fp"), distance)
-    near = near.select(F.explode(F.array("a", "b")).alias("node")).distinct()
-    wanted = near.join(distinct, "node").select("node", "fp", "first.doc_id", "first.line")
-    texts = stage(texts_of(docs, wanted), "texts")
-    groups = stage(connected_components(verified_links(texts.dropDuplicates(["node"]), masks, distance, least)), "groups")
-    unstage(texts)
-    own = groups.join(distinct, "node").select("component", "node", "first")
-    keepers = own.join(own.groupBy("component").agg(F.min("first").alias("keep")), "component").select("node", "keep")
-    alone = distinct.where("n > 1").join(groups.select("node"), "node", "left_anti").select("node", F.col("first").alias("keep"))
-    gone = lines.join(keepers.union(alone), F.col("hash") == F.col("node")).where("struct(doc_id, line) <> keep")
-    return gone.groupBy("doc_id").agg(F.collect_set("line").alias("removed"))  # within one document
-
-
-def without_lines(docs: DataFrame, text_col: str, removed_col: str) -> DataFrame:
-    """`docs` with the lines numbered in `removed_col` cut from the text, and their number in that column's place."""
-    names = docs.columns
-    at, places = names.index(text_col), names.index(removed_col)
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            texts = batch.column(at).to_pylist()
-            removed = batch.column(places).to_pylist()
-            for i, gone in enumerate(removed):
-                if gone and texts[i] is not None:
-                    gone = set(gone)
-                    texts[i] = "\n".join(x for k, x in enumerate(texts[i].split("\n")) if k not in gone)
-            arrays = list(batch.columns)
-            arrays[at], arrays[places] = pa.array(texts, pa.string()), pa.array([len(g or ()) for g in removed], pa.int64())
-            yield pa.RecordBatch.from_arrays(arrays, names)
-
-    schema = ", ".join(f"`{f.name}` {'long' if f.name == removed_col else f.dataType.simpleString()}" for f in docs.schema)
-    return docs.mapInArrow(run, schema)
-
-
-def dedup_lines(docs: DataFrame, least: float = SIMILARITY, distance: int = DISTANCE, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """`docs` with repeated lines cut from the text, and n_removed_lines (a column of that name is replaced).
-
-    Of each group of equal or similar lines the one with the smallest (doc_id, line) stays. Lines with fewer
-    than MIN_WORDS words stay. Every row stays, if with an empty text; a null text stays null. Rows without
-    an id keep their text; rows that share an id count as one document. An empty table gives an empty result.
-    """
-    docs = docs.drop("n_removed_lines")
-    found = removed_lines(docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text")), least, distance)
-    joined = docs.join(found.select(F.col("doc_id").alias("__id"), F.col("removed").alias("n_removed_lines")), docs[id_col].cast("long") == F.col("__id"), "left").drop("__id")
-    return without_lines(joined, text_col, "n_removed_lines")
-
-
-def forms_of(docs: DataFrame) -> DataFrame:
-    """(doc_id, line, hash, fuzzy) of every line of `docs` (doc_id, text); fuzzy: whether similar lines count as repeats."""
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            own, line, hashes, fuzzy = [], [], [], []
-            for doc_id, text in zip(batch.column("doc_id").to_pylist(), batch.column("text").to_pylist(), strict=True):
+            at, line, hashes, forms = [], [], bytearray(), []
+            for i, text in enumerate(batch.column("text").to_pylist()):
                 for k, x in enumerate((text or "").split("\n")):
-                    form = normal_form(x)
-                    if not form:
-                        continue
-                    own.append(doc_id)
-                    line.append(k)
-                    hashes.append(xxhash.xxh64_intdigest(form.encode("utf-8", "surrogatepass")))
-                    fuzzy.append(form.count(" ") + 1 >= MIN_WORDS or len(form) >= MIN_SIGNS)
-            arrays = [pa.array(own, pa.int64()), pa.array(line, pa.int32()), pa.array(np.array(hashes, np.uint64).view(np.int64)), pa.array(fuzzy, pa.bool_())]
-            yield pa.RecordBatch.from_arrays(arrays, ["doc_id", "line", "hash", "fuzzy"])
+                    if form := normal_form(x):
+                        at.append(i)
+                        line.append(k)
+                        hashes += xxhash.xxh3_128_digest(form.encode("utf-8", "surrogatepass"))
+                        forms.append(form)
+            own, both = pa.array(at, pa.int64()), np.frombuffer(bytes(hashes), dtype=">i8").astype(np.int64).reshape(-1, 2)
+            arrays = [*(batch.column(c).take(own) for c in ("row", "id", "digest")), pa.array(line, pa.int32()), pa.array(both[:, 0]), pa.array(both[:, 1]), pa.array(forms, pa.string())]
+            yield pa.RecordBatch.from_arrays(arrays, ["row", "id", "digest", "line", "h1", "h2", "form"])
 
-    return docs.mapInArrow(run, "doc_id long, line int, hash long, fuzzy boolean")
+    return rows.mapInArrow(run, "row long, id long, digest long, line int, h1 long, h2 long, form string")
 
 
 def band_keys(texts: list[str]) -> np.ndarray:
@@ -304,7 +119,7 @@ def band_keys(texts: list[str]) -> np.ndarray:
         at = 0
         while at < len(picked):
             to, total = at, 0
-            while to < len(picked) and (to == at or total + len(texts[picked[to]]) <= CHUNK >> 2):
+            while to < len(picked) and (to == at or total + len(texts[picked[to]]) <= CHUNK):
                 total += len(texts[picked[to]])
                 to += 1
             own = picked[at:to]
@@ -327,131 +142,203 @@ def band_keys(texts: list[str]) -> np.ndarray:
     return out
 
 
-def bags(texts: list[str]) -> np.ndarray:
-    """How many characters of each text fall in each of 16 classes, 255 at most."""
+def summaries(texts: list[str]) -> np.ndarray:
+    """Length (saturated) and how many characters fall in each class (15 at most) of each text, as one number."""
     sizes = np.array([len(t) for t in texts])
     points = np.frombuffer("".join(texts).encode("utf-32-le", "surrogatepass"), dtype="<u4").astype(np.int64)
-    return np.minimum(np.bincount(np.repeat(np.arange(len(texts)), sizes) * 16 + points % 16, minlength=16 * len(texts)), 255).astype(np.uint8).reshape(-1, 16)
+    bags = np.bincount(np.repeat(np.arange(len(texts)), sizes) * 31 + points % 31, minlength=31 * len(texts)).reshape(-1, 31)
+    bags = np.minimum(bags[:, (1, 2, 3, 7, 11, 12, 13, 16, 22, 24, 26)], 15).astype(np.uint64)  # less common letters tell more
+    out = np.minimum(sizes, (1 << SIZE_BITS) - 1).astype(np.uint64)
+    for i in range(CLASSES):
+        out |= bags[:, i] << np.uint64(SIZE_BITS + 4 * i)
+    return out
+
+
+def opened(packed: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Sizes and bags of summaries()."""
+    bags = packed[:, None] >> np.arange(SIZE_BITS, SIZE_BITS + 4 * CLASSES, 4, dtype=np.uint64) & np.uint64(15)
+    return (packed & np.uint64((1 << SIZE_BITS) - 1)).astype(np.int64), bags.astype(np.int8)
 
 
-def may_be_similar(bag: np.ndarray, size: np.ndarray, a: np.ndarray, b: np.ndarray, least: float) -> np.ndarray:
+def may_be_similar(size: np.ndarray, bag: np.ndarray, a: np.ndarray, b: np.ndarray, least: float) -> np.ndarray:
     """Whether lengths and characters allow a similarity of `least`; never False where similar() is True."""
-    limit = (1 - least) * np.maximum(size[a], size[b]) + 1e-9
+    limit = np.where(np.maximum(size[a], size[b]) >= (1 << SIZE_BITS) - 1, np.inf, (1 - least) * np.maximum(size[a], size[b]) + 1e-9)
     fits = np.abs(size[a] - size[b]) <= limit
     at = np.flatnonzero(fits)
-    apart = bag[a[at]].astype(np.int16) - bag[b[at]]
-    up = np.maximum(apart, 0).sum(1)
-    fits[at] = np.maximum(up, up - apart.sum(1)) <= limit[at]
+    apart = bag[a[at]] - bag[b[at]]
+    up, down = np.maximum(apart, 0).sum(1), np.maximum(-apart, 0).sum(1)
+    fits[at] = np.maximum(up, down) <= limit[at]
     return fits
 
 
-def banded(texts: DataFrame) -> DataFrame:
-    """(node, size, bag0, bag1, key): each (node, text) once for each band, dealt by the band's key."""
+def banded(distinct: DataFrame) -> DataFrame:
+    """(node, summary, key): each fuzzy (node, form) once for each band, dealt and sorted by the band's key."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            if not batch.num_rows:
+            text, node = batch.column("form").to_pylist(), batch.column("node").to_numpy()
+            fuzzy = np.flatnonzero([is_fuzzy(t) for t in text])
+            if not len(fuzzy):
                 continue
-            node, text = batch.column("node").to_numpy(), batch.column("text").to_pylist()
-            keys, size = band_keys(text).view(np.int64), np.array([len(t) for t in text], dtype=np.int32)
-            bag = bags(text).view(np.int64)
-            for band in range(keys.shape[1]):
-                at = np.flatnonzero(keys[:, band])
-                arrays = [node[at], size[at], bag[at, 0], bag[at, 1], keys[at, band]]
-                yield pa.RecordBatch.from_arrays([pa.array(x) for x in arrays], ["node", "size", "bag0", "bag1", "key"])
+            text, node = [text[i] for i in fuzzy], node[fuzzy]
+            keys, summary = band_keys(text).view(np.int64), summaries(text).view(np.int64)
+            row, band = np.nonzero(keys)
+            yield pa.RecordBatch.from_arrays([pa.array(node[row]), pa.array(summary[row]), pa.array(keys[row, band])], ["node", "summary", "key"])
 
-    return texts.mapInArrow(run, "node long, size int, bag0 long, bag1 long, key long").repartition("key")
+    return distinct.select("node", "form").mapInArrow(run, "node long, summary long, key long").repartition("key").sortWithinPartitions("key")
 
 
-def with_partner(rows: DataFrame, least: float) -> DataFrame:
-    """(node, key) of the rows of banded() that another row of their key may be similar to."""
+def partners(rows: DataFrame, least: float) -> DataFrame:
+    """(node, group): the rows of banded() that another row of their key may be similar to.
+
+    Keys that gather the same rows make the same group, so a pair that meets under many keys is one group. A
+    key with more than RUN rows passes whole: its rows are told apart by blocks later.
+    """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        table = whole_partition(batches)
-        if table is None:
-            return
-        size, key = numpy_column(table, "size"), numpy_column(table, "key")
-        order = np.lexsort((size, key))
-        size, key = size[order], key[order]
-        bag = np.stack([numpy_column(table, c)[order] for c in ("bag0", "bag1")], axis=1).view(np.uint8)
-        starts = np.flatnonzero(np.concatenate(([True], key[1:] != key[:-1])))
-        end = np.repeat(np.append(starts[1:], len(key)), np.diff(np.append(starts, len(key))))
-        found, rows, step = np.zeros(len(key), dtype=bool), np.arange(len(key)), 1
-        while True:
-            rows = rows[rows + step < end[rows]]
-            rows = rows[size[rows] >= least * size[rows + step] - 1e-9]  # sizes ascend
-            if not len(rows):
-                break
-            ask = rows[~(found[rows] & found[rows + step])]
-            for at in range(0, len(ask), CHUNK):
-                a = ask[at : at + CHUNK]
-                a = a[may_be_similar(bag, size, a, a + step, least)]
-                found[a] = found[a + step] = True
-            if step & (step - 1) == 0 or step % 64 == 0:  # rows go once they and all after them have a partner
-                open_before = np.concatenate(([0], np.cumsum(~found)))
-                rows = rows[open_before[end[rows]] > open_before[rows]]
-            step += 1
-        yield pa.RecordBatch.from_arrays([pa.array(numpy_column(table, "node")[order][found]), pa.array(key[found])], ["node", "key"])
-
-    return rows.mapInArrow(run, "node long, key long")
+        for table, whole in row_runs(batches, ["key"], RUN):
+            node, key = numpy_column(table, "node"), numpy_column(table, "key")
+            if not whole:
+                yield pa.RecordBatch.from_arrays([pa.array(node), pa.array(key)], ["node", "group"])
+                continue
+            size, bag = opened(numpy_column(table, "summary").view(np.uint64))
+            order = np.lexsort((size, key))
+            node, key, size, bag = node[order], key[order], size[order], bag[order]
+            starts = np.flatnonzero(np.concatenate(([True], key[1:] != key[:-1])))
+            end = np.repeat(np.append(starts[1:], len(key)), np.diff(np.append(starts, len(key))))
+            found, rows, step = np.zeros(len(key), dtype=bool), np.arange(len(key)), 1
+            while True:
+                rows = rows[rows + step < end[rows]]
+                rows = rows[size[rows] >= least * size[rows + step] - 1e-9]  # sizes ascend
+                if not len(rows):
+                    break
+                ask = rows[~(found[rows] & found[rows + step])]
+                for at in range(0, len(ask), RUN):
+                    a = ask[at : at + RUN]
+                    a = a[may_be_similar(size, bag, a, a + step, least)]
+                    found[a] = found[a + step] = True
+                if step & (step - 1) == 0 or step % 64 == 0:  # rows go once they and all after them have a partner
+                    open_before = np.concatenate(([0], np.cumsum(~found)))
+                    rows = rows[open_before[end[rows]] > open_before[rows]]
+                step += 1
+            marks = np.where(found, mixed(node.view(np.uint64)), np.uint64(0))
+            sums = np.add.reduceat(marks, starts)
+            group = np.repeat(mixed(sums), np.diff(np.append(starts, len(key)))).view(np.int64)
+            yield pa.RecordBatch.from_arrays([pa.array(node[found]), pa.array(group[found])], ["node", "group"])
+
+    return rows.mapInArrow(run, "node long, group long").distinct()
+
+
+def blocked(hits: DataFrame, block: int) -> DataFrame:
+    """`hits` with lo, hi and side: groups of more than `block` rows become pairs of blocks, which a task compares."""
+    large = hits.groupBy("group").agg(F.count("*").alias("n")).where(F.col("n") > block)
+    large = large.select("group", F.ceil(F.col("n") / block).cast("int").alias("blocks"), F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))).alias("salt"))
+    every = hits.withColumn("salt", F.pmod(F.xxhash64("node"), F.lit(SALTS)).cast("int")).join(large, ["group", "salt"], "left").fillna(1, ["blocks"])
+    every = every.select("node", "group", "blocks", F.pmod(F.xxhash64("node", F.lit(1)), F.col("blocks")).cast("int").alias("side"))
+    dealt = every.select("*", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("other"))
+    return dealt.select("node", "group", F.least("side", "other").alias("lo"), F.greatest("side", "other").alias("hi"), "side")
+
+
+def group_links(text: list[str], side: np.ndarray, least: float) -> np.ndarray:
+    """The class of each text of a group: those of two sides are compared with one another, those of one side too if it is the only one."""
+    size = np.minimum(np.array([len(t) for t in text]), (1 << SIZE_BITS) - 1)
+    bag, own = opened(summaries(text))[1], np.arange(len(text))
+    two = side.min() != side.max()
+    for i in range(1, len(text)):
+        left = np.flatnonzero(own[:i] != own[i])
+        if two:
+            left = left[side[left] != side[i]]
+        left = left[may_be_similar(size, bag, left, np.full(len(left), i), least)]
+        for j in left.tolist():
+            if own[i] != own[j] and similar(text[i], text[j], least):
+                own[own == max(own[i], own[j])] = min(own[i], own[j])
+    return own
 
 
 def similar_links(rows: DataFrame, least: float) -> DataFrame:
-    """Edges (a, b) that span the lines of each key of `rows` (node, key, text) whose edit similarity reaches `least`."""
+    """Edges (a, b) that span the lines of each block pair of `rows` (node, form, group, lo, hi, side) that are similar."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        table = whole_partition(batches)
-        if table is None:
-            return
-        node, key, text = numpy_column(table, "node"), numpy_column(table, "key").view(np.uint64), table.column("text").to_pylist()
-        size, bag, keys = np.array([len(t) for t in text]), bags(text), band_keys(text)
-        labels, order = np.arange(len(node)), np.argsort(key, kind="stable")
-        for group in np.split(order, np.flatnonzero(np.diff(key[order])) + 1):
-            band = int(np.flatnonzero(keys[group[0]] == key[group[0]])[0])
-            own = np.arange(len(group))  # classes within the group
-            for i in range(1, len(group)):
-                left = np.flatnonzero(own[:i] != own[i])
-                left = left[~((keys[group[left], :band] == keys[group[i], :band]) & (keys[group[i], :band] != 0)).any(axis=1)]  # compared in the first band that they share
-                left = left[may_be_similar(bag, size, group[left], np.full(len(left), group[i]), least)]
-                for j in left.tolist():
-                    if own[i] != own[j] and similar(text[group[i]], text[group[j]], least):
-                        own[own == max(own[i], own[j])] = min(own[i], own[j])
-            labels[group] = group[own]
-            linked = group[labels[group] != group]
-            if len(linked):
-                yield pa.RecordBatch.from_arrays([pa.array(node[linked]), pa.array(node[labels[linked]])], ["a", "b"])
-
-    return rows.repartition("key").mapInArrow(run, "a long, b long")
-
-
-def repeated_lines(docs: DataFrame, least: float = SIMILARITY) -> DataFrame:
-    """(doc_id, removed array<int>): the lines that repeat an earlier one, exactly or by edit similarity.
-
-    docs: (doc_id long, text). Earlier is the smaller (doc_id, line). Candidates are lines that share a band of
-    min-wise hashes of their character n-grams; every candidate is decided by similar().
+        for table, _ in row_runs(batches, ["group", "lo", "hi"], BLOCK):
+            node, text, side = numpy_column(table, "node"), table.column("form").to_pylist(), numpy_column(table, "side")
+            keys = np.stack([numpy_column(table, c) for c in ("group", "lo", "hi")])
+            edges = np.concatenate(([0], np.flatnonzero((keys[:, 1:] != keys[:, :-1]).any(axis=0)) + 1, [len(node)]))
+            a, b = [], []
+            for lo, hi in zip(edges, edges[1:], strict=False):
+                label = group_links(text[lo:hi], side[lo:hi], least)
+                linked = np.flatnonzero(label != np.arange(hi - lo))
+                a.append(node[lo:hi][linked])
+                b.append(node[lo:hi][label[linked]])
+            yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(a)), pa.array(np.concatenate(b))], ["a", "b"])
+
+    keys = ["group", "lo", "hi"]
+    return rows.repartition(*keys).sortWithinPartitions(*keys).mapInArrow(run, "a long, b long")
+
+
+def repeated_lines(rows: DataFrame, least: float = SIMILARITY, block: int = BLOCK) -> DataFrame:
+    """(row, removed array<int>): the lines that repeat an earlier one, exactly or by edit similarity.
+
+    rows: (row long, unique; id long; digest long, of the text; text). Earlier is the smaller (id, digest, row,
+    line), rows without an id last. Lines are equal if their whole normal forms are: forms are grouped by
+    themselves, their 128-bit hash only deals them, and two forms of one hash stop the job.
     """
-    lines = stage(forms_of(docs.where("doc_id IS NOT NULL")), "lines")
-    first = F.min(F.struct("doc_id", "line")).alias("first")
-    distinct = stage(lines.groupBy(F.col("hash").alias("node")).agg(F.first("fuzzy").alias("fuzzy"), first, F.count("*").alias("n")), "distinct")
-    wanted = distinct.where("fuzzy").select("node", F.lit(0).cast("long").alias("fp"), "first.doc_id", "first.line")
-    texts = stage(texts_of(docs, wanted).select("node", "text").dropDuplicates(["node"]), "texts")
-    hits = stage(with_partner(banded(texts), least), "hits")
-    groups = stage(connected_components(similar_links(hits.join(texts, "node"), least)), "groups")
-    unstage(texts, hits)
+    lines = stage(forms_of(rows), "lines")
+    first = F.min(F.struct(F.col("id").isNull().alias("lost"), "id", "digest", "row", "line")).alias("first")
+    distinct = lines.groupBy("h1", "h2", "form").agg(first, F.count("*").alias("n"))
+    distinct = stage(distinct.withColumn("node", F.monotonically_increasing_id()), "distinct")
+    clash = distinct.groupBy("h1", "h2").agg(F.count("*").alias("n")).where("n > 1").first()
+    if clash is not None:
+        raise RuntimeError("two lines share a 128-bit hash")
+    hits = stage(partners(banded(distinct), least), "hits")
+    dealt = blocked(hits, block).join(distinct.select("node", "form"), "node")
+    groups = stage(connected_components(similar_links(dealt, least)), "groups")
+    unstage(hits)
     own = groups.join(distinct, "node").select("component", "node", "first")
     keepers = own.join(own.groupBy("component").agg(F.min("first").alias("keep")), "component").select("node", "keep")
-    alone = distinct.where("n > 1").join(groups.select("node"), "node", "left_anti").select("node", F.col("first").alias("keep"))
-    gone = lines.join(keepers.union(alone), F.col("hash") == F.col("node")).where("struct(doc_id, line) <> keep")
-    return gone.groupBy("doc_id").agg(F.collect_set("line").alias("removed"))  # within one document
+    repeats = distinct.select("h1", "h2", "n", "node", "first").join(keepers, "node", "left")
+    repeats = repeats.where("n > 1 OR keep IS NOT NULL").select("h1", "h2", F.coalesce("keep", "first").alias("keep"))
+    gone = dealt_keys(lines.select("row", "line", "h1", "h2"), repeats).where("row <> keep.row OR line <> keep.line")
+    return gone.groupBy("row").agg(F.collect_set("line").alias("removed"))  # within one document
+
+
+def dealt_keys(lines: DataFrame, repeats: DataFrame) -> DataFrame:
+    """`lines` with keep; a line that a third of all rows hold is dealt over SALTS tasks."""
+    salted = repeats.select("*", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))).alias("salt"))
+    return lines.withColumn("salt", F.pmod(F.xxhash64("row"), F.lit(SALTS)).cast("int")).join(salted, ["h1", "h2", "salt"])
+
+
+def without_lines(docs: DataFrame, text_col: str, removed_col: str) -> DataFrame:
+    """`docs` with the lines numbered in `removed_col` cut from the text, and their number in that column's place."""
+    names = docs.columns
+    at, places = names.index(text_col), names.index(removed_col)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            texts = batch.column(at).to_pylist()
+            removed = batch.column(places).to_pylist()
+            for i, gone in enumerate(removed):
+                if gone and texts[i] is not None:
+                    gone = set(gone)
+                    texts[i] = "\n".join(x for k, x in enumerate(texts[i].split("\n")) if k not in gone)
+            arrays = list(batch.columns)
+            arrays[at], arrays[places] = pa.array(texts, pa.string()), pa.array([len(g or ()) for g in removed], pa.int64())
+            yield pa.RecordBatch.from_arrays(arrays, names)
 
+    schema = ", ".join(f"`{f.name}` {'long' if f.name == removed_col else f.dataType.simpleString()}" for f in docs.schema)
+    return docs.mapInArrow(run, schema)
 
-def dedup_all_lines(docs: DataFrame, least: float = SIMILARITY, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """dedup_lines() on edit similarity alone, found by character n-grams instead of fingerprints of words.
 
-    Every line that holds a word goes if it equals an earlier one; those with MIN_WORDS words or MIN_SIGNS signs
-    also if they are similar to another.
+def dedup_lines(docs: DataFrame, least: float = SIMILARITY, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """`docs` with repeated lines cut from the text, and n_removed_lines (a column of that name is replaced).
+
+    Of each group of equal or similar lines the one with the smallest (id, text digest, line) stays. Every line with a
+    letter or digit goes if it equals an earlier one; those with MIN_WORDS words or MIN_SIGNS signs also if they are
+    similar to another. Every row stays, if with an empty text; a null text stays null. Rows count one by one: those
+    that share an id or a whole text, or lack an id (they come last), repeat one another like any others. An empty
+    table gives an empty result. Columns named __row or __gone are lost.
     """
-    docs = docs.drop("n_removed_lines")
-    found = repeated_lines(docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text")), least)
-    joined = docs.join(found.select(F.col("doc_id").alias("__id"), F.col("removed").alias("n_removed_lines")), docs[id_col].cast("long") == F.col("__id"), "left").drop("__id")
+    docs = docs.drop("n_removed_lines", "__row", "__gone")
+    rows = stage(docs.withColumn("__row", F.monotonically_increasing_id()), "rows")
+    found = repeated_lines(rows.select(F.col("__row").alias("row"), F.col(id_col).cast("long").alias("id"), F.xxhash64(text_col).alias("digest"), F.col(text_col).alias("text")), least)
+    joined = rows.join(found.select(F.col("row").alias("__row"), F.col("removed").alias("n_removed_lines")), "__row", "left").drop("__row")
     return without_lines(joined, text_col, "n_removed_lines")

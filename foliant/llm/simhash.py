@@ -15,7 +15,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from foliant.llm.common import connected_components, merge_labels, numpy_column, stage, whole_partition
+from foliant.llm.common import connected_components, merge_labels, numpy_column, row_runs, stage
 
 BITS = 64
 Accept = Callable[[int, int], bool] | None
@@ -23,6 +23,8 @@ Accept = Callable[[int, int], bool] | None
 RUN = 512
 #: Distinct fingerprints that a block value may hold on average before longer keys are taken.
 PER_BLOCK = 256
+#: Rows that a task compares at one go, whole runs of a block value.
+ROWS = 1 << 17
 
 
 def fingerprint(text: str | None, words: int, seed: int = 42) -> int:
@@ -129,7 +131,7 @@ def dealt_by_block(rows: DataFrame, masks: list[int]) -> DataFrame:
     """`rows` (with fp) once for each mask, dealt by what the mask shows: columns kind and key are added."""
     signed = [m - (1 << 64) if m >> 63 else m for m in masks]
     keys = F.array(*[F.col("fp").bitwiseAND(F.lit(m)) for m in signed])
-    return rows.select("*", F.posexplode(keys).alias("kind", "key")).repartition("kind", "key")
+    return rows.select("*", F.posexplode(keys).alias("kind", "key")).repartition("kind", "key").sortWithinPartitions("kind", "key")
 
 
 def linked_labels(table: pa.Table, masks: list[int], distance: int, accept: Accept = None) -> np.ndarray:
@@ -152,8 +154,7 @@ def close_links(reps: DataFrame, distance: int, per_block: int = PER_BLOCK) -> D
     masks = block_plan(reps.count(), distance, per_block=per_block)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        table = whole_partition(batches)
-        if table is not None:
+        for table, _ in row_runs(batches, ["kind", "key"], ROWS, most=-1):
             labels, node = linked_labels(table, masks, distance), numpy_column(table, "node")
             linked = np.flatnonzero(labels != np.arange(len(node)))
             yield pa.RecordBatch.from_arrays([pa.array(node[linked]), pa.array(node[labels[linked]])], ["a", "b"])

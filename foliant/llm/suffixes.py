@@ -17,8 +17,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from foliant.llm.common import numpy_column, stage, unstage, whole_partition
-from foliant.llm.lines import mixed
+from foliant.llm.common import mixed, numpy_column, row_runs, stage, unstage
 
 WIDTH, GRAM = 200, 64
 #: Bytes hashed at one go; longer documents are cut into overlapping tiles.
@@ -242,25 +241,14 @@ def resolved(contexts: DataFrame, width: int, gram: int) -> DataFrame:
     """(id, digest, from, to) for the contexts of few-sided anchors, sorted partition by partition."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        table = whole_partition(batches)
-        if table is None:
-            return
-        table = table.sort_by("g")
-        g, pos, open_ = numpy_column(table, "g"), numpy_column(table, "pos"), numpy_column(table, "n") == 1
-        edges = np.flatnonzero(np.concatenate(([True], g[1:] != g[:-1], [True])))
-        at = 0
-        while at < len(edges) - 1:
-            to = max(at + 1, int(np.searchsorted(edges, edges[at] + ROWS, side="right")) - 1)
-            rows = slice(edges[at], edges[to])
-            part = table.slice(edges[at], edges[to] - edges[at])
-            cover = repeated_windows(part.column("l").to_pylist(), part.column("r").to_pylist(), g[rows], width, gram)
-            cover[~open_[rows]] = False
-            row, lo, hi = spans_of(cover, pos[rows], width)
+        for part, _ in row_runs(batches, ["g"], ROWS, most=-1):  # a string has at most `heavy` contexts
+            cover = repeated_windows(part.column("l").to_pylist(), part.column("r").to_pylist(), numpy_column(part, "g"), width, gram)
+            cover[numpy_column(part, "n") > 1] = False
+            row, lo, hi = spans_of(cover, numpy_column(part, "pos"), width)
             own = pa.array(row)
             yield pa.RecordBatch.from_arrays([part.column("id").combine_chunks().take(own), part.column("digest").combine_chunks().take(own), pa.array(lo), pa.array(hi)], ["id", "digest", "from", "to"])
-            at = to
 
-    return contexts.select("g", "id", "digest", "pos", "n", "l", "r").repartition("g").mapInArrow(run, "id long, digest long, `from` long, `to` long")
+    return contexts.select("g", "id", "digest", "pos", "n", "l", "r").repartition("g").sortWithinPartitions("g").mapInArrow(run, "id long, digest long, `from` long, `to` long")
 
 
 def counted_windows(contexts: DataFrame, width: int, gram: int) -> DataFrame:

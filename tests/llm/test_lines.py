@@ -1,9 +1,12 @@
 import random
+import unicodedata
 
 import numpy as np
+import pyarrow as pa
 import pytest
 
 from foliant.llm import lines
+from foliant.llm.common import row_runs
 
 SCHEMA = "doc_id long, text string, lang string, line string, n_removed_lines string"
 WORDS = "alpha bravo charlie delta echo foxtrot golf hotel india juliet kilo lima mike november oscar papa".split()
@@ -18,98 +21,138 @@ def slow_distance(a, b):
     return row[-1]
 
 
-def test_edit_distance():
-    rng = random.Random(0)
-    for _ in range(300):
-        a, b = ("".join(rng.choices("abé ", k=rng.randrange(30))) for _ in "ab")
-        assert lines.edit_distance(a, b) == slow_distance(a, b)
-    assert lines.similar("", "") and not lines.similar("", "abc") and lines.similar("abcde", "abcdx")
+def slow_form(line):
+    """A normal form of its own: what is no letter, mark or digit parts words."""
+    return " ".join("".join(c if unicodedata.category(c)[0] in "LMN" else " " for c in line.lower()).split())
 
 
-def test_prints_do_not_depend_on_what_stands_around():
-    texts = ["one two three four five\nshort line\n\nSix SEVEN, eight 9 ten!", "", "six seven eight 8 ten", "x" * 9000 + " a b c d"]
-    text, line, hashes, prints = lines.line_prints(texts)
-    assert list(zip(text, line)) == [(0, 0), (0, 3), (2, 0), (3, 0)]
-    assert hashes[1] == hashes[2] and prints[1] == prints[2] and len(set(hashes)) == 3
-    alone = lines.line_prints(texts[2:3])
-    assert alone[2][0] == hashes[2] and alone[3][0] == prints[2]
+def slow_similar(a, b, least=0.8):
+    if a == b:
+        return True
+    both = all(len(x) >= 20 or len(x.split()) >= 5 for x in (a, b))
+    longer = max(len(a), len(b))  # edit_distance() is checked by slow_distance() above
+    return both and abs(len(a) - len(b)) < longer / 4 and 1 - lines.edit_distance(a, b) / longer >= least - 1e-9
 
 
-def slow_removed(rows, distance=3, least=0.8):
-    spots, prints = [], []
-    for doc_id, text in sorted((i, t) for i, t in rows if i is not None and t):
-        for k, x in enumerate(text.split("\n")):
-            _, _, h, fp = lines.line_prints([x])
-            if len(h):
-                spots.append((doc_id, k, h[0], lines.normal_form(x)))
-                prints.append(int(fp[0]) % (1 << 64))
+def slow_removed(rows):
+    """{(row, line)} that go, for rows (doc_id, text), each a row of its own; equal rows in any order."""
+    spots = []
+    for row, (doc_id, text) in sorted(enumerate(rows), key=lambda x: (x[1][0] is None, x[1][0] or 0, x[1][1] or "")):
+        spots += [(row, k, slow_form(x)) for k, x in enumerate((text or "").split("\n")) if slow_form(x)]
     label = list(range(len(spots)))
     for i in range(len(spots)):
         for j in range(i):
-            same = spots[i][2] == spots[j][2]
-            if same or ((prints[i] ^ prints[j]).bit_count() <= distance and lines.similar(spots[i][3], spots[j][3], least)):
+            if label[i] != label[j] and slow_similar(spots[i][2], spots[j][2]):
                 a, b = label[i], label[j]
                 label = [min(a, b) if x in (a, b) else x for x in label]
     return {spots[i][:2] for i in range(len(spots)) if label[i] != i}
 
 
+def slow_texts(rows):
+    gone = slow_removed(rows)
+    return [(i, t if t is None else "\n".join(x for k, x in enumerate(t.split("\n")) if (row, k) not in gone)) for row, (i, t) in enumerate(rows)]
+
+
+def kept(spark, rows):
+    """What dedup_lines() leaves of rows (doc_id, text)."""
+    got = lines.dedup_lines(spark.createDataFrame([(i, t, "en", "x", "y") for i, t in rows], SCHEMA))
+    assert got.columns == SCHEMA.replace(",", "").split()[::2]
+    return sorted(((r.doc_id, r.text) for r in got.collect()), key=str)
+
+
+def test_edit_distance():
+    rng = random.Random(0)
+    for _ in range(300):
+        a, b = ("".join(rng.choices("abé ", k=rng.randrange(30))) for _ in "ab")
+        assert lines.edit_distance(a, b) == slow_distance(a, b)
+    assert lines.similar("", "") and not lines.similar("", "abc") and lines.similar("abcde", "abcdx")
+
+
+def test_normal_form():
+    for x in ["  Read MORE… ", "a_b-c", "हिन्दी में, लिखा", "ÄÖ ß", "--", "", "x" * 9000 + "!", "2021: 3,5 %", "สวัสดีครับ"]:
+        assert lines.normal_form(x) == slow_form(x)
+
+
 def test_removed_lines_match_brute_force(spark):
     rng = random.Random(3)
-    base = [" ".join(rng.choices(WORDS, k=rng.randint(3, 60))) for _ in range(30)]
+    base = [" ".join(rng.choices(WORDS, k=rng.randint(2, 40))) for _ in range(24)]
     pool = base + [x.replace("alpha", "alphas", 1) for x in base] + [x + " end" for x in base] + [x.title() + "." for x in base]
-    rows = [(i * 2, "\n".join(rng.choices(pool, k=rng.randint(0, 6)))) for i in range(60)]
-    rows += [(1000 + i, base[0] + "\n\n" + base[5]) for i in range(30)] + [(None, base[0]), (2000, None), (2001, "")]
-    order = rows[:]
-    rng.shuffle(order)
-    df = spark.createDataFrame([(i, t, "en", "x", "y") for i, t in order], SCHEMA)
-    got = lines.dedup_lines(df)
-    assert got.columns == df.columns
-    gone = slow_removed(rows)
-    want = {i: t if t is None else "\n".join(x for k, x in enumerate(t.split("\n")) if (i, k) not in gone) for i, t in rows}
-    found = got.collect()
-    assert len(found) == len(rows) and {r.doc_id: r.text for r in found} == want
-    assert sum(r.n_removed_lines for r in found) == len(gone)
+    rows = [(i * 2, "\n".join(rng.choices(pool, k=rng.randint(0, 5)))) for i in range(40)]
+    rows += [(1000 + i, base[0] + "\n\n" + base[5]) for i in range(30)] + [(None, base[0]), (None, "only here, in a row without an id"), (2000, None), (2001, "")]
+    shuffled = rows[:]
+    rng.shuffle(shuffled)
+    assert kept(spark, shuffled) == sorted(slow_texts(rows), key=str)
 
 
-def test_empty_table(spark):
-    assert lines.dedup_lines(spark.createDataFrame([], SCHEMA)).count() == 0
+def test_lines_are_equal_only_if_their_texts_are(spark):
+    """Digits tell lines apart, whatever their form or hash may be."""
+    rows = [(1, "2023 1111 2222 3333 4444"), (2, "1999 8888 7777 6666 5555"), (3, "2023 1111 2222 3333 4445"), (4, "7"), (5, "8"), (6, "7.")]
+    assert kept(spark, rows) == [(1, rows[0][1]), (2, rows[1][1]), (3, ""), (4, "7"), (5, "8"), (6, "")]
+
 
+def test_rows_that_share_an_id_are_rows_of_their_own(spark):
+    rows = [(5, "first line that stands twice\nand more of it"), (5, "a line found nowhere else at all\nfirst line that stands twice"), (6, "first line that stands twice")]
+    assert kept(spark, rows) == sorted(slow_texts(rows), key=str)
+    twice = [(7, "the whole text of this row is here twice")] * 3
+    assert kept(spark, twice) == sorted([(7, ""), (7, ""), twice[0]], key=str)
 
-@pytest.mark.parametrize("n", [1, 1000])
-def test_run_hashes_are_those_of_the_runs(n):
-    values = np.random.default_rng(n).integers(0, 1 << 62, n).astype(np.uint64)
-    whole = lines.run_hashes(values, np.array([n // 2]), np.array([n]))
-    assert whole == lines.run_hashes(values[n // 2 :], np.array([0]), np.array([n - n // 2]))
 
+def test_short_lines_go_if_they_are_equal(spark):
+    cjk = "这是一个没有空格的很长的句子用来检查重复的行是否会被删除掉"
+    rows = [(0, f"Chapter one\n{cjk}\n--"), (1, f"CHAPTER one:\nChapter two\n{cjk[:-1]}\n--")]
+    assert kept(spark, rows) == [(0, rows[0][1]), (1, "Chapter two\n--")]
 
-def removed(spark, texts):
-    """The spots that dedup_all_lines() cuts from documents numbered from 0, each line of them being different."""
-    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
-    left = {r.doc_id: r.text.split("\n") for r in lines.dedup_all_lines(df).collect()}
-    return {(i, k) for i, t in enumerate(texts) for k, x in enumerate(t.split("\n")) if x not in left[i]}
 
+def test_large_groups_are_compared_block_by_block(spark):
+    rng = random.Random(5)
+    base = "this template stands on a great many pages and was written by user number"
+    rows = [(i, f"{base} {''.join(rng.choices('abcdefgh', k=6))}") for i in range(60)] + [(100, "an unrelated line which resembles none of the others here")]
+    df = spark.createDataFrame([(i, i, i, t) for i, t in rows], "row long, id long, digest long, text string")
+    gone = {(r.row, k) for r in lines.repeated_lines(df, block=16).collect() for k in r.removed}
+    assert gone == {(i, 0) for i in range(1, 60)}
 
-def test_all_lines_of_edit_similarity_are_found(spark):
+
+def test_recall_of_word_edits_at_the_threshold(spark):
+    """Lines of 20 words of which two or three are replaced: an edit similarity of 0.8 to 0.9; the share found is measured."""
     rng = random.Random(8)
-    base = [" ".join("".join(rng.choices("abcdefghijklmnop", k=rng.randint(3, 7))) for _ in range(rng.randint(9, 30))) for _ in range(40)]
-    texts = list(base)
-    for x in base:
-        words = x.split()
-        words[rng.randrange(len(words))] = "".join(rng.choices("qrstuv", k=5))
-        texts.append(" ".join(words))
-    forms = [lines.normal_form(x) for x in texts]
-    pairs = {(j, i) for i in range(len(forms)) for j in range(i) if lines.similar(forms[i], forms[j])}
-    assert len(pairs) >= 38
-    assert removed(spark, texts) == {(i, 0) for _, i in pairs}
+    word = lambda letters: "".join(rng.choices(letters, k=rng.randint(3, 7)))
+    base = [[word("abcdefghijklmnop") for _ in range(20)] for _ in range(300)]
+    rows = [(i, " ".join(x)) for i, x in enumerate(base)]
+    for i, x in enumerate(base):
+        new = x[:]
+        for k in rng.sample(range(20), 3):
+            new[k] = word("qrstuvwxyz")
+        rows.append((1000 + i, " ".join(new)))
+    pairs = {i for i in range(300) if lines.similar(rows[i][1], rows[300 + i][1])}
+    found = {i - 1000 for i, t in kept(spark, rows) if i >= 1000 and not t}
+    assert len(pairs) > 200 and found <= pairs and len(found) >= 0.95 * len(pairs)
 
 
-def test_short_lines_go_if_they_are_equal(spark):
-    cjk = "这是一个没有空格的很长的句子用来检查重复的行是否会被删除掉"
-    df = spark.createDataFrame([(0, f"Chapter one\n{cjk}\n--"), (1, f"CHAPTER one:\nChapter two\n{cjk[:-1]}\n--")], "doc_id long, text string")
-    got = {r.doc_id: r.text for r in lines.dedup_all_lines(df).collect()}
-    assert got == {0: f"Chapter one\n{cjk}\n--", 1: "Chapter two\n--"}
+def test_empty_table(spark):
+    assert lines.dedup_lines(spark.createDataFrame([], SCHEMA)).count() == 0
 
 
-def test_lines_that_differ_in_digits_are_compared_by_them(spark):
-    texts = ["2021 3045 1290 8841 7723", "1998 5512 3346 0923 1111", "2021 3045 1290 8841 7724"]
-    assert removed(spark, texts) == {(2, 0)}
+def test_summaries_never_rule_out_similar_lines():
+    rng = random.Random(2)
+    texts = ["".join(rng.choices("abcdefghé ", k=rng.randint(1, 60))) for _ in range(60)]
+    texts += [t[:-2] + "zz" for t in texts if len(t) > 10]
+    size, bag = lines.opened(lines.summaries(texts))
+    for i in range(len(texts)):
+        for j in range(i):
+            if lines.similar(texts[i], texts[j]):
+                assert lines.may_be_similar(size, bag, np.array([i]), np.array([j]), 0.8)[0]
+
+
+@pytest.mark.parametrize("rows", [1, 3, 50])
+@pytest.mark.parametrize("most", [-1, 4])
+def test_row_runs_hold_whole_runs(rows, most):
+    rng = np.random.default_rng(rows)
+    key = np.sort(rng.integers(0, 8, 60))
+    batches = [pa.RecordBatch.from_arrays([pa.array(key[i : i + n]), pa.array(np.arange(60)[i : i + n])], ["k", "v"]) for i in range(0, 60, 7) for n in [7]]
+    got = list(row_runs(iter(batches), ["k"], rows, most=most))
+    assert [v for t, _ in got for v in t.column("v").to_pylist()] == list(range(60))
+    whole = [t.column("k").to_pylist() for t, is_whole in got if is_whole]
+    split = [t.column("k").to_pylist() for t, is_whole in got if not is_whole]
+    assert most > 0 or not split
+    keys = [k for t in whole for k in dict.fromkeys(t)]
+    assert len(keys) == len(set(keys)) and not set(keys) & {k for t in split for k in t} and all(len(set(t)) == 1 for t in split)
