@@ -1,7 +1,10 @@
 """Interpolated Kneser-Ney character models, counted by Spark and kept in sorted arrays.
 
-A character takes 16 bits, so an n-gram of up to four is one 64-bit number: its own perfect hash. Counting
-covers every text; only the finished tables, bounded by `most` n-grams, reach the driver and the workers.
+A character takes 16 bits, so an n-gram of up to four is one 64-bit number: its own perfect hash. Spark takes the
+counts, the continuation counts of lower orders, the counts of counts and the contexts' totals over all n-grams
+of all texts. The tables that reach the driver and the workers grow with the texts up to `most` n-grams an
+order; beyond, n-grams below the smallest power of two that fits are left to the lower order, which takes
+over exactly the probability that they had.
 """
 
 from __future__ import annotations
@@ -11,13 +14,14 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-import pyarrow.compute  # noqa: F401  pa.compute
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from foliant.llm.common import stage, unstage
+
 ORDER = 4
-#: Characters handled at one go, and n-grams that a model's tables may hold in all.
-CHUNK, MOST = 1 << 20, 400_000
+#: Characters handled at one go, and n-grams of one order that the tables of all labels hold: a bound on memory.
+CHUNK, MOST = 1 << 20, 2_000_000
 OTHER = 0xFFFF
 _MAPS: dict[bool, np.ndarray] = {}
 
@@ -112,26 +116,44 @@ def look_up(table: np.ndarray, keys: np.ndarray) -> tuple[np.ndarray, np.ndarray
     return at, table[at] == keys
 
 
+def discounts(by: list[float], modified: bool) -> np.ndarray:
+    """What is taken off counts of one, two and more. by: how many n-grams were counted once to four times."""
+    by = [max(1.0, float(x)) for x in by]
+    y = by[0] / (by[0] + 2 * by[1])
+    return np.array([y] * 3 if not modified else [min(max(i - (i + 1) * y * by[i] / by[i - 1], 0.1), i - 0.05) for i in (1, 2, 3)])
+
+
+def level(keys: np.ndarray, counts: np.ndarray, steps: np.ndarray, contexts: np.ndarray, totals: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Sorted tables of one order: n-grams with what is their own, contexts with what goes to the lower order.
+
+    contexts and totals cover all that was counted; what isn't among the keys is left to the lower order.
+    """
+    sort = np.argsort(keys)
+    keys, counts = keys[sort], counts[sort].astype(np.float64)
+    sort = np.argsort(contexts)
+    contexts, totals = contexts[sort], totals[sort].astype(np.float64)
+    where = np.searchsorted(contexts, keys >> np.uint64(16))
+    own = (counts - steps[np.clip(counts, 1, 3).astype(int) - 1]) / totals[where] if len(keys) else counts
+    freed = np.clip(1 - np.bincount(where, weights=own, minlength=len(contexts)), 0, 1)
+    return keys, own, contexts, freed
+
+
 class KneserNey:
-    """One language's model. Lower orders count distinct predecessors; with `modified` each order has three discounts."""
+    """One language's model. Lower orders count distinct predecessors; a modified one has three discounts an order."""
+
+    def __init__(self, levels: list[tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]], alphabet: int = 256) -> None:
+        self.levels, self.order, self.alphabet = levels, len(levels), alphabet
 
-    def __init__(self, keys: np.ndarray, counts: np.ndarray, order: int, modified: bool, alphabet: int = 256) -> None:
-        self.order, self.alphabet = order, alphabet
-        self.levels: list[tuple] = []
-        sort = np.argsort(keys)
-        keys, counts = keys[sort], counts[sort].astype(np.float64)
+    @classmethod
+    def of_counts(cls, keys: np.ndarray, counts: np.ndarray, order: int, modified: bool) -> KneserNey:
+        """The model of counts that are all at hand."""
+        levels = []
         for k in range(order, 0, -1):
-            by = [max(1.0, float((counts == i).sum())) for i in (1, 2, 3, 4)]
-            y = by[0] / (by[0] + 2 * by[1])
-            steps = [y] * 3 if not modified else [min(max(i - (i + 1) * y * by[i] / by[i - 1], 0.1), i - 0.05) for i in (1, 2, 3)]
-            cut = np.array(steps)[np.clip(counts, 1, 3).astype(int) - 1] if len(counts) else counts
             contexts, where = np.unique(keys >> np.uint64(16), return_inverse=True)
-            total = np.bincount(where, weights=counts, minlength=len(contexts))
-            freed = np.bincount(where, weights=cut, minlength=len(contexts)) / np.maximum(total, 1e-9)
-            own = (counts - cut) / total[where] if len(counts) else counts
-            self.levels.insert(0, (keys, own, contexts, freed))
-            tails, first = np.unique(keys & np.uint64((1 << 16 * (k - 1)) - 1), return_counts=True)
-            keys, counts = tails, first.astype(np.float64)
+            steps = discounts([(counts == i).sum() for i in (1, 2, 3, 4)], modified)
+            levels.insert(0, level(keys, counts, steps, contexts, np.bincount(where, weights=counts, minlength=len(contexts))))
+            keys, counts = np.unique(keys & np.uint64((1 << 16 * (k - 1)) - 1), return_counts=True)
+        return cls(levels)
 
     def probability(self, keys: np.ndarray) -> np.ndarray:
         p = np.full(len(keys), 1 / self.alphabet)
@@ -146,15 +168,9 @@ class KneserNey:
 class Models:
     """Models of several labels over one sorted table: a look-up gives every label's log-probability."""
 
-    def __init__(self, table: pa.Table, order: int, modified: bool, letters_only: bool) -> None:
-        """table: label, key, n."""
-        labels = table.column("label").combine_chunks()
-        self.labels, self.order, self.letters_only = sorted(labels.unique().to_pylist()), order, letters_only
-        keys, n = (table.column(c).combine_chunks().to_numpy() for c in ("key", "n"))
-        self.models = []
-        for label in self.labels:
-            own = pa.compute.equal(labels, label).to_numpy(zero_copy_only=False)
-            self.models.append(KneserNey(keys[own].view(np.uint64), n[own], order, modified))
+    def __init__(self, models: dict[str, KneserNey], order: int, letters_only: bool) -> None:
+        self.labels, self.order, self.letters_only = sorted(models), order, letters_only
+        self.models = [models[x] for x in self.labels]
         self.keys = np.unique(np.concatenate([m.levels[-1][0] for m in self.models])) if self.models else np.zeros(0, np.uint64)
         self.logs = self.computed(self.keys)
 
@@ -181,8 +197,48 @@ class Models:
         return total / np.maximum(count, 1)[:, None], count
 
 
+def all_orders(counted: DataFrame, order: int) -> DataFrame:
+    """(order, label, key, c): counts of the highest order, and for each lower one how many n-grams end in it."""
+    now = counted.where("label IS NOT NULL").select("label", "key", F.col("n").alias("c"))
+    out = now.withColumn("order", F.lit(order))
+    for k in range(order - 1, 0, -1):
+        now = now.groupBy("label", F.col("key").bitwiseAND(F.lit((1 << 16 * k) - 1)).alias("key")).agg(F.count("*").alias("c"))
+        out = out.unionByName(now.withColumn("order", F.lit(k)))
+    return out
+
+
 def fit(docs: DataFrame, order: int = ORDER, modified: bool = False, letters_only: bool = True, most: int = MOST) -> Models:
-    """Models of each label of `docs` (label, text). Counts cover every row; the `most` commonest n-grams form the tables."""
-    counted = count_grams(docs, order, letters_only)
-    table = counted.where("label IS NOT NULL").orderBy(F.desc("n"), "label", "key").limit(most).toArrow()
-    return Models(table, order, modified, letters_only)
+    """Models of each label of `docs` (label, text); rows without a label teach nothing. See above for `most`.
+
+    The driver gets, for each label and order, a row for each power of two among the counts, and the tables.
+    """
+    rows = stage(all_orders(count_grams(docs, order, letters_only), order), "grams")
+    power = F.floor(F.log2("c")).cast("int")
+    ones = [F.count(F.when(F.col("c") == i, 1)).alias(f"n{i}") for i in (1, 2, 3, 4)]
+    stats = rows.groupBy("order", "label", power.alias("power")).agg(F.count("*").alias("n"), *ones).collect()
+    floor = {}
+    for k in range(1, order + 1):
+        sizes = [sum(r.n for r in stats if r.order == k and r.power >= p) for p in range(64)]
+        floor[k] = 1 << next(p for p in range(64) if sizes[p] <= max(most, sizes[63]))
+    least = F.element_at(F.array(*[F.lit(floor[k]) for k in range(1, order + 1)]), F.col("order"))
+    kept = rows.where(F.col("c") >= least).select("order", "label", "key", "c").toArrow()
+    totals = rows.groupBy("order", "label", F.shiftrightunsigned("key", 16).alias("key")).agg(F.sum("c").alias("c"), F.max("c").alias("top"))
+    totals = totals.where(F.col("top") >= least).select("order", "label", "key", "c").toArrow()
+    unstage(rows)
+
+    def parted(table: pa.Table) -> dict[tuple[int, str], tuple[np.ndarray, np.ndarray]]:
+        labels = table.column("label").combine_chunks().dictionary_encode()
+        of, orders = labels.indices.to_numpy(zero_copy_only=False), table.column("order").to_numpy()
+        keys, n = table.column("key").to_numpy().view(np.uint64), table.column("c").to_numpy()
+        own = {(k, x): np.flatnonzero((of == i) & (orders == k)) for i, x in enumerate(labels.dictionary.to_pylist()) for k in range(1, order + 1)}
+        return {at: (keys[rows], n[rows]) for at, rows in own.items()}
+
+    none = (np.zeros(0, np.uint64), np.zeros(0, np.int64))
+    grams_of, totals_of, models = parted(kept), parted(totals), {}
+    for label in sorted({r.label for r in stats}):
+        levels = []
+        for k in range(1, order + 1):
+            steps = discounts([sum(r[f"n{i}"] for r in stats if (r.order, r.label) == (k, label)) for i in (1, 2, 3, 4)], modified)
+            levels.append(level(*grams_of.get((k, label), none), steps, *totals_of.get((k, label), none)))
+        models[label] = KneserNey(levels)
+    return Models(models, order, letters_only)

@@ -20,9 +20,11 @@ def read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder all executors share; a local one only where the session names none (tests)."""
+    """The folder all executors share; a temporary one where a session of one process names none (tests)."""
     found = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
     if not found:
+        if not spark.sparkContext.master.startswith("local"):
+            raise RuntimeError("spark.checkpoint.dir must name a folder that all executors share")
         found = f"file://{tempfile.mkdtemp(prefix='foliant-')}"
         spark.conf.set("spark.checkpoint.dir", found)
     return found
@@ -42,6 +44,33 @@ def stage(df: DataFrame, name: str) -> DataFrame:
     return back
 
 
+def fresh(columns: list[str], *names: str) -> list[str]:
+    """The names, each with as many underscores before it as it takes to be none of the columns."""
+    taken, out = {c.lower() for c in columns}, []
+    for name in names:
+        while name.lower() in taken:
+            name = f"_{name}"
+        taken.add(name.lower())
+        out.append(name)
+    return out
+
+
+#: Keys that meet more rows than this share of the whole are hot: there are at most so many of them.
+HOT = 1000
+
+
+def hot_join(left: DataFrame, right: DataFrame, on: str, size: str, total: int) -> DataFrame:
+    """`left` joined with `right` (one row a key; `size`: the rows of `left` that hold the key, `total` in all).
+
+    Keys that hold more than one of HOT parts of `left` are at most HOT rows, which are broadcast, so their rows stay
+    where they are; the others are dealt by the key.
+    """
+    bar = max(10_000, total // HOT)
+    hot, cold = right.where(F.col(size) > bar), right.where(F.col(size) <= bar)
+    rest = left.join(F.broadcast(hot.select(on)), on, "left_anti").join(cold, on)
+    return left.join(F.broadcast(hot), on).unionByName(rest)
+
+
 def unstage(*tables: DataFrame) -> None:
     for table in tables:
         path = getattr(table, "_staged_at", None)
@@ -49,6 +78,11 @@ def unstage(*tables: DataFrame) -> None:
             _remove(_SCRATCH.pop(path), path)
 
 
+def release(table: DataFrame) -> None:
+    """Let the driver notice which shuffles are over, so that executors delete their files; nothing else does so in time."""
+    table.sparkSession._jvm.System.gc()
+
+
 def _remove(spark: SparkSession, path: str) -> None:
     at = spark._jvm.org.apache.hadoop.fs.Path(path)
     at.getFileSystem(spark._jsc.hadoopConfiguration()).delete(at, True)

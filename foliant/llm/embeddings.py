@@ -17,8 +17,9 @@ from pyspark.sql import functions as F
 
 from foliant.llm.common import connected_components, merge_labels, numpy_column, stage
 
-#: Vectors that serve as pivots: the square root of the number of different vectors, within these bounds.
-PIVOTS = (32, 1024)
+#: Vectors that serve as pivots: the square root of the number of different vectors, within these bounds, and no more
+#: than fit in so many bytes, since every task holds them.
+PIVOTS, PIVOT_BYTES = (32, 32768), 64 << 20
 #: Pivots that describe a vector, and how many of them two vectors must share to be compared.
 NEAREST, SHARED = 8, 2
 #: Vectors of one list that one task holds; longer lists are compared block by block.
@@ -125,7 +126,7 @@ def near_duplicates(vectors: DataFrame, threshold: float = 0.98, nearest: int =
 
 def linked(classes: DataFrame, width: int, threshold: float, nearest: int, shared: int, block: int) -> DataFrame:
     """(node, gain, root) of all lists of one width."""
-    count = max(PIVOTS[0], min(PIVOTS[1], math.isqrt(classes.count())))
+    count = max(PIVOTS[0], min(PIVOTS[1], PIVOT_BYTES // (8 * max(1, width)), math.isqrt(classes.count())))
     pivots = pivots_of(classes, count)
     count, nearest = len(pivots), min(nearest, len(pivots))
     known = stage(described(classes.select("label", "node", "n", "v"), pivots, nearest), "described")

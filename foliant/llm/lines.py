@@ -8,38 +8,56 @@ bits apart, where no pigeonhole blocks are selective; hence the bands.
 
 from __future__ import annotations
 
-import re
+import unicodedata
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-import regex
 import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from foliant.llm.common import connected_components, mixed, numpy_column, row_runs, stage, unstage
+from foliant.llm.common import connected_components, fresh, mixed, numpy_column, release, row_runs, stage, unstage
 
 SIMILARITY = 0.8
 #: Lines with so many words, or so many signs (in any script), are compared; shorter ones go only if they are equal.
 MIN_WORDS, MIN_SIGNS = 5, 20
-#: Bands of min-wise hashes under which similar lines meet: short and long lines have n-grams of their own,
-#: (n, hashes a band, shortest, longest). Any two similar lines lie within one of the ranges.
-BANDS, RANGES = 12, ((5, 2, 0, 50), (8, 2, 40, 1 << 60))
+#: Bands of two min-wise hashes under which similar lines meet: short and long lines have n-grams of their own,
+#: (n, shortest, longest). Any two similar lines lie within one of the ranges.
+BANDS, ROWS, RANGES = 12, 2, ((3, 0, 30), (5, 24, 50), (8, 40, 1 << 60))
+#: Two lines are looked at more closely if so many of the BANDS first hashes agree in their last four bits, and compared
+#: if so many of all BANDS times ROWS hashes agree: lines at an edit similarity of 0.8 share some 40 % of their n-grams.
+AGREE, ALIKE = 3, 5
+#: Pairs of lines whose distance is computed at one go, and bytes of their tables.
+PAIRS, TABLE = 1024, 32 << 20
+#: Beyond so many characters one pair at a time is as fast.
+WIDE = 1536
 #: Signs hashed at one go; rows of one band key that are looked through at one go; lines of one block of a group.
 CHUNK, RUN, BLOCK = 1 << 18, 1 << 16, 1024
-#: Classes of characters in a row's summary, and the bits of its length.
-CLASSES, SIZE_BITS = 11, 20
+#: Bits of a line's length in its summary; longer ones count as that long.
+SIZE_BITS = 16
 #: Tasks that the rows of one group, or the copies of one line, are dealt over.
 SALTS = 16
 BASE = np.uint64(0x9E3779B97F4A7C15 | 1)
-_SIGNS = regex.compile(r"[^\p{L}\p{M}\p{N}]+")
+_NIBBLES = np.uint64(0x111111111111)
+_SIGNS: dict[str, bool] = {}
+
+
+def plain(text: str) -> str:
+    """Lower case, with a blank for each sign that is no letter, mark, digit or line end."""
+    low = text.lower()
+    for c in set(low):
+        sign = _SIGNS.get(c)
+        if sign is None:
+            sign = _SIGNS[c] = c not in "\n " and unicodedata.category(c)[0] not in "LMN"
+        if sign:
+            low = low.replace(c, " ")
+    return low
 
 
 def normal_form(line: str) -> str:
     """Letters, marks and digits in lower case; each run of all else is one blank."""
-    low = line.lower()
-    return (re.sub(r"[^a-z0-9]+", " ", low) if low.isascii() else _SIGNS.sub(" ", low)).strip()
+    return " ".join(plain(line).split())
 
 
 def is_fuzzy(form: str) -> bool:
@@ -66,6 +84,54 @@ def edit_distance(a: str, b: str) -> int:
     return score
 
 
+def edit_distances(a: list[str], b: list[str]) -> np.ndarray:
+    """edit_distance() of each a[i] and b[i]: columns of 64 rows a word, all pairs at once."""
+    if any(len(x) > WIDE for x in a):
+        return np.array([edit_distance(x, y) for x, y in zip(a, b, strict=True)], dtype=np.int64)
+    swap = [(y, x) if len(x) < len(y) else (x, y) for x, y in zip(a, b, strict=True)]
+    order = np.argsort([-len(y) for _, y in swap], kind="stable")  # pairs that end early stand last
+    rows, cols = [swap[i][0] for i in order], [swap[i][1] for i in order]
+    m, n = np.array([len(x) for x in rows]), np.array([len(x) for x in cols])
+    out = np.empty(len(order), dtype=np.int64)
+    if not len(order) or not m.max():
+        out[:] = 0
+        return out
+    points = np.frombuffer("".join(rows + cols).encode("utf-32-le", "surrogatepass"), dtype="<u4")
+    letters, ids = np.unique(points, return_inverse=True)
+    size, words = len(letters), int(m.max() + 63) // 64
+    if len(order) > 1 and len(order) * size * words * 8 > TABLE:
+        half = len(order) // 2
+        for part in (order[:half], order[half:]):
+            out[part] = edit_distances([a[i] for i in part], [b[i] for i in part])
+        return out
+    own, at = np.repeat(np.arange(len(m)), m), np.arange(m.sum()) - np.repeat(np.cumsum(m) - m, m)
+    where = np.zeros((words, len(m) * size), dtype=np.uint64)
+    np.bitwise_or.at(where, (at // 64, own * size + ids[: m.sum()]), np.uint64(1) << (at % 64).astype(np.uint64))
+    ids = ids[m.sum() :]
+    starts, base = np.cumsum(n) - n, np.arange(len(m)) * size
+    plus, minus = np.full((words, len(m)), np.uint64((1 << 64) - 1)), np.zeros((words, len(m)), dtype=np.uint64)
+    one, top = np.uint64(1), np.uint64(63)
+    alive = np.searchsorted(-n, -np.arange(n.max(initial=0)), side="left")  # pairs with n > column
+    for column, k in enumerate(alive.tolist()):
+        at = base[:k] + ids[starts[:k] + column]
+        up, down = np.ones(k, dtype=np.uint64), np.zeros(k, dtype=np.uint64)
+        for w in range(words):
+            same, p, q = where[w][at], plus[w, :k], minus[w, :k]
+            vertical = same | q
+            same |= down
+            across = (((same & p) + p) ^ p) | same
+            rise, fall = q | ~(across | p), p & across
+            next_up, next_down = rise >> top, fall >> top
+            rise, fall = rise << one | up, fall << one | down
+            plus[w, :k] = fall | ~(vertical | rise)
+            minus[w, :k] = rise & vertical
+            up, down = next_up, next_down
+    rows_in = np.clip(m[None, :] - 64 * np.arange(words)[:, None], 0, 64)
+    mask = np.where(rows_in == 64, np.uint64((1 << 64) - 1), (one << np.minimum(rows_in, 63).astype(np.uint64)) - one)
+    out[order] = n + np.bitwise_count(plus & mask).sum(axis=0).astype(np.int64) - np.bitwise_count(minus & mask).sum(axis=0).astype(np.int64)
+    return out
+
+
 def common_prefix(a: str, b: str) -> int:
     lo, hi = 0, min(len(a), len(b))
     while lo < hi:
@@ -77,16 +143,36 @@ def common_prefix(a: str, b: str) -> int:
     return lo
 
 
-def similar(a: str, b: str, least: float = SIMILARITY) -> bool:
-    """Whether 1 - distance / longer length reaches `least`. What both begin and end with costs nothing."""
-    longer = max(len(a), len(b))
-    if abs(len(a) - len(b)) > (1 - least) * longer + 1e-9:
-        return False
+def stripped(a: str, b: str) -> tuple[str, str]:
+    """Both without what they begin and end with alike."""
     k = common_prefix(a, b)
     a, b = a[k:], b[k:]
     k = common_prefix(a[::-1], b[::-1])
-    a, b = a[: len(a) - k], b[: len(b) - k]
-    return max(len(a), len(b)) <= (1 - least) * longer + 1e-9 or edit_distance(a, b) <= (1 - least) * longer + 1e-9
+    return a[: len(a) - k], b[: len(b) - k]
+
+
+def distance_at_most(a: str, b: str, anchor: int = 12) -> int:
+    """An upper bound of the edit distance: that of the parts before and after anchors which stand in both."""
+    a, b = stripped(a, b)
+    if min(len(a), len(b)) < 2 * anchor:
+        return edit_distance(a, b)
+    for eighth in (4, 2, 6, 3, 5, 1, 7):  # from the middle
+        at = max(0, len(a) * eighth // 8 - anchor // 2)
+        near = len(b) * at // len(a)
+        found = b.find(a[at : at + anchor], max(0, near - len(b) // 4), near + len(b) // 4 + anchor)
+        if found >= 0:
+            return distance_at_most(a[:at], b[:found], anchor) + distance_at_most(a[at + anchor :], b[found + anchor :], anchor)
+    return edit_distance(a, b) if min(len(a), len(b)) < 4 * anchor else max(len(a), len(b))
+
+
+def similar(a: str, b: str, least: float = SIMILARITY) -> bool | None:
+    """Whether 1 - distance / longer length reaches `least`; None if only the distance itself can tell."""
+    longer = max(len(a), len(b))
+    limit = (1 - least) * longer + 1e-9
+    if abs(len(a) - len(b)) > limit:
+        return False
+    a, b = stripped(a, b)
+    return True if max(len(a), len(b)) <= limit or distance_at_most(a, b) <= limit else None
 
 
 def forms_of(rows: DataFrame) -> DataFrame:
@@ -96,8 +182,8 @@ def forms_of(rows: DataFrame) -> DataFrame:
         for batch in batches:
             at, line, hashes, forms = [], [], bytearray(), []
             for i, text in enumerate(batch.column("text").to_pylist()):
-                for k, x in enumerate((text or "").split("\n")):
-                    if form := normal_form(x):
+                for k, x in enumerate(plain(text or "").split("\n")):
+                    if form := " ".join(x.split()):
                         at.append(i)
                         line.append(k)
                         hashes += xxhash.xxh3_128_digest(form.encode("utf-8", "surrogatepass"))
@@ -109,66 +195,52 @@ def forms_of(rows: DataFrame) -> DataFrame:
     return rows.mapInArrow(run, "row long, id long, digest long, line int, h1 long, h2 long, form string")
 
 
-def band_keys(texts: list[str]) -> np.ndarray:
-    """BANDS keys of each text for each of RANGES, zero outside of it: min-wise hashes of its character n-grams."""
-    out = np.zeros((len(texts), BANDS * len(RANGES)), dtype=np.uint64)
+def signatures(texts: list[str]) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
+    """(range, texts, lows) in parts: the texts that a range of RANGES holds, and the lowest of BANDS times ROWS hashes of their n-grams."""
+    sizes = np.array([len(t) for t in texts])
     rng = np.random.default_rng(7)
-    for k, (n, rows, shortest, longest) in enumerate(RANGES):
-        salts, odd = rng.integers(0, 1 << 32, BANDS * rows, dtype=np.uint32), rng.integers(0, 1 << 32, BANDS * rows, dtype=np.uint32) | np.uint32(1)
-        picked = [i for i, t in enumerate(texts) if max(n, shortest) <= len(t) <= longest]
-        at = 0
-        while at < len(picked):
-            to, total = at, 0
-            while to < len(picked) and (to == at or total + len(texts[picked[to]]) <= CHUNK):
-                total += len(texts[picked[to]])
-                to += 1
-            own = picked[at:to]
+    for k, (n, shortest, longest) in enumerate(RANGES):
+        salts, odd = rng.integers(0, 1 << 32, BANDS * ROWS, dtype=np.uint32), rng.integers(0, 1 << 32, BANDS * ROWS, dtype=np.uint32) | np.uint32(1)
+        picked = np.flatnonzero((sizes >= max(n, shortest)) & (sizes <= longest))
+        parts = np.cumsum(sizes[picked]) // CHUNK
+        for own in np.split(picked, np.flatnonzero(np.diff(parts)) + 1):
+            if not len(own):
+                continue
             points = np.frombuffer("".join([texts[i] for i in own]).encode("utf-32-le", "surrogatepass"), dtype="<u4").astype(np.uint64)
-            sizes = np.array([len(texts[i]) for i in own])
+            ends = np.cumsum(sizes[own])
             grams = np.zeros(len(points) - n + 1, dtype=np.uint64)
             for i in range(n):
                 grams = grams * BASE + points[i : len(grams) + i]
             inside = np.ones(len(points), dtype=bool)
             for i in range(1, n):
-                inside[np.cumsum(sizes) - i] = False
+                inside[ends - i] = False
             grams = (mixed(grams[inside[: len(grams)]]) >> np.uint64(32)).astype(np.uint32)
-            starts = np.concatenate(([0], np.cumsum(sizes - n + 1)[:-1]))
-            for band in range(BANDS):
-                key = np.full(len(own), k * BANDS + band + 1, dtype=np.uint64)
-                for r in range(band * rows, (band + 1) * rows):
-                    key = mixed(key * BASE + np.minimum.reduceat((grams ^ salts[r]) * odd[r], starts))
-                out[own, k * BANDS + band] = key
-            at = to
-    return out
-
-
-def summaries(texts: list[str]) -> np.ndarray:
-    """Length (saturated) and how many characters fall in each class (15 at most) of each text, as one number."""
-    sizes = np.array([len(t) for t in texts])
-    points = np.frombuffer("".join(texts).encode("utf-32-le", "surrogatepass"), dtype="<u4").astype(np.int64)
-    bags = np.bincount(np.repeat(np.arange(len(texts)), sizes) * 31 + points % 31, minlength=31 * len(texts)).reshape(-1, 31)
-    bags = np.minimum(bags[:, (1, 2, 3, 7, 11, 12, 13, 16, 22, 24, 26)], 15).astype(np.uint64)  # less common letters tell more
-    out = np.minimum(sizes, (1 << SIZE_BITS) - 1).astype(np.uint64)
-    for i in range(CLASSES):
-        out |= bags[:, i] << np.uint64(SIZE_BITS + 4 * i)
-    return out
-
-
-def opened(packed: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Sizes and bags of summaries()."""
-    bags = packed[:, None] >> np.arange(SIZE_BITS, SIZE_BITS + 4 * CLASSES, 4, dtype=np.uint64) & np.uint64(15)
-    return (packed & np.uint64((1 << SIZE_BITS) - 1)).astype(np.int64), bags.astype(np.int8)
-
-
-def may_be_similar(size: np.ndarray, bag: np.ndarray, a: np.ndarray, b: np.ndarray, least: float) -> np.ndarray:
-    """Whether lengths and characters allow a similarity of `least`; never False where similar() is True."""
-    limit = np.where(np.maximum(size[a], size[b]) >= (1 << SIZE_BITS) - 1, np.inf, (1 - least) * np.maximum(size[a], size[b]) + 1e-9)
-    fits = np.abs(size[a] - size[b]) <= limit
-    at = np.flatnonzero(fits)
-    apart = bag[a[at]] - bag[b[at]]
-    up, down = np.maximum(apart, 0).sum(1), np.maximum(-apart, 0).sum(1)
-    fits[at] = np.maximum(up, down) <= limit[at]
-    return fits
+            starts = np.concatenate(([0], np.cumsum(sizes[own] - n + 1)[:-1]))
+            yield k, own, np.stack([np.minimum.reduceat((grams ^ salts[r]) * odd[r], starts) for r in range(BANDS * ROWS)], axis=1)
+
+
+def sketches(texts: list[str]) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+    """(texts, keys, summaries) in parts: each text's BANDS keys in a range, and its length and hash ends as one number."""
+    sizes = np.minimum(np.array([len(t) for t in texts]), (1 << SIZE_BITS) - 1).astype(np.uint64)
+    for k, own, lows in signatures(texts):
+        lows, summary = lows.astype(np.uint64), sizes[own].copy()
+        keys = np.empty((len(own), BANDS), dtype=np.uint64)
+        for band in range(BANDS):
+            key = np.full(len(own), k * BANDS + band + 1, dtype=np.uint64)
+            for r in range(band * ROWS, (band + 1) * ROWS):
+                key = mixed(key * BASE + lows[:, r])
+            keys[:, band] = key
+            summary |= (lows[:, band * ROWS] & np.uint64(15)) << np.uint64(SIZE_BITS + 4 * band)
+        yield own, keys, summary
+
+
+def may_be_similar(summary: np.ndarray, a: np.ndarray, b: np.ndarray, least: float) -> np.ndarray:
+    """Whether lengths, and enough hashes, agree."""
+    apart = (summary[a] ^ summary[b]) >> np.uint64(SIZE_BITS)
+    differ = (apart | apart >> np.uint64(1) | apart >> np.uint64(2) | apart >> np.uint64(3)) & _NIBBLES
+    size = (summary & np.uint64((1 << SIZE_BITS) - 1)).astype(np.int64)
+    short, long = np.minimum(size[a], size[b]), np.maximum(size[a], size[b])
+    return (short >= least * long - 1e-9) & (BANDS - np.bitwise_count(differ).astype(np.int64) >= AGREE)
 
 
 def banded(distinct: DataFrame) -> DataFrame:
@@ -181,9 +253,9 @@ def banded(distinct: DataFrame) -> DataFrame:
             if not len(fuzzy):
                 continue
             text, node = [text[i] for i in fuzzy], node[fuzzy]
-            keys, summary = band_keys(text).view(np.int64), summaries(text).view(np.int64)
-            row, band = np.nonzero(keys)
-            yield pa.RecordBatch.from_arrays([pa.array(node[row]), pa.array(summary[row]), pa.array(keys[row, band])], ["node", "summary", "key"])
+            for own, keys, summary in sketches(text):
+                arrays = [np.repeat(node[own], BANDS), np.repeat(summary.view(np.int64), BANDS), keys.view(np.int64).ravel()]
+                yield pa.RecordBatch.from_arrays([pa.array(x) for x in arrays], ["node", "summary", "key"])
 
     return distinct.select("node", "form").mapInArrow(run, "node long, summary long, key long").repartition("key").sortWithinPartitions("key")
 
@@ -201,9 +273,10 @@ def partners(rows: DataFrame, least: float) -> DataFrame:
             if not whole:
                 yield pa.RecordBatch.from_arrays([pa.array(node), pa.array(key)], ["node", "group"])
                 continue
-            size, bag = opened(numpy_column(table, "summary").view(np.uint64))
+            summary = numpy_column(table, "summary").view(np.uint64)
+            size = (summary & np.uint64((1 << SIZE_BITS) - 1)).astype(np.int64)
             order = np.lexsort((size, key))
-            node, key, size, bag = node[order], key[order], size[order], bag[order]
+            node, key, size, summary = node[order], key[order], size[order], summary[order]
             starts = np.flatnonzero(np.concatenate(([True], key[1:] != key[:-1])))
             end = np.repeat(np.append(starts[1:], len(key)), np.diff(np.append(starts, len(key))))
             found, rows, step = np.zeros(len(key), dtype=bool), np.arange(len(key)), 1
@@ -215,7 +288,7 @@ def partners(rows: DataFrame, least: float) -> DataFrame:
                 ask = rows[~(found[rows] & found[rows + step])]
                 for at in range(0, len(ask), RUN):
                     a = ask[at : at + RUN]
-                    a = a[may_be_similar(size, bag, a, a + step, least)]
+                    a = a[may_be_similar(summary, a, a + step, least)]
                     found[a] = found[a + step] = True
                 if step & (step - 1) == 0 or step % 64 == 0:  # rows go once they and all after them have a partner
                     open_before = np.concatenate(([0], np.cumsum(~found)))
@@ -239,19 +312,51 @@ def blocked(hits: DataFrame, block: int) -> DataFrame:
     return dealt.select("node", "group", F.least("side", "other").alias("lo"), F.greatest("side", "other").alias("hi"), "side")
 
 
-def group_links(text: list[str], side: np.ndarray, least: float) -> np.ndarray:
-    """The class of each text of a group: those of two sides are compared with one another, those of one side too if it is the only one."""
-    size = np.minimum(np.array([len(t) for t in text]), (1 << SIZE_BITS) - 1)
-    bag, own = opened(summaries(text))[1], np.arange(len(text))
-    two = side.min() != side.max()
-    for i in range(1, len(text)):
-        left = np.flatnonzero(own[:i] != own[i])
-        if two:
-            left = left[side[left] != side[i]]
-        left = left[may_be_similar(size, bag, left, np.full(len(left), i), least)]
-        for j in left.tolist():
-            if own[i] != own[j] and similar(text[i], text[j], least):
-                own[own == max(own[i], own[j])] = min(own[i], own[j])
+def all_signatures(texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
+    """lows[range, text] of signatures(), and whether the range holds the text."""
+    lows, held = np.zeros((len(RANGES), len(texts), BANDS * ROWS), dtype=np.uint32), np.zeros((len(RANGES), len(texts)), dtype=bool)
+    for k, own, found in signatures(texts):
+        lows[k, own], held[k, own] = found, True
+    return lows, held
+
+
+def joined(own: np.ndarray, lo: int, hi: int, i: int, j: int) -> None:
+    """Rows i and j of the group at lo to hi are of one class from now on."""
+    group = own[lo:hi]
+    group[group == max(own[i], own[j])] = min(own[i], own[j])
+
+
+def linked_groups(text: list[str], side: np.ndarray, edges: np.ndarray, least: float) -> np.ndarray:
+    """The class of each text: within each group of rows edges[g] to edges[g + 1], texts that are similar.
+
+    Those of two sides are compared with one another, those of one side too if it is the only one. What bounds can
+    tell goes first; the distances of the pairs that are left, and not in one class by then, are computed together.
+    """
+    lows, held = all_signatures(text)
+    size, own = np.array([len(t) for t in text]), np.arange(len(text))
+    asked: list[tuple[int, int, int]] = []
+    for g, (lo, hi) in enumerate(zip(edges.tolist(), edges[1:].tolist(), strict=False)):
+        two = hi > lo and side[lo:hi].min() != side[lo:hi].max()
+        for i in range(lo + 1, hi):
+            left = np.flatnonzero(own[lo:i] != own[i]) + lo
+            if two:
+                left = left[side[left] != side[i]]
+            left = left[np.minimum(size[left], size[i]) >= least * np.maximum(size[left], size[i]) - 1e-9]
+            alike = ((lows[:, left] == lows[:, i, None]).sum(axis=2) * (held[:, left] & held[:, i, None])).max(axis=0, initial=0)
+            for j in left[alike >= ALIKE].tolist():
+                if own[i] != own[j]:
+                    told = similar(text[i], text[j], least)
+                    if told:
+                        joined(own, lo, hi, i, j)
+                    elif told is None:
+                        asked.append((g, i, j))
+    asked.sort(key=lambda x: size[x[1]] + size[x[2]])  # pairs of one batch take equally long
+    for first in range(0, len(asked), PAIRS):
+        part = [(g, i, j) for g, i, j in asked[first : first + PAIRS] if own[i] != own[j]]
+        distances = edit_distances([text[i] for _, i, _ in part], [text[j] for _, _, j in part])
+        for (g, i, j), d in zip(part, distances.tolist(), strict=True):
+            if own[i] != own[j] and d <= (1 - least) * max(size[i], size[j]) + 1e-9:
+                joined(own, edges[g], edges[g + 1], i, j)
     return own
 
 
@@ -263,13 +368,9 @@ def similar_links(rows: DataFrame, least: float) -> DataFrame:
             node, text, side = numpy_column(table, "node"), table.column("form").to_pylist(), numpy_column(table, "side")
             keys = np.stack([numpy_column(table, c) for c in ("group", "lo", "hi")])
             edges = np.concatenate(([0], np.flatnonzero((keys[:, 1:] != keys[:, :-1]).any(axis=0)) + 1, [len(node)]))
-            a, b = [], []
-            for lo, hi in zip(edges, edges[1:], strict=False):
-                label = group_links(text[lo:hi], side[lo:hi], least)
-                linked = np.flatnonzero(label != np.arange(hi - lo))
-                a.append(node[lo:hi][linked])
-                b.append(node[lo:hi][label[linked]])
-            yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(a)), pa.array(np.concatenate(b))], ["a", "b"])
+            own = linked_groups(text, side, edges, least)
+            linked = np.flatnonzero(own != np.arange(len(node)))
+            yield pa.RecordBatch.from_arrays([pa.array(node[linked]), pa.array(node[own[linked]])], ["a", "b"])
 
     keys = ["group", "lo", "hi"]
     return rows.repartition(*keys).sortWithinPartitions(*keys).mapInArrow(run, "a long, b long")
@@ -282,23 +383,32 @@ def repeated_lines(rows: DataFrame, least: float = SIMILARITY, block: int = BLOC
     line), rows without an id last. Lines are equal if their whole normal forms are: forms are grouped by
     themselves, their 128-bit hash only deals them, and two forms of one hash stop the job.
     """
-    lines = stage(forms_of(rows), "lines")
+    whole = stage(forms_of(rows), "forms")
     first = F.min(F.struct(F.col("id").isNull().alias("lost"), "id", "digest", "row", "line")).alias("first")
-    distinct = lines.groupBy("h1", "h2", "form").agg(first, F.count("*").alias("n"))
+    distinct = whole.groupBy("h1", "h2", "form").agg(first, F.count("*").alias("n"))
     distinct = stage(distinct.withColumn("node", F.monotonically_increasing_id()), "distinct")
+    lines = stage(whole.select("row", "line", "h1", "h2"), "lines")
+    unstage(whole)
     clash = distinct.groupBy("h1", "h2").agg(F.count("*").alias("n")).where("n > 1").first()
     if clash is not None:
         raise RuntimeError("two lines share a 128-bit hash")
+    release(distinct)
     hits = stage(partners(banded(distinct), least), "hits")
+    release(hits)
     dealt = blocked(hits, block).join(distinct.select("node", "form"), "node")
-    groups = stage(connected_components(similar_links(dealt, least)), "groups")
+    edges = stage(similar_links(dealt, least), "links")
     unstage(hits)
-    own = groups.join(distinct, "node").select("component", "node", "first")
+    groups = stage(connected_components(edges), "groups")
+    unstage(edges)
+    own = groups.join(distinct.select("node", "first"), "node").select("component", "node", "first")
     keepers = own.join(own.groupBy("component").agg(F.min("first").alias("keep")), "component").select("node", "keep")
     repeats = distinct.select("h1", "h2", "n", "node", "first").join(keepers, "node", "left")
     repeats = repeats.where("n > 1 OR keep IS NOT NULL").select("h1", "h2", F.coalesce("keep", "first").alias("keep"))
-    gone = dealt_keys(lines.select("row", "line", "h1", "h2"), repeats).where("row <> keep.row OR line <> keep.line")
-    return gone.groupBy("row").agg(F.collect_set("line").alias("removed"))  # within one document
+    gone = dealt_keys(lines, repeats).where("row <> keep.row OR line <> keep.line")
+    found = stage(gone.groupBy("row").agg(F.collect_set("line").alias("removed")), "removed")  # within one document
+    unstage(lines, distinct, groups)
+    release(found)
+    return found
 
 
 def dealt_keys(lines: DataFrame, repeats: DataFrame) -> DataFrame:
@@ -335,10 +445,11 @@ def dedup_lines(docs: DataFrame, least: float = SIMILARITY, id_col: str = "doc_i
     letter or digit goes if it equals an earlier one; those with MIN_WORDS words or MIN_SIGNS signs also if they are
     similar to another. Every row stays, if with an empty text; a null text stays null. Rows count one by one: those
     that share an id or a whole text, or lack an id (they come last), repeat one another like any others. An empty
-    table gives an empty result. Columns named __row or __gone are lost.
+    table gives an empty result. Other columns stay, whatever they are called.
     """
-    docs = docs.drop("n_removed_lines", "__row", "__gone")
-    rows = stage(docs.withColumn("__row", F.monotonically_increasing_id()), "rows")
-    found = repeated_lines(rows.select(F.col("__row").alias("row"), F.col(id_col).cast("long").alias("id"), F.xxhash64(text_col).alias("digest"), F.col(text_col).alias("text")), least)
-    joined = rows.join(found.select(F.col("row").alias("__row"), F.col("removed").alias("n_removed_lines")), "__row", "left").drop("__row")
+    docs = docs.drop("n_removed_lines")
+    row, of = fresh(docs.columns, "row", "row_of")
+    rows = stage(docs.withColumn(row, F.monotonically_increasing_id()), "rows")
+    found = repeated_lines(rows.select(F.col(row).alias("row"), F.col(id_col).cast("long").alias("id"), F.xxhash64(text_col).alias("digest"), F.col(text_col).alias("text")), least)
+    joined = rows.join(found.select(F.col("row").alias(of), F.col("removed").alias("n_removed_lines")), F.col(row) == F.col(of), "left").drop(row, of)
     return without_lines(joined, text_col, "n_removed_lines")

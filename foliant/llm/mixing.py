@@ -5,8 +5,12 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from foliant.llm.common import fresh, stage
+
 #: Thresholds are rounded to this many decimals, so that every engine inverts the same distribution.
 DECIMALS = 12
+#: Sources whose rates are broadcast (each some hundred bytes); more are joined, over so many tasks a source.
+SOURCES, SALTS = 10_000, 32
 
 
 def poisson_thresholds(rate: Column) -> Column:
@@ -58,10 +62,18 @@ def mix(docs: DataFrame, weights: dict[str, float] | None = None, temperature: f
     counts. A null id counts as an empty one; an empty table gives an empty result.
     """
     docs = docs.drop("copy_no", "shuffle_key")
-    plan = rates(docs, weights, temperature, epochs, source_col).select(F.col("source").alias("__source"), poisson_thresholds(F.col("rate")).alias("__cdf"))
+    key, cdf, n, salt = fresh(docs.columns, "source_key", "cdf", "n", "salt")
+    found = rates(docs, weights, temperature, epochs, source_col)
+    plan = stage(found.select(F.col("source").alias(key), poisson_thresholds(F.col("rate")).alias(cdf)), "rates")
     u = uniform(seeded(seed, docs[id_col]))
-    counted = docs.join(plan, docs[source_col].cast("string").eqNullSafe(F.col("__source")))
-    counted = counted.withColumn("__n", F.size(F.filter("__cdf", lambda c: c <= u))).where("__n > 0").drop("__cdf", "__source")
-    copies = counted.select("*", F.explode(F.sequence(F.lit(1), F.col("__n"))).alias("copy_no")).drop("__n")
+    same = docs[source_col].cast("string").eqNullSafe(F.col(key))
+    if plan.count() <= SOURCES:
+        counted = docs.join(F.broadcast(plan), same)
+    else:  # a hot source is dealt over SALTS tasks
+        own = docs.withColumn(salt, F.pmod(F.xxhash64(id_col), F.lit(SALTS)).cast("int"))
+        every = plan.select("*", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))).alias(f"{salt}_of"))
+        counted = own.join(every, same & (F.col(salt) == F.col(f"{salt}_of"))).drop(salt, f"{salt}_of")
+    counted = counted.withColumn(n, F.size(F.filter(cdf, lambda c: c <= u))).where(F.col(n) > 0).drop(cdf, key)
+    copies = counted.select("*", F.explode(F.sequence(F.lit(1), F.col(n))).alias("copy_no")).drop(n)
     keyed = copies.withColumn("shuffle_key", seeded(seed, F.col(id_col), F.col("copy_no")))
     return keyed.repartition("shuffle_key").sortWithinPartitions("shuffle_key")

@@ -8,6 +8,7 @@ each shard is packed by itself; a shard loses at most about one sequence.
 
 from __future__ import annotations
 
+import json
 import os
 import re
 import zlib
@@ -38,8 +39,6 @@ AT_ONCE = 256
 GRAIN = 8
 
 
-#: The vocabulary's own pre-tokeniser pattern, fixed by its file.
-TOKEN = regex.compile(r"'s|'t|'re|'ve|'m|'ll|'d|\p{L}+|\p{N}|[^\s\p{L}\p{N}]+")
 #: Words beyond these characters, and those that may hold a special token, go through the tokeniser itself.
 PLAIN = re.compile("[!-~\u00a1-\u024f]*")
 
@@ -51,11 +50,26 @@ def byte_letters() -> dict[int, str]:
     return {b: chr(b) for b in own} | {b: chr(0x100 + i) for i, b in enumerate(other)}
 
 
+def word_pattern(file: dict) -> regex.Pattern | None:
+    """The pattern that splits words, if a vocabulary's file has the steps that WordEncoder takes by itself, else None."""
+    normal, before = file.get("normalizer") or {}, file.get("pre_tokenizer") or {}
+    steps, splits = normal.get("normalizers") or [normal], before.get("pretokenizers") or [before]
+    known = {"NFC", "Lowercase"} <= {x.get("type") for x in steps} <= {"NFC", "Lowercase", "Replace"}
+    blanks = all(x["pattern"] == {"Regex": r"\s+"} and x["content"] == " " for x in steps if x.get("type") == "Replace")
+    if not known or not blanks or [x.get("type") for x in splits] != ["Split", "ByteLevel"]:
+        return None
+    split, level = splits
+    if not (split.get("invert") and split.get("behavior") == "Removed" and "Regex" in split["pattern"]) or level.get("add_prefix_space") or level.get("use_regex"):
+        return None
+    return regex.compile(split["pattern"]["Regex"])
+
+
 class WordEncoder:
     """Token ids of whole texts, as little-endian unsigned 32-bit bytes.
 
-    The vocabulary's pre-tokeniser never joins what a blank or a line end separates, so each word between
-    these is encoded once and remembered. A plain word's parts go to the merge model directly.
+    Where the file says that texts are lower-cased and split by a pattern that never joins what a blank or a line
+    end separates, each word between these is encoded once and remembered, and a plain word's parts go to the
+    merge model directly. Texts of a vocabulary with other steps go through the tokeniser whole.
     """
 
     def __init__(self, path: str) -> None:
@@ -66,6 +80,8 @@ class WordEncoder:
         self.model, self.letters = self.tokenizer.model, byte_letters()
         self.known: dict[str, bytes] = {"": b""}
         self.parts: dict[str, bytes] = {}
+        with open(path, encoding="utf-8") as f:
+            self.token = word_pattern(json.load(f))
 
     def part(self, part: str) -> bytes:
         got = self.parts.get(part)
@@ -78,10 +94,12 @@ class WordEncoder:
 
     def word(self, word: str) -> bytes:
         if PLAIN.fullmatch(word) and "<|" not in word:
-            return b"".join(map(self.part, TOKEN.findall(word.lower())))
+            return b"".join(map(self.part, self.token.findall(word.lower())))
         return array("I", self.tokenizer.encode(word, add_special_tokens=False).ids).tobytes()
 
     def __call__(self, texts: list[str]) -> list[bytes]:
+        if self.token is None:
+            return [array("I", e.ids).tobytes() for e in self.tokenizer.encode_batch(texts, add_special_tokens=False)]
         split = [t.replace("\n", " ").split(" ") for t in texts]
         if len(self.known) > MEMORY:
             self.known = {"": b""}

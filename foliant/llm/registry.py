@@ -70,7 +70,7 @@ def op10_url_filters(spark: SparkSession, sf_dir: str) -> DataFrame:
 OP10_SQL = r"""
 WITH captures AS (
   SELECT page_id, url, make_timestamp((1704067200 + 60 * ((page_id * 7919) % 525600)) * 1000000) AS fetched_at,
-         regexp_replace(regexp_extract(lower(url), '^\s*[a-z][a-z0-9+.-]*://(?:[^/?#@\s]*@)?([^/?#:@\s]+)', 1), '\.+$', '') AS host
+         regexp_replace(regexp_extract(lower(url), '{HOST}', 1), '\.+$', '') AS host
   FROM pages),
 hashed AS (
   SELECT host, CAST(('0x' || substr(md5(host), 1, 8)) AS BIGINT) AS h FROM (SELECT DISTINCT host FROM captures) WHERE host <> ''),
@@ -88,11 +88,11 @@ hits AS (
          row_number() OVER (PARTITION BY c.page_id ORDER BY length(s.pattern) DESC, s.dated DESC, s.category) AS k,
          count(*) OVER (PARTITION BY c.page_id) AS n
   FROM captures c JOIN spans s
-    ON (c.host = s.pattern OR ends_with(c.host, '.' || s.pattern)) AND s.dated <= c.fetched_at AND (s.valid_to IS NULL OR s.valid_to > c.fetched_at))
+    ON (c.host = s.pattern OR ends_with(c.host, '.' || s.pattern) AND NOT regexp_matches(c.host, '{ADDRESS}')) AND s.dated <= c.fetched_at AND (s.valid_to IS NULL OR s.valid_to > c.fetched_at))
 SELECT c.page_id, c.url, c.fetched_at, c.host, h.page_id IS NOT NULL AS blocked, coalesce(h.n, 0) AS n_active,
        h.pattern, h.category, h.dated AS listed_at
 FROM captures c LEFT JOIN hits h ON h.page_id = c.page_id AND h.k = 1
-"""
+""".replace("{HOST}", url_filter.HOST).replace("{ADDRESS}", url_filter.ADDRESS)
 
 
 def op6_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:

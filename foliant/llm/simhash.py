@@ -22,7 +22,7 @@ Accept = Callable[[int, int], bool] | None
 #: Rows of one block value that are compared directly; longer runs are split by further blocks first.
 RUN = 512
 #: Distinct fingerprints that a block value may hold on average before longer keys are taken.
-PER_BLOCK = 256
+PER_BLOCK = 2048
 #: Rows that a task compares at one go, whole runs of a block value.
 ROWS = 1 << 17
 

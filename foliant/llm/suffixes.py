@@ -17,7 +17,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from foliant.llm.common import mixed, numpy_column, row_runs, stage, unstage
+from foliant.llm.common import hot_join, mixed, numpy_column, row_runs, stage, unstage
 
 WIDTH, GRAM = 200, 64
 #: Bytes hashed at one go; longer documents are cut into overlapping tiles.
@@ -275,14 +275,15 @@ def counted_windows(contexts: DataFrame, width: int, gram: int) -> DataFrame:
 def repeated_spans(docs: DataFrame, width: int = WIDTH, gram: int = GRAM, heavy: int = HEAVY) -> DataFrame:
     """(id, digest, spans array<struct<from, to>>): bytes of `docs` (id, digest, text) in strings that occur twice."""
     every = stage(anchor_rows(docs, width, gram), "anchors")
-    again = every.groupBy("g").agg(F.count("*").alias("m")).where("m > 1").select("g")
-    rows = stage(every.join(again, "g"), "repeated")
-    unstage(every)
+    again = stage(every.groupBy("g").agg(F.count("*").alias("m")).where("m > 1"), "again")
+    rows = stage(hot_join(every, again, "g", "m", every.count()).drop("m"), "repeated")
+    unstage(every, again)
     # equal contexts are one row from here on: what all windows around the anchor cover is repeated
     one = F.min(F.struct("id", "digest", "pos")).alias("one")
     contexts = stage(rows.groupBy("g", "c").agg(F.count("*").alias("n"), one), "contexts")
     sides = contexts.groupBy("g").agg(F.count("*").alias("sides"), F.sum((F.col("n") == 1).cast("long")).alias("open"))
-    wanted = contexts.join(sides.where("open > 0 AND sides > 1"), "g").select("one.id", "one.digest", F.struct("one.pos", "g", "n", "sides").alias("w"))
+    sides = stage(sides.where("open > 0 AND sides > 1"), "sides")
+    wanted = hot_join(contexts, sides, "g", "sides", contexts.count()).select("one.id", "one.digest", F.struct("one.pos", "g", "n", "sides").alias("w"))
     lists = stage(wanted.groupBy("id", "digest").agg(F.collect_list("w").alias("wanted")), "wanted")  # within one document
     cut = stage(cut_contexts(docs, lists, width, gram), "cut")
     few = resolved(cut.where(F.col("sides") <= heavy), width, gram)

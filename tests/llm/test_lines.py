@@ -68,6 +68,18 @@ def test_edit_distance():
     assert lines.similar("", "") and not lines.similar("", "abc") and lines.similar("abcde", "abcdx")
 
 
+def test_edit_distances_of_many_pairs(monkeypatch):
+    rng = random.Random(1)
+    pairs = [["".join(rng.choices("abé你 ", k=rng.choice([0, 1, 30, 63, 64, 65, 128, 200]))) for _ in "ab"] for _ in range(120)]
+    pairs += [[a, a[:40] + "x" + a[45:]] for a, _ in pairs]
+    want = [lines.edit_distance(a, b) for a, b in pairs]
+    assert lines.edit_distances([a for a, _ in pairs], [b for _, b in pairs]).tolist() == want
+    assert all(lines.distance_at_most(a, b) >= d for (a, b), d in zip(pairs, want))
+    monkeypatch.setattr(lines, "TABLE", 4096)
+    assert lines.edit_distances([a for a, _ in pairs], [b for _, b in pairs]).tolist() == want
+    assert lines.edit_distances([], []).tolist() == [] and lines.edit_distances(["", ""], ["", ""]).tolist() == [0, 0]
+
+
 def test_normal_form():
     for x in ["  Read MORE… ", "a_b-c", "हिन्दी में, लिखा", "ÄÖ ß", "--", "", "x" * 9000 + "!", "2021: 3,5 %", "สวัสดีครับ"]:
         assert lines.normal_form(x) == slow_form(x)
@@ -123,7 +135,7 @@ def test_recall_of_word_edits_at_the_threshold(spark):
         for k in rng.sample(range(20), 3):
             new[k] = word("qrstuvwxyz")
         rows.append((1000 + i, " ".join(new)))
-    pairs = {i for i in range(300) if lines.similar(rows[i][1], rows[300 + i][1])}
+    pairs = {i for i in range(300) if slow_similar(rows[i][1], rows[300 + i][1])}
     found = {i - 1000 for i, t in kept(spark, rows) if i >= 1000 and not t}
     assert len(pairs) > 200 and found <= pairs and len(found) >= 0.95 * len(pairs)
 
@@ -132,15 +144,24 @@ def test_empty_table(spark):
     assert lines.dedup_lines(spark.createDataFrame([], SCHEMA)).count() == 0
 
 
-def test_summaries_never_rule_out_similar_lines():
+def test_groups_are_linked_by_edit_similarity():
     rng = random.Random(2)
-    texts = ["".join(rng.choices("abcdefghé ", k=rng.randint(1, 60))) for _ in range(60)]
-    texts += [t[:-2] + "zz" for t in texts if len(t) > 10]
-    size, bag = lines.opened(lines.summaries(texts))
-    for i in range(len(texts)):
-        for j in range(i):
-            if lines.similar(texts[i], texts[j]):
-                assert lines.may_be_similar(size, bag, np.array([i]), np.array([j]), 0.8)[0]
+    words = lambda: ["".join(rng.choices("abcdefghé", k=5)) for _ in range(9)]
+    texts, base = [], [words() for _ in range(6)]
+    for w in base * 4:
+        new = w[:]
+        new[rng.randrange(9)] = "zzzzz"
+        texts.append(" ".join(new))
+    edges = np.array([0, 10, 10, 24])
+    own = lines.linked_groups(texts, np.zeros(24, int), edges, 0.8)
+    for lo, hi in ((0, 10), (10, 24)):
+        want = list(range(lo, hi))
+        for i in range(lo, hi):
+            for j in range(lo, i):
+                if slow_similar(texts[i], texts[j]):
+                    x, y = want[i - lo], want[j - lo]
+                    want = [min(x, y) if z in (x, y) else z for z in want]
+        assert own[lo:hi].tolist() == want
 
 
 @pytest.mark.parametrize("rows", [1, 3, 50])
