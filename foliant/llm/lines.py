@@ -30,8 +30,6 @@ BANDS, ROWS, RANGES = 12, 2, ((3, 0, 30), (5, 24, 50), (8, 40, 1 << 60))
 AGREE, ALIKE = 3, 5
 #: Pairs of lines whose distance is computed at one go, and bytes of their tables.
 PAIRS, TABLE = 1024, 32 << 20
-#: Beyond so many characters one pair at a time is as fast.
-WIDE = 1536
 #: Signs hashed at one go; rows of one band key that are looked through at one go; lines of one block of a group.
 CHUNK, RUN, BLOCK = 1 << 18, 1 << 16, 1024
 #: Bits of a line's length in its summary; longer ones count as that long.
@@ -86,7 +84,8 @@ def edit_distance(a: str, b: str) -> int:
 
 def edit_distances(a: list[str], b: list[str]) -> np.ndarray:
     """edit_distance() of each a[i] and b[i]: columns of 64 rows a word, all pairs at once."""
-    if any(len(x) > WIDE for x in a):
+    longest = max(map(len, [*a, *b]), default=0)
+    if len(a) * (2 + longest / 300) < longest / 4:  # few and long: one at a time is faster
         return np.array([edit_distance(x, y) for x, y in zip(a, b, strict=True)], dtype=np.int64)
     swap = [(y, x) if len(x) < len(y) else (x, y) for x, y in zip(a, b, strict=True)]
     order = np.argsort([-len(y) for _, y in swap], kind="stable")  # pairs that end early stand last
@@ -176,7 +175,7 @@ def similar(a: str, b: str, least: float = SIMILARITY) -> bool | None:
 
 
 def forms_of(rows: DataFrame) -> DataFrame:
-    """(row, id, digest, line, h1, h2, form) of every line of `rows` (row, id, digest, text) that holds a letter or digit."""
+    """(id, digest, line, h1, h2, form) of every line of `rows` (id, digest, text) that holds a letter or digit."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -189,10 +188,10 @@ def forms_of(rows: DataFrame) -> DataFrame:
                         hashes += xxhash.xxh3_128_digest(form.encode("utf-8", "surrogatepass"))
                         forms.append(form)
             own, both = pa.array(at, pa.int64()), np.frombuffer(bytes(hashes), dtype=">i8").astype(np.int64).reshape(-1, 2)
-            arrays = [*(batch.column(c).take(own) for c in ("row", "id", "digest")), pa.array(line, pa.int32()), pa.array(both[:, 0]), pa.array(both[:, 1]), pa.array(forms, pa.string())]
-            yield pa.RecordBatch.from_arrays(arrays, ["row", "id", "digest", "line", "h1", "h2", "form"])
+            arrays = [*(batch.column(c).take(own) for c in ("id", "digest")), pa.array(line, pa.int32()), pa.array(both[:, 0]), pa.array(both[:, 1]), pa.array(forms, pa.string())]
+            yield pa.RecordBatch.from_arrays(arrays, ["id", "digest", "line", "h1", "h2", "form"])
 
-    return rows.mapInArrow(run, "row long, id long, digest long, line int, h1 long, h2 long, form string")
+    return rows.mapInArrow(run, "id long, digest long, line int, h1 long, h2 long, form string")
 
 
 def signatures(texts: list[str]) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
@@ -350,9 +349,14 @@ def linked_groups(text: list[str], side: np.ndarray, edges: np.ndarray, least: f
                         joined(own, lo, hi, i, j)
                     elif told is None:
                         asked.append((g, i, j))
-    asked.sort(key=lambda x: size[x[1]] + size[x[2]])  # pairs of one batch take equally long
-    for first in range(0, len(asked), PAIRS):
-        part = [(g, i, j) for g, i, j in asked[first : first + PAIRS] if own[i] != own[j]]
+    asked.sort(key=lambda x: size[x[1]] + size[x[2]])
+    first = 0
+    while first < len(asked):  # pairs of one batch take about equally long
+        most, to = 1.3 * (size[asked[first][1]] + size[asked[first][2]]) + 64, first + 1
+        while to < len(asked) and to - first < PAIRS and size[asked[to][1]] + size[asked[to][2]] <= most:
+            to += 1
+        part = [(g, i, j) for g, i, j in asked[first:to] if own[i] != own[j]]
+        first = to
         distances = edit_distances([text[i] for _, i, _ in part], [text[j] for _, _, j in part])
         for (g, i, j), d in zip(part, distances.tolist(), strict=True):
             if own[i] != own[j] and d <= (1 - least) * max(size[i], size[j]) + 1e-9:
@@ -377,35 +381,38 @@ def similar_links(rows: DataFrame, least: float) -> DataFrame:
 
 
 def repeated_lines(rows: DataFrame, least: float = SIMILARITY, block: int = BLOCK) -> DataFrame:
-    """(row, removed array<int>): the lines that repeat an earlier one, exactly or by edit similarity.
+    """(id, digest, removed array<int>): the lines that repeat an earlier one, exactly or by edit similarity.
 
-    rows: (row long, unique; id long; digest long, of the text; text). Earlier is the smaller (id, digest, row,
-    line), rows without an id last. Lines are equal if their whole normal forms are: forms are grouped by
-    themselves, their 128-bit hash only deals them, and two forms of one hash stop the job.
+    rows: (id long; digest long, of the text; text), equal rows only once. Earlier is the smaller (id, digest, line),
+    rows without an id last. Lines are equal if their whole normal forms are: forms are grouped by themselves,
+    their 128-bit hash only deals them, and two forms of one hash stop the job.
     """
     whole = stage(forms_of(rows), "forms")
-    first = F.min(F.struct(F.col("id").isNull().alias("lost"), "id", "digest", "row", "line")).alias("first")
+    first = F.min(F.struct(F.col("id").isNull().alias("lost"), "id", "digest", "line")).alias("first")
     distinct = whole.groupBy("h1", "h2", "form").agg(first, F.count("*").alias("n"))
     distinct = stage(distinct.withColumn("node", F.monotonically_increasing_id()), "distinct")
-    lines = stage(whole.select("row", "line", "h1", "h2"), "lines")
+    lines = stage(whole.select("id", "digest", "line", "h1", "h2"), "lines")
     unstage(whole)
+    release(lines)
     clash = distinct.groupBy("h1", "h2").agg(F.count("*").alias("n")).where("n > 1").first()
     if clash is not None:
         raise RuntimeError("two lines share a 128-bit hash")
-    release(distinct)
     hits = stage(partners(banded(distinct), least), "hits")
     release(hits)
-    dealt = blocked(hits, block).join(distinct.select("node", "form"), "node")
-    edges = stage(similar_links(dealt, least), "links")
-    unstage(hits)
+    # written first, so that its size is known: a small one is broadcast, and only texts that are compared are dealt
+    nodes = stage(hits.select("node").distinct(), "nodes")
+    texts = distinct.select("node", "form").join(nodes, "node", "left_semi")
+    edges = stage(similar_links(blocked(hits, block).join(texts, "node"), least), "links")
+    unstage(hits, nodes)
+    release(edges)
     groups = stage(connected_components(edges), "groups")
     unstage(edges)
     own = groups.join(distinct.select("node", "first"), "node").select("component", "node", "first")
     keepers = own.join(own.groupBy("component").agg(F.min("first").alias("keep")), "component").select("node", "keep")
     repeats = distinct.select("h1", "h2", "n", "node", "first").join(keepers, "node", "left")
     repeats = repeats.where("n > 1 OR keep IS NOT NULL").select("h1", "h2", F.coalesce("keep", "first").alias("keep"))
-    gone = dealt_keys(lines, repeats).where("row <> keep.row OR line <> keep.line")
-    found = stage(gone.groupBy("row").agg(F.collect_set("line").alias("removed")), "removed")  # within one document
+    gone = dealt_keys(lines, repeats).where("NOT (id <=> keep.id AND digest = keep.digest AND line = keep.line)")
+    found = stage(gone.groupBy("id", "digest").agg(F.collect_set("line").alias("removed")), "removed")  # within one document
     unstage(lines, distinct, groups)
     release(found)
     return found
@@ -414,7 +421,11 @@ def repeated_lines(rows: DataFrame, least: float = SIMILARITY, block: int = BLOC
 def dealt_keys(lines: DataFrame, repeats: DataFrame) -> DataFrame:
     """`lines` with keep; a line that a third of all rows hold is dealt over SALTS tasks."""
     salted = repeats.select("*", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))).alias("salt"))
-    return lines.withColumn("salt", F.pmod(F.xxhash64("row"), F.lit(SALTS)).cast("int")).join(salted, ["h1", "h2", "salt"])
+    return lines.withColumn("salt", F.pmod(F.xxhash64("id", "digest"), F.lit(SALTS)).cast("int")).join(salted, ["h1", "h2", "salt"])
+
+
+#: In place of a row's line numbers: every line that holds a letter or digit.
+EVERY = -1
 
 
 def without_lines(docs: DataFrame, text_col: str, removed_col: str) -> DataFrame:
@@ -428,8 +439,10 @@ def without_lines(docs: DataFrame, text_col: str, removed_col: str) -> DataFrame
             removed = batch.column(places).to_pylist()
             for i, gone in enumerate(removed):
                 if gone and texts[i] is not None:
-                    gone = set(gone)
-                    texts[i] = "\n".join(x for k, x in enumerate(texts[i].split("\n")) if k not in gone)
+                    rows = texts[i].split("\n")
+                    gone = set(gone) if gone[0] != EVERY else {k for k, x in enumerate(rows) if normal_form(x)}
+                    removed[i] = gone
+                    texts[i] = "\n".join(x for k, x in enumerate(rows) if k not in gone)
             arrays = list(batch.columns)
             arrays[at], arrays[places] = pa.array(texts, pa.string()), pa.array([len(g or ()) for g in removed], pa.int64())
             yield pa.RecordBatch.from_arrays(arrays, names)
@@ -444,12 +457,27 @@ def dedup_lines(docs: DataFrame, least: float = SIMILARITY, id_col: str = "doc_i
     Of each group of equal or similar lines the one with the smallest (id, text digest, line) stays. Every line with a
     letter or digit goes if it equals an earlier one; those with MIN_WORDS words or MIN_SIGNS signs also if they are
     similar to another. Every row stays, if with an empty text; a null text stays null. Rows count one by one: those
-    that share an id or a whole text, or lack an id (they come last), repeat one another like any others. An empty
-    table gives an empty result. Other columns stay, whatever they are called.
+    that share an id but not a text, or lack an id (they come last), repeat one another like any others; of rows that
+    share both, one keeps what is new in it and the others nothing. An empty table gives an empty result. Other
+    columns stay, whatever they are called.
     """
     docs = docs.drop("n_removed_lines")
-    row, of = fresh(docs.columns, "row", "row_of")
-    rows = stage(docs.withColumn(row, F.monotonically_increasing_id()), "rows")
-    found = repeated_lines(rows.select(F.col(row).alias("row"), F.col(id_col).cast("long").alias("id"), F.xxhash64(text_col).alias("digest"), F.col(text_col).alias("text")), least)
-    joined = rows.join(found.select(F.col("row").alias(of), F.col("removed").alias("n_removed_lines")), F.col(row) == F.col(of), "left").drop(row, of)
-    return without_lines(joined, text_col, "n_removed_lines")
+    own_id, own_digest, row, gone, *of = fresh(docs.columns, "own_id", "own_digest", "row", "gone", "id_of", "digest_of", "first_of")
+    keyed = docs.withColumns({own_id: F.col(id_col).cast("long"), own_digest: F.xxhash64(text_col)})
+    same = lambda other: keyed[own_id].eqNullSafe(other[of[0]]) & (keyed[own_digest] == other[of[1]])
+    slim = keyed.where(F.col(text_col).isNotNull()).select(F.col(own_id).alias("id"), F.col(own_digest).alias("digest"), F.col(text_col).alias("text"))
+    twice = stage(slim.groupBy(F.col("id").alias(of[0]), F.col("digest").alias(of[1])).agg(F.count("*").alias("n")).where("n > 1").drop("n"), "twice")
+    # rows that share id and text are numbered and written, so that one of them stays the first
+    copies = stage(keyed.join(twice, same(twice), "left_semi").withColumn(row, F.monotonically_increasing_id()), "copies")
+    firsts = stage(copies.groupBy(F.col(own_id).alias(of[0]), F.col(own_digest).alias(of[1])).agg(F.min(row).alias(of[2])), "firsts")
+    if firsts.first() is None:
+        single, others = keyed, None
+    else:
+        own = copies.join(firsts, copies[own_id].eqNullSafe(firsts[of[0]]) & (copies[own_digest] == firsts[of[1]]))
+        single = keyed.join(twice, same(twice), "left_anti").unionByName(own.where(F.col(row) == F.col(of[2])).select(keyed.columns))
+        others = own.where(F.col(row) != F.col(of[2])).select(*docs.columns, F.array(F.lit(EVERY)).alias("n_removed_lines"))
+    found = repeated_lines(single.where(F.col(text_col).isNotNull()).select(F.col(own_id).alias("id"), F.col(own_digest).alias("digest"), F.col(text_col).alias("text")), least)
+    found = found.select(F.col("id").alias(of[0]), F.col("digest").alias(of[1]), F.col("removed").alias(gone))
+    match = single[own_id].eqNullSafe(found[of[0]]) & (single[own_digest] == found[of[1]])
+    joined = single.join(found, match, "left").select(*docs.columns, F.col(gone).alias("n_removed_lines"))
+    return without_lines(joined if others is None else joined.unionByName(others), text_col, "n_removed_lines")

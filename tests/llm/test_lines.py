@@ -119,8 +119,8 @@ def test_large_groups_are_compared_block_by_block(spark):
     rng = random.Random(5)
     base = "this template stands on a great many pages and was written by user number"
     rows = [(i, f"{base} {''.join(rng.choices('abcdefgh', k=6))}") for i in range(60)] + [(100, "an unrelated line which resembles none of the others here")]
-    df = spark.createDataFrame([(i, i, i, t) for i, t in rows], "row long, id long, digest long, text string")
-    gone = {(r.row, k) for r in lines.repeated_lines(df, block=16).collect() for k in r.removed}
+    df = spark.createDataFrame([(i, i, t) for i, t in rows], "id long, digest long, text string")
+    gone = {(r.id, k) for r in lines.repeated_lines(df, block=16).collect() for k in r.removed}
     assert gone == {(i, 0) for i in range(1, 60)}
 
 
