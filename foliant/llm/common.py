@@ -6,6 +6,7 @@ import atexit
 import tempfile
 import uuid
 from collections.abc import Iterator
+from contextlib import contextmanager
 
 import numpy as np
 import pyarrow as pa
@@ -13,6 +14,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 _SCRATCH: dict[str, SparkSession] = {}
+SHUFFLE_CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
 
 
 def read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
@@ -30,6 +32,17 @@ def shared_dir(spark: SparkSession) -> str:
     return found
 
 
+@contextmanager
+def shuffles_end(spark: SparkSession) -> Iterator[None]:
+    """Within the block, a query's shuffle files go when it ends: a written table needs them no more."""
+    before = spark.conf.get(SHUFFLE_CLEANUP, None)
+    spark.conf.set(SHUFFLE_CLEANUP, "true")
+    try:
+        yield
+    finally:
+        spark.conf.unset(SHUFFLE_CLEANUP) if before is None else spark.conf.set(SHUFFLE_CLEANUP, before)
+
+
 def stage(df: DataFrame, name: str) -> DataFrame:
     """Write `df` to the shared folder and read it back: cuts lineage, survives lost executors.
 
@@ -37,7 +50,8 @@ def stage(df: DataFrame, name: str) -> DataFrame:
     """
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
-    df.write.option("compression", "zstd").parquet(path)
+    with shuffles_end(spark):
+        df.write.option("compression", "zstd").parquet(path)
     _SCRATCH[path] = spark
     back = spark.read.schema(df.schema).parquet(path)
     back._staged_at = path
@@ -78,11 +92,6 @@ def unstage(*tables: DataFrame) -> None:
             _remove(_SCRATCH.pop(path), path)
 
 
-def release(table: DataFrame) -> None:
-    """Let the driver notice which shuffles are over, so that executors delete their files; nothing else does so in time."""
-    table.sparkSession._jvm.System.gc()
-
-
 def _remove(spark: SparkSession, path: str) -> None:
     at = spark._jvm.org.apache.hadoop.fs.Path(path)
     at.getFileSystem(spark._jsc.hadoopConfiguration()).delete(at, True)

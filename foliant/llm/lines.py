@@ -1,9 +1,8 @@
-"""Fuzzy line dedup: one line of each group of equal or similar lines stays.
+"""Fuzzy line dedup: SimHash of normalised lines, pigeonhole blocks, edit similarity, one line of each group stays.
 
-Lines are normalised and reduced to distinct ones by their whole normal form. Candidates share a band of min-wise
-hashes of character n-grams; edit similarity decides every one; connected groups keep their first occurrence.
-A fingerprint of majority bits, of words or of n-grams, puts lines at an edit similarity of 0.8 some 13 to 20 of 64
-bits apart, where no pigeonhole blocks are selective; hence the bands.
+Lines are reduced to distinct ones by their whole normal form. Fingerprints are the majority bits of hashed character
+n-grams, several of each line; lines within DISTANCE bits in one of them are candidates, found exactly by
+pigeonhole blocks, and edit similarity decides every one.
 """
 
 from __future__ import annotations
@@ -17,27 +16,23 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from foliant.llm.common import connected_components, fresh, mixed, numpy_column, release, row_runs, stage, unstage
+from foliant.llm import simhash
+from foliant.llm.common import connected_components, fresh, merge_labels, mixed, numpy_column, row_runs, stage, unstage
 
 SIMILARITY = 0.8
 #: Lines with so many words, or so many signs (in any script), are compared; shorter ones go only if they are equal.
 MIN_WORDS, MIN_SIGNS = 5, 20
-#: Bands of two min-wise hashes under which similar lines meet: short and long lines have n-grams of their own,
-#: (n, shortest, longest). Any two similar lines lie within one of the ranges.
-BANDS, ROWS, RANGES = 12, 2, ((3, 0, 30), (5, 24, 50), (8, 40, 1 << 60))
-#: Two lines are looked at more closely if so many of the BANDS first hashes agree in their last four bits, and compared
-#: if so many of all BANDS times ROWS hashes agree: lines at an edit similarity of 0.8 share some 40 % of their n-grams.
-AGREE, ALIKE = 3, 5
+#: Characters of a feature; fingerprints of a line; bits in which lines may differ in one of them.
+GRAM, FINGERPRINTS, DISTANCE = 4, 3, 4
 #: Pairs of lines whose distance is computed at one go, and bytes of their tables.
-PAIRS, TABLE = 1024, 32 << 20
-#: Signs hashed at one go; rows of one band key that are looked through at one go; lines of one block of a group.
-CHUNK, RUN, BLOCK = 1 << 18, 1 << 16, 1024
-#: Bits of a line's length in its summary; longer ones count as that long.
-SIZE_BITS = 16
+PAIRS, TABLE = 4096, 32 << 20
+#: Signs hashed at one go; pairs looked at in one step; lines of one block of a group; texts compared at one go.
+CHUNK, RUN, BLOCK, TEXTS = 1 << 16, 1 << 18, 1024, 1 << 14
+#: A byte's bits, each in a byte of its own.
+LANES = np.unpackbits(np.arange(256, dtype=np.uint8)[:, None], axis=1, bitorder="little").view(np.uint64).ravel()
 #: Tasks that the rows of one group, or the copies of one line, are dealt over.
 SALTS = 16
 BASE = np.uint64(0x9E3779B97F4A7C15 | 1)
-_NIBBLES = np.uint64(0x111111111111)
 _SIGNS: dict[str, bool] = {}
 
 
@@ -164,14 +159,28 @@ def distance_at_most(a: str, b: str, anchor: int = 12) -> int:
     return edit_distance(a, b) if min(len(a), len(b)) < 4 * anchor else max(len(a), len(b))
 
 
-def similar(a: str, b: str, least: float = SIMILARITY) -> bool | None:
-    """Whether 1 - distance / longer length reaches `least`; None if only the distance itself can tell."""
-    longer = max(len(a), len(b))
-    limit = (1 - least) * longer + 1e-9
-    if abs(len(a) - len(b)) > limit:
-        return False
-    a, b = stripped(a, b)
-    return True if max(len(a), len(b)) <= limit or distance_at_most(a, b) <= limit else None
+def similar_pairs(text: list[str], a: np.ndarray, b: np.ndarray, least: float) -> np.ndarray:
+    """Whether the edit similarity of each text[a[i]] and text[b[i]], 1 - distance / longer length, reaches `least`."""
+    size = np.array([len(t) for t in text])
+    limit, out = (1 - least) * np.maximum(size[a], size[b]) + 1e-9, np.zeros(len(a), dtype=bool)
+    parts = [stripped(text[i], text[j]) for i, j in zip(a.tolist(), b.tolist(), strict=True)]
+    short = np.array([min(len(x), len(y)) for x, y in parts], dtype=np.int64)
+    long = np.array([max(len(x), len(y)) for x, y in parts], dtype=np.int64)
+    for i in np.flatnonzero(long - short <= limit).tolist():
+        out[i] = long[i] <= limit[i] or distance_at_most(*parts[i]) <= limit[i]
+    left = np.flatnonzero(~out & (long - short <= limit))
+    left, first = left[np.argsort(long[left], kind="stable")], 0
+    while first < len(left):  # pairs of one batch take about equally long
+        to = min(first + PAIRS, int(np.searchsorted(long[left], 1.25 * long[left[first]] + 32, side="right")))
+        own = left[first:to]
+        out[own] = edit_distances([parts[i][0] for i in own], [parts[i][1] for i in own]) <= limit[own]
+        first = to
+    return out
+
+
+def similar(a: str, b: str, least: float = SIMILARITY) -> bool:
+    """similar_pairs() of one pair."""
+    return bool(similar_pairs([a, b], np.array([0]), np.array([1]), least)[0])
 
 
 def forms_of(rows: DataFrame) -> DataFrame:
@@ -194,185 +203,115 @@ def forms_of(rows: DataFrame) -> DataFrame:
     return rows.mapInArrow(run, "id long, digest long, line int, h1 long, h2 long, form string")
 
 
-def signatures(texts: list[str]) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
-    """(range, texts, lows) in parts: the texts that a range of RANGES holds, and the lowest of BANDS times ROWS hashes of their n-grams."""
-    sizes = np.array([len(t) for t in texts])
-    rng = np.random.default_rng(7)
-    for k, (n, shortest, longest) in enumerate(RANGES):
-        salts, odd = rng.integers(0, 1 << 32, BANDS * ROWS, dtype=np.uint32), rng.integers(0, 1 << 32, BANDS * ROWS, dtype=np.uint32) | np.uint32(1)
-        picked = np.flatnonzero((sizes >= max(n, shortest)) & (sizes <= longest))
-        parts = np.cumsum(sizes[picked]) // CHUNK
-        for own in np.split(picked, np.flatnonzero(np.diff(parts)) + 1):
-            if not len(own):
-                continue
-            points = np.frombuffer("".join([texts[i] for i in own]).encode("utf-32-le", "surrogatepass"), dtype="<u4").astype(np.uint64)
-            ends = np.cumsum(sizes[own])
-            grams = np.zeros(len(points) - n + 1, dtype=np.uint64)
-            for i in range(n):
-                grams = grams * BASE + points[i : len(grams) + i]
-            inside = np.ones(len(points), dtype=bool)
-            for i in range(1, n):
-                inside[ends - i] = False
-            grams = (mixed(grams[inside[: len(grams)]]) >> np.uint64(32)).astype(np.uint32)
-            starts = np.concatenate(([0], np.cumsum(sizes[own] - n + 1)[:-1]))
-            yield k, own, np.stack([np.minimum.reduceat((grams ^ salts[r]) * odd[r], starts) for r in range(BANDS * ROWS)], axis=1)
-
-
-def sketches(texts: list[str]) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
-    """(texts, keys, summaries) in parts: each text's BANDS keys in a range, and its length and hash ends as one number."""
-    sizes = np.minimum(np.array([len(t) for t in texts]), (1 << SIZE_BITS) - 1).astype(np.uint64)
-    for k, own, lows in signatures(texts):
-        lows, summary = lows.astype(np.uint64), sizes[own].copy()
-        keys = np.empty((len(own), BANDS), dtype=np.uint64)
-        for band in range(BANDS):
-            key = np.full(len(own), k * BANDS + band + 1, dtype=np.uint64)
-            for r in range(band * ROWS, (band + 1) * ROWS):
-                key = mixed(key * BASE + lows[:, r])
-            keys[:, band] = key
-            summary |= (lows[:, band * ROWS] & np.uint64(15)) << np.uint64(SIZE_BITS + 4 * band)
-        yield own, keys, summary
-
-
-def may_be_similar(summary: np.ndarray, a: np.ndarray, b: np.ndarray, least: float) -> np.ndarray:
-    """Whether lengths, and enough hashes, agree."""
-    apart = (summary[a] ^ summary[b]) >> np.uint64(SIZE_BITS)
-    differ = (apart | apart >> np.uint64(1) | apart >> np.uint64(2) | apart >> np.uint64(3)) & _NIBBLES
-    size = (summary & np.uint64((1 << SIZE_BITS) - 1)).astype(np.int64)
-    short, long = np.minimum(size[a], size[b]), np.maximum(size[a], size[b])
-    return (short >= least * long - 1e-9) & (BANDS - np.bitwise_count(differ).astype(np.int64) >= AGREE)
-
-
-def banded(distinct: DataFrame) -> DataFrame:
-    """(node, summary, key): each fuzzy (node, form) once for each band, dealt and sorted by the band's key."""
+def bit_counts(hashes: np.ndarray, first: np.ndarray, size: np.ndarray) -> np.ndarray:
+    """How often each of the 64 bits is set in each run of hashes: eight counters of a byte are added at a time."""
+    lanes = LANES[hashes.view(np.uint8).reshape(-1, 8)]
+    starts = first if size.max() <= 255 else np.concatenate([np.arange(a, a + n, 255) for a, n in zip(first, size, strict=True)])
+    counts = np.add.reduceat(lanes, starts, axis=0).view(np.uint8).reshape(-1, 64)
+    if len(starts) == len(first):
+        return counts.astype(np.int32)
+    return np.add.reduceat(counts, np.searchsorted(starts, first), axis=0, dtype=np.int32)
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            text, node = batch.column("form").to_pylist(), batch.column("node").to_numpy()
-            fuzzy = np.flatnonzero([is_fuzzy(t) for t in text])
-            if not len(fuzzy):
-                continue
-            text, node = [text[i] for i in fuzzy], node[fuzzy]
-            for own, keys, summary in sketches(text):
-                arrays = [np.repeat(node[own], BANDS), np.repeat(summary.view(np.int64), BANDS), keys.view(np.int64).ravel()]
-                yield pa.RecordBatch.from_arrays([pa.array(x) for x in arrays], ["node", "summary", "key"])
-
-    return distinct.select("node", "form").mapInArrow(run, "node long, summary long, key long").repartition("key").sortWithinPartitions("key")
 
+def line_prints(forms: list[str]) -> np.ndarray:
+    """FINGERPRINTS fingerprints of each form: majority bits of its hashed n-grams, of its letters if it has fewer than GRAM."""
+    out, at = np.zeros((len(forms), FINGERPRINTS), dtype=np.uint64), 0
+    while at < len(forms):
+        to, total = at, 0
+        while to < len(forms) and (to == at or total + len(forms[to]) <= CHUNK):
+            total += len(forms[to])
+            to += 1
+        own = [x.ljust(GRAM) for x in forms[at:to]]
+        points = np.frombuffer("".join(own).encode("utf-32-le", "surrogatepass"), dtype="<u4").astype(np.uint64)
+        sizes = np.array([len(x) for x in own])
+        grams = np.zeros(len(points) - GRAM + 1, dtype=np.uint64)
+        for i in range(GRAM):
+            grams = grams * BASE + points[i : len(grams) + i]
+        inside = np.ones(len(points), dtype=bool)
+        for i in range(1, GRAM):
+            inside[np.cumsum(sizes) - i] = False
+        hashes, counts = mixed(grams[inside[: len(grams)]]), sizes - GRAM + 1
+        first = np.cumsum(counts) - counts
+        for k in range(FINGERPRINTS):
+            own_hashes = hashes if k == 0 else mixed(hashes ^ np.uint64(k * int(BASE) % (1 << 64)))
+            ones = bit_counts(np.ascontiguousarray(own_hashes), first, counts)
+            out[at:to, k] = np.packbits(2 * ones > counts[:, None], axis=1, bitorder="little").view(np.uint64).ravel()
+        at = to
+    return out
 
-def partners(rows: DataFrame, least: float) -> DataFrame:
-    """(node, group): the rows of banded() that another row of their key may be similar to.
 
-    Keys that gather the same rows make the same group, so a pair that meets under many keys is one group. A
-    key with more than RUN rows passes whole: its rows are told apart by blocks later.
-    """
+def prints_of(distinct: DataFrame) -> DataFrame:
+    """(node, fp, fp1, …) of every distinct line that is compared."""
+    fields = simhash.names(FINGERPRINTS)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for table, whole in row_runs(batches, ["key"], RUN):
-            node, key = numpy_column(table, "node"), numpy_column(table, "key")
-            if not whole:
-                yield pa.RecordBatch.from_arrays([pa.array(node), pa.array(key)], ["node", "group"])
-                continue
-            summary = numpy_column(table, "summary").view(np.uint64)
-            size = (summary & np.uint64((1 << SIZE_BITS) - 1)).astype(np.int64)
-            order = np.lexsort((size, key))
-            node, key, size, summary = node[order], key[order], size[order], summary[order]
-            starts = np.flatnonzero(np.concatenate(([True], key[1:] != key[:-1])))
-            end = np.repeat(np.append(starts[1:], len(key)), np.diff(np.append(starts, len(key))))
-            found, rows, step = np.zeros(len(key), dtype=bool), np.arange(len(key)), 1
-            while True:
-                rows = rows[rows + step < end[rows]]
-                rows = rows[size[rows] >= least * size[rows + step] - 1e-9]  # sizes ascend
-                if not len(rows):
-                    break
-                ask = rows[~(found[rows] & found[rows + step])]
-                for at in range(0, len(ask), RUN):
-                    a = ask[at : at + RUN]
-                    a = a[may_be_similar(summary, a, a + step, least)]
-                    found[a] = found[a + step] = True
-                if step & (step - 1) == 0 or step % 64 == 0:  # rows go once they and all after them have a partner
-                    open_before = np.concatenate(([0], np.cumsum(~found)))
-                    rows = rows[open_before[end[rows]] > open_before[rows]]
-                step += 1
-            marks = np.where(found, mixed(node.view(np.uint64)), np.uint64(0))
-            sums = np.add.reduceat(marks, starts)
-            group = np.repeat(mixed(sums), np.diff(np.append(starts, len(key)))).view(np.int64)
-            yield pa.RecordBatch.from_arrays([pa.array(node[found]), pa.array(group[found])], ["node", "group"])
-
-    return rows.mapInArrow(run, "node long, group long").distinct()
+        for batch in batches:
+            text, node = batch.column("form").to_pylist(), batch.column("node").to_numpy()
+            fuzzy = np.flatnonzero([is_fuzzy(t) for t in text])
+            prints = line_prints([text[i] for i in fuzzy]).view(np.int64)
+            yield pa.RecordBatch.from_arrays([pa.array(node[fuzzy]), *[pa.array(np.ascontiguousarray(prints[:, k])) for k in range(FINGERPRINTS)]], ["node", *fields])
+
+    return distinct.select("node", "form").mapInArrow(run, "node long, " + ", ".join(f"{c} long" for c in fields))
 
 
 def blocked(hits: DataFrame, block: int) -> DataFrame:
-    """`hits` with lo, hi and side: groups of more than `block` rows become pairs of blocks, which a task compares."""
+    """`hits` (node, fp, fp1, …, group) with lo, hi and side: groups of more than `block` rows become pairs of blocks, which a task compares."""
     large = hits.groupBy("group").agg(F.count("*").alias("n")).where(F.col("n") > block)
     large = large.select("group", F.ceil(F.col("n") / block).cast("int").alias("blocks"), F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))).alias("salt"))
     every = hits.withColumn("salt", F.pmod(F.xxhash64("node"), F.lit(SALTS)).cast("int")).join(large, ["group", "salt"], "left").fillna(1, ["blocks"])
-    every = every.select("node", "group", "blocks", F.pmod(F.xxhash64("node", F.lit(1)), F.col("blocks")).cast("int").alias("side"))
+    every = every.select("node", *simhash.names(FINGERPRINTS), "group", "blocks", F.pmod(F.xxhash64("node", F.lit(1)), F.col("blocks")).cast("int").alias("side"))
     dealt = every.select("*", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("other"))
-    return dealt.select("node", "group", F.least("side", "other").alias("lo"), F.greatest("side", "other").alias("hi"), "side")
-
-
-def all_signatures(texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
-    """lows[range, text] of signatures(), and whether the range holds the text."""
-    lows, held = np.zeros((len(RANGES), len(texts), BANDS * ROWS), dtype=np.uint32), np.zeros((len(RANGES), len(texts)), dtype=bool)
-    for k, own, found in signatures(texts):
-        lows[k, own], held[k, own] = found, True
-    return lows, held
+    return dealt.select("node", *simhash.names(FINGERPRINTS), "group", F.least("side", "other").alias("lo"), F.greatest("side", "other").alias("hi"), "side")
 
 
-def joined(own: np.ndarray, lo: int, hi: int, i: int, j: int) -> None:
-    """Rows i and j of the group at lo to hi are of one class from now on."""
-    group = own[lo:hi]
-    group[group == max(own[i], own[j])] = min(own[i], own[j])
+def linked_groups(text: list[str], prints: np.ndarray, side: np.ndarray, edges: np.ndarray, least: float, distance: int) -> np.ndarray:
+    """The class of each text: within each group of rows edges[g] to edges[g + 1], those within `distance` bits that are similar.
 
-
-def linked_groups(text: list[str], side: np.ndarray, edges: np.ndarray, least: float) -> np.ndarray:
-    """The class of each text: within each group of rows edges[g] to edges[g + 1], texts that are similar.
-
-    Those of two sides are compared with one another, those of one side too if it is the only one. What bounds can
-    tell goes first; the distances of the pairs that are left, and not in one class by then, are computed together.
+    prints[row]: fingerprints. Texts of two sides are compared with one another, those of one side too if it is the only
+    one. In the k-th round the k-th text of each group meets those after it, all groups at once.
     """
-    lows, held = all_signatures(text)
-    size, own = np.array([len(t) for t in text]), np.arange(len(text))
-    asked: list[tuple[int, int, int]] = []
-    for g, (lo, hi) in enumerate(zip(edges.tolist(), edges[1:].tolist(), strict=False)):
-        two = hi > lo and side[lo:hi].min() != side[lo:hi].max()
-        for i in range(lo + 1, hi):
-            left = np.flatnonzero(own[lo:i] != own[i]) + lo
-            if two:
-                left = left[side[left] != side[i]]
-            left = left[np.minimum(size[left], size[i]) >= least * np.maximum(size[left], size[i]) - 1e-9]
-            alike = ((lows[:, left] == lows[:, i, None]).sum(axis=2) * (held[:, left] & held[:, i, None])).max(axis=0, initial=0)
-            for j in left[alike >= ALIKE].tolist():
-                if own[i] != own[j]:
-                    told = similar(text[i], text[j], least)
-                    if told:
-                        joined(own, lo, hi, i, j)
-                    elif told is None:
-                        asked.append((g, i, j))
-    asked.sort(key=lambda x: size[x[1]] + size[x[2]])
-    first = 0
-    while first < len(asked):  # pairs of one batch take about equally long
-        most, to = 1.3 * (size[asked[first][1]] + size[asked[first][2]]) + 64, first + 1
-        while to < len(asked) and to - first < PAIRS and size[asked[to][1]] + size[asked[to][2]] <= most:
-            to += 1
-        part = [(g, i, j) for g, i, j in asked[first:to] if own[i] != own[j]]
-        first = to
-        distances = edit_distances([text[i] for _, i, _ in part], [text[j] for _, _, j in part])
-        for (g, i, j), d in zip(part, distances.tolist(), strict=True):
-            if own[i] != own[j] and d <= (1 - least) * max(size[i], size[j]) + 1e-9:
-                joined(own, edges[g], edges[g + 1], i, j)
-    return own
-
-
-def similar_links(rows: DataFrame, least: float) -> DataFrame:
-    """Edges (a, b) that span the lines of each block pair of `rows` (node, form, group, lo, hi, side) that are similar."""
+    own, lo, hi = np.arange(len(text)), edges[:-1], edges[1:]
+    lo, hi = lo[hi > lo], hi[hi > lo]
+    if not len(lo):
+        return own
+    two = np.minimum.reduceat(side, lo) != np.maximum.reduceat(side, lo)
+    k, asked = 0, [(np.zeros(0, np.int64), np.zeros(0, np.int64))]
+    while True:
+        if not len(lo) or sum(len(a) for a, _ in asked) >= PAIRS:  # few pairs wait for those of later rounds
+            a, b = (np.concatenate(x) for x in zip(*asked, strict=True))
+            asked = asked[:1]
+            for first in range(0, len(a), PAIRS):
+                x, y = a[first : first + PAIRS], b[first : first + PAIRS]
+                apart = own[x] != own[y]
+                x, y = x[apart], y[apart]
+                same = similar_pairs(text, x, y, least)
+                merge_labels(own, x[same], y[same])
+        if not len(lo):
+            return own
+        for part in np.array_split(np.arange(len(lo)), max(1, int((hi - lo - k).sum()) // RUN)):
+            n = hi[part] - lo[part] - k - 1
+            a = np.repeat(lo[part] + k, n)
+            b = a + 1 + np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n)
+            fits = (own[a] != own[b]) & (~np.repeat(two[part], n) | (side[a] != side[b]))
+            a, b = a[fits], b[fits]
+            close = (np.bitwise_count(prints[a] ^ prints[b]) <= distance).any(axis=1)
+            asked.append((a[close], b[close]))
+        k += 1
+        longer = hi - lo > k + 1
+        lo, hi, two = lo[longer], hi[longer], two[longer]
+
+
+def similar_links(rows: DataFrame, least: float, distance: int) -> DataFrame:
+    """Edges (a, b) that span the lines of each block pair of `rows` (node, form, fp, fp1, …, group, lo, hi, side) that are similar."""
+    fields = simhash.names(FINGERPRINTS)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for table, _ in row_runs(batches, ["group", "lo", "hi"], BLOCK):
+        for table, _ in row_runs(batches, ["group", "lo", "hi"], TEXTS, most=-1):  # a run has 2 * BLOCK rows or so at most
             node, text, side = numpy_column(table, "node"), table.column("form").to_pylist(), numpy_column(table, "side")
+            prints = np.stack([numpy_column(table, c).view(np.uint64) for c in fields], axis=1)
             keys = np.stack([numpy_column(table, c) for c in ("group", "lo", "hi")])
             edges = np.concatenate(([0], np.flatnonzero((keys[:, 1:] != keys[:, :-1]).any(axis=0)) + 1, [len(node)]))
-            own = linked_groups(text, side, edges, least)
+            own = linked_groups(text, prints, side, edges, least, distance)
             linked = np.flatnonzero(own != np.arange(len(node)))
             yield pa.RecordBatch.from_arrays([pa.array(node[linked]), pa.array(node[own[linked]])], ["a", "b"])
 
@@ -380,7 +319,7 @@ def similar_links(rows: DataFrame, least: float) -> DataFrame:
     return rows.repartition(*keys).sortWithinPartitions(*keys).mapInArrow(run, "a long, b long")
 
 
-def repeated_lines(rows: DataFrame, least: float = SIMILARITY, block: int = BLOCK) -> DataFrame:
+def repeated_lines(rows: DataFrame, least: float = SIMILARITY, distance: int = DISTANCE, block: int = BLOCK) -> DataFrame:
     """(id, digest, removed array<int>): the lines that repeat an earlier one, exactly or by edit similarity.
 
     rows: (id long; digest long, of the text; text), equal rows only once. Earlier is the smaller (id, digest, line),
@@ -393,18 +332,22 @@ def repeated_lines(rows: DataFrame, least: float = SIMILARITY, block: int = BLOC
     distinct = stage(distinct.withColumn("node", F.monotonically_increasing_id()), "distinct")
     lines = stage(whole.select("id", "digest", "line", "h1", "h2"), "lines")
     unstage(whole)
-    release(lines)
     clash = distinct.groupBy("h1", "h2").agg(F.count("*").alias("n")).where("n > 1").first()
     if clash is not None:
         raise RuntimeError("two lines share a 128-bit hash")
-    hits = stage(partners(banded(distinct), least), "hits")
-    release(hits)
+    fields = simhash.names(FINGERPRINTS)
+    prints = stage(prints_of(distinct), "prints")
+    alike = prints.groupBy(*fields).agg(F.min("node").alias("node"))
+    chains = connected_components(simhash.close_links(alike, distance, fields=fields))
+    # different lines of equal fingerprints share a chain too
+    known = alike.join(chains, "node", "left").select(*fields, F.coalesce("component", "node").alias("group"))
+    hits = stage(prints.join(known, fields).select("node", *fields, "group"), "hits")
+    hits = stage(hits.join(hits.groupBy("group").agg(F.count("*").alias("n")).where("n > 1").select("group"), "group"), "near")
     # written first, so that its size is known: a small one is broadcast, and only texts that are compared are dealt
     nodes = stage(hits.select("node").distinct(), "nodes")
     texts = distinct.select("node", "form").join(nodes, "node", "left_semi")
-    edges = stage(similar_links(blocked(hits, block).join(texts, "node"), least), "links")
-    unstage(hits, nodes)
-    release(edges)
+    edges = stage(similar_links(blocked(hits, block).join(texts, "node"), least, distance), "links")
+    unstage(hits, nodes, prints)
     groups = stage(connected_components(edges), "groups")
     unstage(edges)
     own = groups.join(distinct.select("node", "first"), "node").select("component", "node", "first")
@@ -414,7 +357,6 @@ def repeated_lines(rows: DataFrame, least: float = SIMILARITY, block: int = BLOC
     gone = dealt_keys(lines, repeats).where("NOT (id <=> keep.id AND digest = keep.digest AND line = keep.line)")
     found = stage(gone.groupBy("id", "digest").agg(F.collect_set("line").alias("removed")), "removed")  # within one document
     unstage(lines, distinct, groups)
-    release(found)
     return found
 
 
@@ -451,12 +393,12 @@ def without_lines(docs: DataFrame, text_col: str, removed_col: str) -> DataFrame
     return docs.mapInArrow(run, schema)
 
 
-def dedup_lines(docs: DataFrame, least: float = SIMILARITY, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def dedup_lines(docs: DataFrame, least: float = SIMILARITY, distance: int = DISTANCE, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """`docs` with repeated lines cut from the text, and n_removed_lines (a column of that name is replaced).
 
     Of each group of equal or similar lines the one with the smallest (id, text digest, line) stays. Every line with a
     letter or digit goes if it equals an earlier one; those with MIN_WORDS words or MIN_SIGNS signs also if they are
-    similar to another. Every row stays, if with an empty text; a null text stays null. Rows count one by one: those
+    similar to another and within `distance` bits of it in one of FINGERPRINTS fingerprints. Every row stays, if with an empty text; a null text stays null. Rows count one by one: those
     that share an id but not a text, or lack an id (they come last), repeat one another like any others; of rows that
     share both, one keeps what is new in it and the others nothing. An empty table gives an empty result. Other
     columns stay, whatever they are called.
@@ -476,7 +418,7 @@ def dedup_lines(docs: DataFrame, least: float = SIMILARITY, id_col: str = "doc_i
         own = copies.join(firsts, copies[own_id].eqNullSafe(firsts[of[0]]) & (copies[own_digest] == firsts[of[1]]))
         single = keyed.join(twice, same(twice), "left_anti").unionByName(own.where(F.col(row) == F.col(of[2])).select(keyed.columns))
         others = own.where(F.col(row) != F.col(of[2])).select(*docs.columns, F.array(F.lit(EVERY)).alias("n_removed_lines"))
-    found = repeated_lines(single.where(F.col(text_col).isNotNull()).select(F.col(own_id).alias("id"), F.col(own_digest).alias("digest"), F.col(text_col).alias("text")), least)
+    found = repeated_lines(single.where(F.col(text_col).isNotNull()).select(F.col(own_id).alias("id"), F.col(own_digest).alias("digest"), F.col(text_col).alias("text")), least, distance)
     found = found.select(F.col("id").alias(of[0]), F.col("digest").alias(of[1]), F.col("removed").alias(gone))
     match = single[own_id].eqNullSafe(found[of[0]]) & (single[own_digest] == found[of[1]])
     joined = single.join(found, match, "left").select(*docs.columns, F.col(gone).alias("n_removed_lines"))

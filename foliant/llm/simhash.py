@@ -6,7 +6,7 @@ dealt by block, verified by Hamming distance, and linked into components.
 
 from __future__ import annotations
 
-from collections.abc import Callable, Iterator
+from collections.abc import Iterator
 from itertools import combinations, repeat
 
 import numpy as np
@@ -15,10 +15,11 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from foliant.llm.common import connected_components, merge_labels, numpy_column, row_runs, stage
+from foliant.llm.common import connected_components, fresh, merge_labels, mixed, numpy_column, row_runs, stage
 
 BITS = 64
-Accept = Callable[[int, int], bool] | None
+#: What tells the hashes of one fingerprint of a text from those of the next.
+STEP = 0x9E3779B97F4A7C15
 #: Rows of one block value that are compared directly; longer runs are split by further blocks first.
 RUN = 512
 #: Distinct fingerprints that a block value may hold on average before longer keys are taken.
@@ -27,17 +28,28 @@ PER_BLOCK = 2048
 ROWS = 1 << 17
 
 
-def fingerprint(text: str | None, words: int, seed: int = 42) -> int:
-    """Majority bits of the XXH64 of all word shingles, as an unsigned number; no words: zero."""
+def shingle_hashes(text: str | None, words: int, seed: int = 42) -> np.ndarray:
+    """XXH64 of all word shingles of a lower-case text, repeats included; of the whole sequence if it is shorter."""
     got = (text or "").encode("utf-8", "surrogatepass").lower().split()
     if not got:
-        return 0
+        return np.zeros(0, np.uint64)
     if len(got) < words:
         hashes = [xxhash.xxh64_intdigest(b" ".join(got), seed)]
     else:
         shingles = map(b" ".join, zip(*(got[i:] for i in range(words)), strict=False))
         hashes = map(xxhash.xxh64_intdigest, shingles, repeat(seed))
-    return majority(np.fromiter(hashes, dtype=np.uint64))
+    return np.fromiter(hashes, dtype=np.uint64)
+
+
+def fingerprint(text: str | None, words: int, seed: int = 42) -> int:
+    """Majority bits of the hashes of all word shingles, as an unsigned number; no words: zero."""
+    return majority(shingle_hashes(text, words, seed))
+
+
+def fingerprint_family(text: str | None, words: int, size: int) -> list[int]:
+    """fingerprint() and size - 1 more of the same shingles, whose hashes are mixed with another constant each."""
+    hashes = shingle_hashes(text, words)
+    return [majority(hashes if k == 0 else mixed(hashes ^ np.uint64(k * STEP % (1 << 64)))) for k in range(size)]
 
 
 def majority(hashes: np.ndarray) -> int:
@@ -48,16 +60,21 @@ def majority(hashes: np.ndarray) -> int:
     return int(np.packbits(2 * ones > len(hashes), bitorder="little").view(np.uint64)[0])
 
 
-def fingerprints(docs: DataFrame, words: int = 3, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """(doc_id, fp long): one row per input row. A null or blank text has fingerprint zero."""
+def names(size: int) -> list[str]:
+    return ["fp", *[f"fp{k}" for k in range(1, size)]]
+
+
+def fingerprints(docs: DataFrame, words: int = 3, id_col: str = "doc_id", text_col: str = "text", size: int = 1) -> DataFrame:
+    """(doc_id, fp long, …): one row per input row, with `size` fingerprints. A null or blank text has fingerprints of zero."""
+    fields = names(size)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            fps = np.fromiter((fingerprint(t.as_py(), words) for t in batch.column(1)), dtype=np.uint64, count=batch.num_rows)
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(fps.view(np.int64))], ["doc_id", "fp"])
+            fps = np.array([fingerprint_family(t.as_py(), words, size) for t in batch.column(1)], dtype=np.uint64).reshape(-1, size)
+            yield pa.RecordBatch.from_arrays([batch.column(0), *[pa.array(np.ascontiguousarray(fps[:, k]).view(np.int64)) for k in range(size)]], ["doc_id", *fields])
 
     picked = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
-    return picked.mapInArrow(run, "doc_id long, fp long")
+    return picked.mapInArrow(run, "doc_id long, " + ", ".join(f"{c} long" for c in fields))
 
 
 def block_plan(n: int, distance: int, bits: int = BITS, per_block: int = PER_BLOCK) -> list[int]:
@@ -75,12 +92,11 @@ def block_plan(n: int, distance: int, bits: int = BITS, per_block: int = PER_BLO
     return [sum(c) for c in combinations(parts, keep)]
 
 
-def link_close(labels: np.ndarray, rows: np.ndarray, fps: np.ndarray, free: list[int], distance: int, accept: Accept = None) -> None:
+def link_close(labels: np.ndarray, rows: np.ndarray, fps: np.ndarray, free: list[int], distance: int) -> None:
     """Join the classes of all rows (indices into labels and fps) within `distance` bits of one another.
 
     free: the bits in which the rows may differ. Long runs are split by blocks of these bits again, so that
-    the direct comparisons stay few; no pair is left out. accept: whether two rows really belong together;
-    it is asked only for rows that aren't in one class yet.
+    the direct comparisons stay few; no pair is left out.
     """
     if len(rows) > RUN and len(free) >= 4 * (distance + 1):
         for part in np.array_split(np.array(free), distance + 1):
@@ -88,32 +104,22 @@ def link_close(labels: np.ndarray, rows: np.ndarray, fps: np.ndarray, free: list
             rest = [i for i in free if i not in set(part.tolist())]
             key = fps[rows] & mask
             order = np.argsort(key, kind="stable")
-            link_runs(labels, rows[order], key[order], fps, rest, distance, accept)
+            link_runs(labels, rows[order], key[order], fps, rest, distance)
         return
     own = fps[rows]
     for step in range(1, len(rows)):
         near = np.flatnonzero(np.bitwise_count(own[:-step] ^ own[step:]) <= distance)
-        join(labels, rows[near], rows[near + step], accept)
-
-
-def join(labels: np.ndarray, a: np.ndarray, b: np.ndarray, accept: Accept) -> None:
-    if accept is None:
-        if len(a):
-            merge_labels(labels, a, b)
-        return
-    for i, j in zip(a.tolist(), b.tolist(), strict=True):
-        if labels[i] != labels[j] and accept(i, j):
-            merge_labels(labels, np.array([i]), np.array([j]))
+        merge_labels(labels, rows[near], rows[near + step])
 
 
-def link_runs(labels: np.ndarray, rows: np.ndarray, keys: np.ndarray, fps: np.ndarray, free: list[int], distance: int, accept: Accept = None) -> None:
+def link_runs(labels: np.ndarray, rows: np.ndarray, keys: np.ndarray, fps: np.ndarray, free: list[int], distance: int) -> None:
     """link_close() for every run of equal keys; short runs are compared all at once, one step apart at a time."""
     if len(rows) < 2:
         return
     starts = np.flatnonzero(np.concatenate(([True], keys[1:] != keys[:-1])))
     lengths = np.diff(np.append(starts, len(rows)))
     for at in np.flatnonzero(lengths > RUN):
-        link_close(labels, rows[starts[at] : starts[at] + lengths[at]], fps, free, distance, accept)
+        link_close(labels, rows[starts[at] : starts[at] + lengths[at]], fps, free, distance)
     left = np.repeat(np.where(lengths > RUN, 0, lengths), lengths) - (np.arange(len(rows)) - np.repeat(starts, lengths))
     own = fps[rows]
     index = np.flatnonzero(left > 1)
@@ -124,17 +130,21 @@ def link_runs(labels: np.ndarray, rows: np.ndarray, keys: np.ndarray, fps: np.nd
             return
         near = index[np.bitwise_count(own[index] ^ own[index + step]) <= distance]
         if len(near):
-            join(labels, rows[near], rows[near + step], accept)
+            merge_labels(labels, rows[near], rows[near + step])
 
 
-def dealt_by_block(rows: DataFrame, masks: list[int]) -> DataFrame:
-    """`rows` (with fp) once for each mask, dealt by what the mask shows: columns kind and key are added."""
+def dealt_by_block(rows: DataFrame, masks: list[int], fields: list[str]) -> DataFrame:
+    """(node, fp, kind, key): `rows` once for each of the fingerprints `fields` and each mask, dealt by what the mask shows of it."""
     signed = [m - (1 << 64) if m >> 63 else m for m in masks]
-    keys = F.array(*[F.col("fp").bitwiseAND(F.lit(m)) for m in signed])
-    return rows.select("*", F.posexplode(keys).alias("kind", "key")).repartition("kind", "key").sortWithinPartitions("kind", "key")
+    out = None
+    for k, field in enumerate(fields):
+        keys = F.array(*[F.col(field).bitwiseAND(F.lit(m)) for m in signed])
+        own = rows.select("node", F.col(field).alias("fp"), F.posexplode(keys).alias("kind", "key")).withColumn("kind", F.col("kind") + k * len(masks))
+        out = own if out is None else out.unionByName(own)
+    return out.repartition("kind", "key").sortWithinPartitions("kind", "key")
 
 
-def linked_labels(table: pa.Table, masks: list[int], distance: int, accept: Accept = None) -> np.ndarray:
+def linked_labels(table: pa.Table, masks: list[int], distance: int) -> np.ndarray:
     """The class of each row of a partition of dealt_by_block()."""
     fps, kind, key = (numpy_column(table, c) for c in ("fp", "kind", "key"))
     fps, key = fps.view(np.uint64), key.view(np.uint64)
@@ -142,16 +152,16 @@ def linked_labels(table: pa.Table, masks: list[int], distance: int, accept: Acce
     for k in np.unique(kind):
         rows = np.flatnonzero(kind == k)
         rows = rows[np.argsort(key[rows], kind="stable")]
-        link_runs(labels, rows, key[rows], fps, [i for i in range(BITS) if not masks[k] >> i & 1], distance, accept)
+        link_runs(labels, rows, key[rows], fps, [i for i in range(BITS) if not masks[k % len(masks)] >> i & 1], distance)
     return labels
 
 
-def close_links(reps: DataFrame, distance: int, per_block: int = PER_BLOCK) -> DataFrame:
-    """Edges (a, b) that span every group of distinct fingerprints chained by at most `distance` bits.
+def close_links(reps: DataFrame, distance: int, per_block: int = PER_BLOCK, fields: list[str] | None = None) -> DataFrame:
+    """Edges (a, b) that span every group of rows chained by at most `distance` bits of one of their fingerprints.
 
-    reps: (node long, fp long), fingerprints distinct. Within a partition only a spanning forest leaves.
+    reps: (node long, fp long, …), fingerprints distinct. Within a partition only a spanning forest leaves.
     """
-    masks = block_plan(reps.count(), distance, per_block=per_block)
+    masks, fields = block_plan(reps.count(), distance, per_block=per_block), fields or ["fp"]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for table, _ in row_runs(batches, ["kind", "key"], ROWS, most=-1):
@@ -159,33 +169,36 @@ def close_links(reps: DataFrame, distance: int, per_block: int = PER_BLOCK) -> D
             linked = np.flatnonzero(labels != np.arange(len(node)))
             yield pa.RecordBatch.from_arrays([pa.array(node[linked]), pa.array(node[labels[linked]])], ["a", "b"])
 
-    return dealt_by_block(reps.select("node", "fp"), masks).mapInArrow(run, "a long, b long")
+    return dealt_by_block(reps, masks, fields).mapInArrow(run, "a long, b long")
 
 
 def components(fps: DataFrame, distance: int = 3) -> DataFrame:
-    """(doc_id, fp, component_id): fingerprints chained by at most `distance` bits share the smallest doc_id.
+    """(doc_id, fp, component_id): rows chained by at most `distance` bits of one of their fingerprints share the smallest doc_id.
 
-    Equal fingerprints are first reduced to one row each, so a group of copies costs one row however large
+    Rows of equal fingerprints are first reduced to one each, so a group of copies costs one row however large
     it is. Rows without a doc_id keep a null component unless an equal fingerprint has one.
     """
-    reps = stage(fps.groupBy("fp").agg(F.min("doc_id").alias("node")), "reps")
-    found = connected_components(close_links(reps.where("node IS NOT NULL"), distance))
-    classes = reps.join(found, "node", "left").select("fp", F.coalesce("component", "node").alias("component_id"))
-    return fps.join(classes, "fp").select("doc_id", "fp", "component_id")
+    fields = fps.columns[1:]
+    reps = stage(fps.groupBy(*fields).agg(F.min("doc_id").alias("node")), "reps")
+    found = connected_components(close_links(reps.where("node IS NOT NULL"), distance, fields=fields))
+    classes = reps.join(found, "node", "left").select(*fields, F.coalesce("component", "node").alias("component_id"))
+    return fps.join(classes, fields).select("doc_id", "fp", "component_id")
 
 
-def near_duplicates(docs: DataFrame, words: int = 3, distance: int = 3, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def near_duplicates(docs: DataFrame, words: int = 3, distance: int = 3, id_col: str = "doc_id", text_col: str = "text", size: int = 1) -> DataFrame:
     """(doc_id, fp, component_id) per row of `docs`.
 
-    Nulls and blank texts have fingerprint zero and link like any other; repeated rows stay repeated; an
-    empty table gives an empty result; other columns of `docs` play no part.
+    size: fingerprints of each text, of which one must be close; pairs of one similarity lie at scattered distances,
+    and each fingerprint is another chance. Nulls and blank texts have fingerprints of zero and link like any
+    other; repeated rows stay repeated; an empty table gives an empty result; other columns of `docs` play no part.
     """
-    fps = stage(fingerprints(docs, words, id_col, text_col), "fps")
+    fps = stage(fingerprints(docs, words, id_col, text_col, size), "fps")
     return components(fps, distance)
 
 
-def simhash_dedup(docs: DataFrame, words: int = 5, distance: int = 3, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def simhash_dedup(docs: DataFrame, words: int = 5, distance: int = 3, id_col: str = "doc_id", text_col: str = "text", size: int = 1) -> DataFrame:
     """`docs` with one document of each group: the one whose id is the group's smallest. Columns stay as they are."""
-    found = near_duplicates(docs, words, distance, id_col, text_col)
-    drop = found.where("doc_id <> component_id").select(F.col("doc_id").alias("__gone")).distinct()
-    return docs.join(drop, docs[id_col].cast("long") == F.col("__gone"), "left_anti")
+    found = near_duplicates(docs, words, distance, id_col, text_col, size)
+    (gone,) = fresh(docs.columns, "gone")
+    drop = found.where("doc_id <> component_id").select(F.col("doc_id").alias(gone)).distinct()
+    return docs.join(drop, docs[id_col].cast("long") == F.col(gone), "left_anti")

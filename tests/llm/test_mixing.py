@@ -43,3 +43,11 @@ def test_without_weights_and_empty(spark):
     got = mixing.mix(df).groupBy("source").count().collect()
     assert {r.source: round(r["count"] / 1000, 1) for r in got} in ({"big": 0.8, "small": 0.2}, {"big": 0.7, "small": 0.2}, {"big": 0.8, "small": 0.3}, {"big": 0.7, "small": 0.3})
     assert mixing.mix(spark.createDataFrame([], SCHEMA)).count() == 0
+
+
+def test_many_sources_go_another_way_to_the_same_rows(spark, monkeypatch):
+    rows = [(i, f"t{i}", f"s{i % 7}" if i % 8 else None, "") for i in range(400)]
+    df = spark.createDataFrame(rows, SCHEMA)
+    want = sorted((r.doc_id, r.copy_no) for r in mixing.mix(df).collect())
+    monkeypatch.setattr(mixing, "SOURCES", 2)
+    assert sorted((r.doc_id, r.copy_no) for r in mixing.mix(df).collect()) == want

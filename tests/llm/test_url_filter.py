@@ -11,9 +11,28 @@ ENTRIES = "pattern string, category string, action string, dated timestamp"
 
 
 def test_hosts(spark):
-    urls = ["http://A.b.C/x", "https://u:p@h.example.com:80/a?b#c", "ftp://x.y./", "no url", "", None, "http://", "HTTP://[::1]/"]
+    urls = ["http://A.b.C/x", "https://u:p@h.example.com:80/a?b#c", "ftp://x.y./", "no url", "", None, "http://", "HTTP://[2001:DB8::1]:8080/a", "http://u:p@q@z.org/", "http://10.0.0.1/"]
     got = [r.h for r in spark.createDataFrame([(u,) for u in urls], "u string").select(url_filter.host_of(F.col("u")).alias("h")).collect()]
-    assert got[:7] == ["a.b.c", "h.example.com", "x.y", "", "", "", ""]
+    want = ["a.b.c", "h.example.com", "x.y", "", "", "", "", "[2001:db8::1]", "z.org", "10.0.0.1"]
+    assert got == want
+    import duckdb
+
+    sql = "SELECT coalesce(regexp_replace(regexp_extract(lower(u), $1, 1), '\\.+$', ''), '') FROM (SELECT unnest($2) AS u)"
+    assert [r[0] for r in duckdb.execute(sql, [url_filter.HOST, urls]).fetchall()] == want
+
+
+def test_addresses_have_no_parent_domains(spark):
+    captures = spark.createDataFrame([(1, "http://10.0.0.1/", START, "", ""), (2, "http://[::ffff:1.2.3.4]/", START, "", "")], CAPTURES)
+    entries = spark.createDataFrame([("0.0.1", "spam", "add", START), ("3.4]", "spam", "add", START), ("10.0.0.1", "adult", "add", START)], ENTRIES)
+    assert sorted((r.page_id, r.pattern) for r in url_filter.filter_urls(captures, entries).collect()) == [(1, "10.0.0.1"), (2, None)]
+
+
+def test_repeated_captures_long_urls_and_clashing_columns(spark):
+    rows = [("http://a.com/" + "x" * 50000, START, "k1", "k2", "k3")] * 3 + [("http://b.org/", START, None, None, None)]
+    captures = spark.createDataFrame(rows, "url string, fetched_at timestamp, host_key string, every string, salt string")
+    got = url_filter.filter_urls(captures, spark.createDataFrame([("a.com", "spam", "add", START)], ENTRIES))
+    assert got.columns == [*captures.columns, "host", "blocked", "n_active", "pattern", "category", "listed_at"]
+    assert sorted((r.blocked, str(r.host_key)) for r in got.collect()) == [(False, "None"), (True, "k1"), (True, "k1"), (True, "k1")]
 
 
 def slow(captures, entries):
