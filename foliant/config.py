@@ -28,6 +28,14 @@ def parse_types(text: str | None, default: tuple[str, ...] = DEFAULT_TYPES) -> t
     return tuple(x for x in found if x) or default
 
 
+def database_kind(text: str | None) -> str:
+    """sqlite or mysql; sqlite where nothing is given."""
+    kind = (text or "sqlite").strip().lower()
+    if kind not in ("sqlite", "mysql"):
+        raise ValueError(f"DB_TYPE {text!r}: sqlite or mysql")
+    return kind
+
+
 def clamp(value: float, low: float, high: float) -> float:
     return max(low, min(value, high))
 

@@ -121,6 +121,16 @@ def data_url(name: Column, content: Column) -> Column:
     return F.concat(F.lit("data:"), kind, F.lit(";base64,"), F.regexp_replace(F.base64(content), r"\s", ""))
 
 
+#: Languages of one OCR engine by their names in the other.
+OCR_LANGUAGES = {"en": "eng", "ch_sim": "chi_sim", "zh": "chi_sim", "chi_sim": "chi_sim"}
+
+
+def ocr_language(code: Column) -> Column:
+    """The other engine's name of a language; one that isn't known keeps its own."""
+    names = F.create_map(*[F.lit(x) for pair in OCR_LANGUAGES.items() for x in pair])
+    return F.coalesce(F.try_element_at(names, F.lower(strip(code))), code)
+
+
 def splice_after(parts: Column, inserts: Column) -> Column:
     """`parts` with the lines of inserts[i] after line i. inserts: map<int, array<string>>."""
     none = F.array().cast("array<string>")

@@ -130,15 +130,93 @@ def with_captions(markdown: Column, captions: Column, title: str) -> Column:
     return join_lines(splice_after(lines(markdown), F.transform_values(captions, block)))
 
 
-def clean_caption(text: Column, longest: int) -> Column:
-    """One line without fences and stock openers, cut to `longest` characters and ended with a full stop."""
-    s = F.regexp_replace(strip(F.coalesce(text, F.lit(""))), "```[a-zA-Z0-9_-]*", "")
-    s = strip(F.regexp_replace(s, r"\s*[\r\n]+\s*", " "))
-    s = F.regexp_replace(s, "^(该图|这张图|此图|图片|该表|这张表|此表|表格)(显示|展示|描述|说明)了?[：:，,]?", "")
+#: Stock openers that a caption loses, by what it is about.
+OPENERS = {"image": "^(该图展示了|该图说明了|该图反映了|这张图展示了)", "table": "^(该表列出了|该表说明了|该表展示了|该表反映了)"}
+OWN_LABEL = r"^图像补充[:：]\s*"
+
+
+def clean_caption(text: Column, longest: int, kind: str = "table") -> Column:
+    """One line without a fence, a label and stock openers, cut to `longest` characters (0: not cut) and then ended with a full stop."""
+    s = F.regexp_replace(F.regexp_replace(strip(F.coalesce(text, F.lit(""))), r"^```[a-zA-Z]*\s*", ""), r"\s*```$", "")
+    s = strip(F.regexp_replace(s, r"\n+", " "))
+    s = strip(F.regexp_replace(s, OWN_LABEL, "")) if kind == "image" else s
+    s = strip(F.regexp_replace(s, OPENERS[kind], ""))
+    if longest <= 0:
+        return s
     cut = F.concat(F.regexp_replace(F.left(s, F.lit(longest)), "[，,;；。 ]+$", ""), F.lit("。"))
     return F.when(F.length(s) > longest, cut).otherwise(s)
 
 
+def worth_caption(width: Column, height: Column, least_width: int = 0, least_height: int = 0, least_area: int = 0) -> Column:
+    """Whether an image that could be read (its sizes are not null) is large enough; a minimum of 0 is none."""
+    fine = width.isNotNull() & height.isNotNull()
+    for value, least in ((width, least_width), (height, least_height), (width.cast("long") * height, least_area)):
+        fine = fine & (value >= least) if least > 0 else fine
+    return F.coalesce(fine, F.lit(False))
+
+
+def normal_path(path: Column) -> Column:
+    """A path without `.` and `..` parts, with forward slashes."""
+
+    def step(out: Column, part: Column) -> Column:
+        up = F.when(F.size(out) > 0, F.slice(out, 1, F.size(out) - 1)).otherwise(out)
+        return F.when((part == ".") | (part == ""), out).when(part == "..", up).otherwise(F.array_append(out, part))
+
+    parts = F.split(F.replace(path, F.lit("\\"), F.lit("/")), "/")
+    joined = F.array_join(F.aggregate(parts, F.array().cast("array<string>"), step), "/")
+    return F.when(path.isNotNull(), F.concat(F.when(path.rlike(r"^[/\\]"), "/").otherwise(""), joined))
+
+
+def relative_refs(found: DataFrame, files: DataFrame) -> DataFrame:
+    """found (doc_dir, ref, pos) as (doc_dir, ref, target, copy_from): what each reference becomes, seen from the document's folder.
+
+    Remote references and files that don't exist (files: path) stay out. A file below the folder is named from it;
+    another one is to be copied to images/ under its own name, with -2, -3 … in order of appearance where that is taken.
+    """
+    own = found.where(strip(F.col("ref")) != "").groupBy("doc_dir", "ref").agg(F.min("pos").alias("pos"))
+    folder = F.regexp_replace("doc_dir", "/+$", "")
+    own = own.withColumn("path", normal_path(local_path(strip(F.col("ref")), folder))).where("path IS NOT NULL")
+    there = own.join(files.select("path").distinct(), "path", "left_semi")
+    inside = there.where(F.startswith(F.col("path"), F.concat(folder, F.lit("/"))))
+    named = inside.select("doc_dir", "ref", F.substring(F.col("path"), F.length(folder) + 2, F.length("path")).alias("target"), F.lit(None).cast("string").alias("copy_from"))
+    outside = there.where(~F.startswith(F.col("path"), F.concat(folder, F.lit("/"))))
+    base = F.regexp_extract("path", r"([^/]+)$", 1)
+    once = outside.groupBy("doc_dir", "path").agg(F.min("pos").alias("pos")).withColumn("base", base)
+    held = files.select(F.regexp_extract("path", r"^(.*)/images/[^/]+$", 1).alias("held_dir"), F.regexp_extract("path", r"/images/([^/]+)$", 1).alias("held")).where("held <> ''").distinct()
+    once = once.join(held, (folder == F.col("held_dir")) & (F.col("base") == F.col("held")), "left")
+    n = F.row_number().over(Window.partitionBy("doc_dir", "base").orderBy("pos", "path")) + F.col("held").isNotNull().cast("int")
+    name = F.concat(stem(F.col("base")), F.when(n > 1, F.concat(F.lit("-"), n.cast("string"))).otherwise(""), F.regexp_extract("base", r"(\.[^.]+)$", 1))
+    copies = once.select("doc_dir", "path", F.concat(F.lit("images/"), name).alias("target"))
+    copied = outside.join(copies, ["doc_dir", "path"]).select("doc_dir", "ref", "target", F.col("path").alias("copy_from"))
+    return named.unionByName(copied)
+
+
+def with_targets(markdown: Column, targets: Column) -> Column:
+    """`markdown` with the paths of its references replaced by targets (map<string, string>); others stay."""
+
+    def one(raw: Column) -> Column:
+        path = F.regexp_extract(raw, REF, 1)
+        new = F.coalesce(F.try_element_at(targets, path), path)
+        at = F.instr(raw, path)
+        return F.concat(F.substring(raw, F.lit(1), at - 1), new, F.substring(raw, at + F.length(path), F.length(raw)))
+
+    found = F.regexp_extract_all(markdown, F.lit(REF), F.lit(0))
+    between = F.split(markdown, REF, -1)
+    return F.array_join(F.zip_with(between, F.transform(found, one), lambda a, b: F.concat(a, F.coalesce(b, F.lit("")))), "")
+
+
+def rewrite_refs(docs: DataFrame, files: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """docs (doc_id, doc_dir, md) with md's references seen from doc_dir and n_changed, and the copies (copy_from, copy_to) to make."""
+    found = docs.select("doc_dir", F.posexplode(refs(F.col("md"))).alias("pos", "ref"))
+    plan = relative_refs(found, files)
+    changed = plan.where("ref <> target").groupBy("doc_dir").agg(F.map_from_entries(F.collect_list(F.struct("ref", "target"))).alias("targets"))  # one folder's
+    joined = docs.join(changed, "doc_dir", "left")
+    n = F.size(F.filter(refs(F.col("md")), lambda r: F.array_contains(F.map_keys("targets"), r)))
+    rewritten = F.when(F.col("targets").isNull(), F.col("md")).otherwise(with_targets(F.col("md"), F.col("targets")))
+    copies = plan.where("copy_from IS NOT NULL").select("copy_from", F.concat(F.regexp_replace("doc_dir", "/+$", ""), F.lit("/"), F.col("target")).alias("copy_to")).distinct()
+    return joined.select("doc_id", rewritten.alias("md"), F.when(F.col("targets").isNull(), 0).otherwise(n).alias("n_changed")), copies
+
+
 def with_own_image(markdown: Column, path: Column) -> Column:
     """`markdown` led by its source image where an image produced no reference."""
     add = suffix(path).isin(*IMAGE_SUFFIXES) & (F.size(refs(markdown)) == 0)

@@ -53,7 +53,7 @@ def latest_state(events: DataFrame) -> DataFrame:
             "started_at": F.when(is_("claim"), e["at"]).when(is_("retry", "recover"), None).otherwise(s["started_at"]),
             "finished_at": F.when(is_("succeed", "fail", "cancel"), e["at"]).when(is_("retry", "recover"), None).otherwise(s["finished_at"]),
             "error_message": F.when(is_("fail"), F.left(e["error_message"], F.lit(4000))).when(is_("retry", "succeed"), None).otherwise(s["error_message"]),
-            "progress_percent": F.greatest(F.lit(0), F.least(F.lit(100), given("progress_percent"))),
+            "progress_percent": F.when(given("progress_percent").isNotNull(), F.greatest(F.lit(0), F.least(F.lit(100), given("progress_percent")))),
             "progress_note": F.left(given("progress_note"), F.lit(500)),
             "progress_pages_done": given("progress_pages_done"),
             "progress_pages_total": given("progress_pages_total"),
@@ -107,15 +107,20 @@ def status_counts(jobs: DataFrame) -> DataFrame:
     return counted.union(total)
 
 
-def queue_positions(jobs: DataFrame) -> DataFrame:
+def queue_positions(jobs: DataFrame, parts: int = 64, sample: int = 4096) -> DataFrame:
     """(job_id, queue_position, queue_total) of queued jobs, by creation, then id.
 
-    Ranked without one partition for all: a range partitioning puts the keys in order, each partition ranks
-    its own rows, and the partitions' sizes give the offsets.
+    Ranked without one partition for all: cut points from a bounded sample put the rows into `parts` ranges, each
+    ranges' rows are ranked by themselves, and the ranges' sizes give the offsets. The cuts are constants of the plan,
+    so both uses of them agree.
     """
     queued = jobs.where("status = 'queued'").select("job_id", "created_at")
-    dealt = queued.repartitionByRange("created_at", "job_id").withColumn("__part", F.spark_partition_id())
-    sizes = dealt.groupBy("__part").agg(F.count("*").alias("n"))  # a row a partition
+    some = sorted((r.created_at or "", r.job_id) for r in queued.orderBy(F.xxhash64("job_id")).limit(sample).collect())
+    cuts = some[:: max(1, len(some) // parts)][1:]
+    at = F.struct(F.coalesce("created_at", F.lit("")), F.col("job_id"))
+    of = F.size(F.filter(F.array(*[F.struct(F.lit(a), F.lit(b)) for a, b in cuts]), lambda c: c <= at)) if cuts else F.lit(0)
+    dealt = queued.withColumn("__part", of)
+    sizes = dealt.groupBy("__part").agg(F.count("*").alias("n"))  # a row a range
     earlier = sizes.select("__part", (F.sum("n").over(Window.orderBy("__part")) - F.col("n")).alias("before"), F.sum("n").over(Window.partitionBy()).alias("queue_total"))
     own = F.row_number().over(Window.partitionBy("__part").orderBy("created_at", "job_id"))
     ranked = dealt.withColumn("__rank", own).join(F.broadcast(earlier), "__part")

@@ -7,6 +7,7 @@ client for each row, once for each partition's worker.
 from __future__ import annotations
 
 import hashlib
+import inspect
 import time
 from collections.abc import Callable, Iterable
 from dataclasses import dataclass
@@ -209,12 +210,19 @@ class EchoClient:
         return f"caption {hashlib.md5(body.encode()).hexdigest()[:8]}" if "caption" in stage else f"```markdown\n{body}\n```"
 
 
+def generate(client: ModelClient, messages: list[dict], stage: str) -> str:
+    """A client's answer; stand-ins that know no stage are called without one."""
+    known = inspect.signature(client.generate).parameters
+    takes_stage = "stage" in known or len(known) > 1 or any(p.kind is p.VAR_POSITIONAL for p in known.values())
+    return client.generate(messages, stage) if takes_stage else client.generate(messages)
+
+
 def call(client: ModelClient, messages: list[dict], stage: str, tries: int = 3, base: float = 0.0, wait: Callable[[float], None] = time.sleep) -> tuple[str, str | None]:
     """(answer, error): up to `tries` calls while the answer is empty or the client fails, waiting longer each time."""
     error: str | None = "empty"
     for k in range(tries):
         try:
-            got = client.generate(messages, stage)
+            got = generate(client, messages, stage)
             if got.strip():
                 return got, None
             error = "empty"

@@ -50,13 +50,14 @@ def bands(density: np.ndarray, threshold: float = 0.01, least: int = 10, gap: in
     return out
 
 
-def _rows(image: pd.DataFrame):  # noqa: ANN202
+def pages_of(image: pd.DataFrame):  # noqa: ANN201
+    """The grey page of each image, None for one that can't be read."""
     for h, w, c, d in zip(image["height"], image["width"], image["nChannels"], image["data"], strict=True):
         yield None if d is None or h <= 0 else gray(h, w, c, d)
 
 
 def _boxes(image: pd.DataFrame, find: Callable[[np.ndarray], tuple[int, int, int, int] | None]) -> pd.DataFrame:
-    found = [None if p is None else find(p) for p in _rows(image)]
+    found = [None if p is None else find(p) for p in pages_of(image)]
     return pd.DataFrame([f or (None,) * 4 for f in found], columns=["x0", "y0", "x1", "y1"]).astype("Int32")
 
 
@@ -82,6 +83,6 @@ def density(image: Column) -> Column:
     """The share of ink in each row of pixels."""
 
     def run(image: pd.DataFrame) -> pd.Series:
-        return pd.Series([None if p is None else row_density(p).tolist() for p in _rows(image)])
+        return pd.Series([None if p is None else row_density(p).tolist() for p in pages_of(image)])
 
     return F.pandas_udf(run, "array<double>")(image)

@@ -96,7 +96,8 @@ def blocks_of_lines(rows: Column) -> Column:
         shut = F.when((in_html | opens) & m["shuts"], block(F.when(in_html, s["from"]).otherwise(m["i"]), m["i"], "html")).otherwise(none)
         mode = F.when((in_html | opens) & m["shuts"], "").when(in_html | opens, "html").when(m["pipe"], "pipe").otherwise("")
         begin = F.when(in_html | in_pipe, s["from"]).otherwise(m["i"])
-        return F.struct(mode.alias("mode"), begin.alias("from"), F.concat(s["out"], ended, shut).alias("out"))
+        found_one = (F.size(ended) > 0) | (F.size(shut) > 0)  # most lines end none, and copy nothing
+        return F.struct(mode.alias("mode"), begin.alias("from"), F.when(found_one, F.concat(s["out"], ended, shut)).otherwise(s["out"]).alias("out"))
 
     def finish(s: Column) -> Column:
         n = F.size(rows)
@@ -109,13 +110,14 @@ def blocks_of_lines(rows: Column) -> Column:
 
 def first_block(text: Column) -> Column:
     """The first run of pipe lines, single ones included; '' if there is none."""
-    rows = lines(text)
-    flags = F.transform(rows, is_pipe_line)
-    begin = F.array_position(flags, True)
-    rest = F.slice(flags, F.greatest(begin, F.lit(1)), F.size(flags))
-    end = F.array_position(rest, False)
-    size = F.when(end > 0, end - 1).otherwise(F.size(rest)).cast("int")
-    return F.when(begin > 0, strip(join_lines(F.slice(rows, begin.cast("int"), size)))).otherwise("")
+
+    def cut(v: Column) -> Column:
+        begin = F.array_position(v["flags"], True)
+        rest = F.slice(v["flags"], F.greatest(begin, F.lit(1)), F.size(v["flags"]))
+        size = let(F.array_position(rest, False), lambda end: F.when(end > 0, end - 1).otherwise(F.size(rest)).cast("int"))
+        return F.when(begin > 0, strip(join_lines(F.slice(v["rows"], begin.cast("int"), size)))).otherwise("")
+
+    return let(let(lines(text), lambda rows: F.struct(rows.alias("rows"), F.transform(rows, is_pipe_line).alias("flags"))), cut)
 
 
 def is_html_table(text: Column) -> Column:
@@ -145,28 +147,33 @@ def pipe_rows(markdown: Column) -> Column:
     return F.filter(lines(markdown), lambda x: strip(x).startswith("|"))
 
 
+def share_of_empty(cells: Column) -> Column:
+    """Share of empty cells below the second row. cells: a row's cells, row by row."""
+    return let(F.flatten(F.slice(cells, 3, 1 << 20)), lambda c: F.when(F.size(c) > 0, F.size(F.filter(c, lambda x: x == "")) / F.size(c)).otherwise(0.0))
+
+
 def empty_share(markdown: Column) -> Column:
-    """Share of empty cells below the second row."""
-    cells = F.flatten(F.transform(F.slice(pipe_rows(markdown), 3, 1 << 20), split_row))
-    return let(cells, lambda c: F.when(F.size(c) > 0, F.size(F.filter(c, lambda x: x == "")) / F.size(c)).otherwise(0.0))
+    """share_of_empty() of a table's pipe rows."""
+    return let(F.transform(pipe_rows(markdown), split_row), share_of_empty)
 
 
 def is_suspicious(markdown: Column) -> Column:
     """Whether a pipe table is worth a second look: many columns, ragged rows, or many empty cells."""
-    found = F.struct(pipe_rows(markdown).alias("rows"), column_count(markdown).alias("width"))
 
     def odd(t: Column) -> Column:
-        ragged = (t["width"] >= 8) | F.exists(t["rows"], lambda r: F.size(split_row(r)) != t["width"]) | (empty_share(join_lines(t["rows"])) > 0.4)
-        return (F.size(t["rows"]) >= 2) & (t["width"] > 1) & ragged
+        ragged = (t["width"] >= 8) | F.exists(t["cells"], lambda c: F.size(c) != t["width"]) | (share_of_empty(t["cells"]) > 0.4)
+        return (F.size(t["cells"]) >= 2) & (t["width"] > 1) & ragged
 
-    return let(found, odd)
+    return let(markdown, lambda md: let(F.struct(F.transform(pipe_rows(md), split_row).alias("cells"), column_count(md).alias("width")), odd))
 
 
 def is_caption_worthy(markdown: Column) -> Column:
-    rows = F.filter(lines(markdown), lambda x: strip(x) != "")
-    first = strip(F.get(rows, F.lit(0)))
-    fine = (F.size(rows) >= 3) & first.startswith("|") & (count_of(first, "|") >= 3) & (F.length(strip(markdown)) >= 40)
-    return F.coalesce(fine, F.lit(False))
+    def fine(v: Column) -> Column:
+        first = strip(F.get(v["rows"], F.lit(0)))
+        return (F.size(v["rows"]) >= 3) & first.startswith("|") & (count_of(first, "|") >= 3) & (F.length(v["text"]) >= 40)
+
+    parts = lambda md: F.struct(F.filter(lines(md), lambda x: strip(x) != "").alias("rows"), strip(md).alias("text"))
+    return F.coalesce(let(let(markdown, parts), fine), F.lit(False))
 
 
 def invariants(original: Column, refined: Column) -> Column:

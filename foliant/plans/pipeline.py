@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from foliant.config import Settings
-from foliant.functions.text import escape_dimensions, join_lines, lines, strip_fence
+from foliant.functions.text import escape_dimensions, join_lines, let, lines, strip_fence
 from foliant.operators import images, model_calls, tables
 from foliant.sources import files, sinks
 
@@ -26,9 +26,12 @@ def second_pass(pages: DataFrame, make: Callable[[], model_calls.ModelClient], m
     key = F.struct(F.col("page_id").cast("string").alias("p"), F.col("k").alias("k"))
     asked = odd.select(F.to_json(key).alias("id"), "page_id", "k", "b", F.array(model_calls.message("user", model_calls.text_part(ask))).alias("messages"))
     answers = model_calls.run(asked, make, "table_cleanup")
-    new = tables.first_block(strip_fence(F.col("answer")))
-    fits = asked.join(answers, "id").withColumn("new", new)
-    fits = fits.where(tables.invariants(F.col("b.markdown"), F.col("new"))["ok"] & (F.size(lines(F.col("new"))) == F.col("b.end_line") - F.col("b.start_line") + 1))
+    # one value, so that the rewrite isn't written out again wherever it is looked at
+    judged = lambda new: F.struct(
+        new.alias("new"), tables.invariants(F.col("b.markdown"), new)["ok"].alias("ok"), F.size(lines(new)).alias("n_lines")
+    )
+    fits = asked.join(answers, "id").withColumn("v", let(tables.first_block(strip_fence(F.col("answer"))), judged))
+    fits = fits.where(F.col("v.ok") & (F.col("v.n_lines") == F.col("b.end_line") - F.col("b.start_line") + 1)).withColumn("new", F.col("v.new"))
     kept = sinks.budgeted(fits.select("page_id", "k", "b", "new"), ["page_id"], ["k"], most)
     patches = kept.groupBy("page_id").agg(F.collect_list(F.struct("b.start_line", "b.end_line", "new")).alias("patches"))  # one page's tables
 
@@ -60,13 +63,18 @@ def caption_tables(docs: DataFrame, make: Callable[[], model_calls.ModelClient],
     return joined.select("doc_id", F.when(F.col("captions").isNull(), F.col("md")).otherwise(images.with_captions(F.col("md"), F.col("captions"), "表格信息")).alias("md"))
 
 
-def convert(spark: SparkSession, root: str, settings: Settings, extract: files.Extractor = files.standard_extractor, done: DataFrame | None = None) -> DataFrame:
-    """(path, markdown, n_pages, failed_pages) of the supported files below a folder that have no output yet."""
+def convert(spark: SparkSession, root: str, settings: Settings, extract: files.Extractor = files.standard_extractor, done: DataFrame | None = None, page: Callable[[str], str] | None = None) -> DataFrame:
+    """(path, markdown, n_pages, failed_pages) of the supported files below a folder that have no output yet.
+
+    page: a last change to each page's body, run on the executors.
+    """
     allowed = [f".{t}" for t in settings.allowed_types]
     found = files.scan(spark, root, allowed, settings.max_files)
     found = found if done is None else sinks.pending(found, done)
     paged = files.pages(found.where(files.route(F.col("path")) != "workbook"), extract, settings.max_pages)
     paged = paged.withColumn("body", escape_dimensions(tables.normalize(F.col("body"))))
+    if page is not None:
+        paged = paged.withColumn("body", F.pandas_udf(lambda s: s.map(page, na_action="ignore"), "string")("body"))
     docs = sinks.assemble(sinks.completed(paged))
     sheets = files.workbooks(found.where(files.route(F.col("path")) == "workbook"))
     return docs.unionByName(workbook_documents(sheets))

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from foliant.operators import figures
+from foliant.operators import crops, figures, images
 from foliant.plans.inputs import derived, for_duckdb
 
 #: Boxes on pages, one an order line, all within 1000 by 800.
@@ -128,8 +128,18 @@ def bbox_merge(spark: SparkSession, sf_dir: str) -> DataFrame:
     return figures.merge_page_boxes(_pages(spark, sf_dir), gap=8.0)
 
 
+# Each box takes in all that are near it; once nothing changes, boxes of one group are equal. Rounds double the reach.
+_ROUNDS = 8
+BBOX_MERGE = f"WITH r0 AS MATERIALIZED (SELECT DISTINCT page, x0, y0, x1, y1 FROM ({_BOXES}))" + "".join(
+    f""", r{i + 1} AS MATERIALIZED (SELECT DISTINCT page, x0, y0, x1, y1 FROM (
+  SELECT a.page, a.x0 AS ax0, a.y0 AS ay0, a.x1 AS ax1, a.y1 AS ay1, min(b.x0) AS x0, min(b.y0) AS y0, max(b.x1) AS x1, max(b.y1) AS y1 FROM r{i} a JOIN r{i} b
+  ON a.page = b.page AND a.x0 <= b.x1 + 8 AND b.x0 <= a.x1 + 8 AND a.y0 <= b.y1 + 8 AND b.y0 <= a.y1 + 8 GROUP BY ALL))"""
+    for i in range(_ROUNDS)
+) + f" SELECT page AS page_id, CAST(row_number() OVER (PARTITION BY page ORDER BY y0, x0) - 1 AS INT) AS k, x0, y0, x1, y1 FROM r{_ROUNDS}"
+
+
 def table_zones(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Order 64 lines at a time as one page: cells in a grid."""
+    """Sixteen parts at a time as one page: cells in a grid."""
     rows = derived(spark, sf_dir, "SELECT p_partkey AS n, CAST(floor(p_partkey / 16) AS BIGINT) AS page, p_size AS size FROM <part>")
     x, y = (F.col("n") % 4) * 100.0, F.floor(F.col("n") % 16 / 4) * 30.0
     grid = rows.select("page", "n", figures.box(x, y, x + 60 + F.col("size"), y + 24).alias("b"))
@@ -137,6 +147,55 @@ def table_zones(spark: SparkSession, sf_dir: str) -> DataFrame:
     return figures.zone_page_boxes(grid.groupBy(F.col("page").alias("page_id")).agg(F.transform(one, lambda v: v["b"]).alias("boxes")), W)
 
 
+# All cells of a page belong to one zone if eight or more stand there and a row of four begins it.
+TABLE_ZONES = """
+WITH c AS (SELECT p_partkey // 16 AS page, p_partkey % 16 // 4 AS r, p_partkey % 4 * 100.0 AS x0, p_partkey % 16 // 4 * 30.0 AS y0, p_size FROM part),
+f AS (SELECT page, r FROM c GROUP BY page, r HAVING count(*) = 4)
+SELECT page AS page_id, 0 AS k, min(x0)::DOUBLE AS x0, min(y0)::DOUBLE AS y0, max(x0 + 60 + p_size)::DOUBLE AS x1, max(y0 + 24)::DOUBLE AS y1
+FROM c WHERE page IN (SELECT page FROM f) GROUP BY page HAVING count(*) >= 8
+"""
+
+
+def page_scans(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Boxes as pixels, which of them may be figures, and which pages are one scanned image."""
+    w, h = F.lit(W), F.lit(H)
+    scan = boxes(spark, sf_dir).groupBy("page").agg(crops.is_scan(F.collect_list("b"), F.lit(300.0), F.lit(200.0)).alias("scan"))  # one page's boxes
+    rows = boxes(spark, sf_dir).join(scan, "page").withColumn("p", crops.to_pixels(F.col("b"), w, h, F.lit(1501.0), F.lit(1003.0)))
+    return rows.select("page", "n", "p.*", crops.is_region(F.col("b"), w, h).alias("region"), "scan")
+
+
+PAGE_SCANS = f"""
+SELECT page, n, trunc(x0 * (1501::DOUBLE / 1000)) AS x0, trunc(y0 * (1003::DOUBLE / 800)) AS y0, trunc(x1 * (1501::DOUBLE / 1000)) AS x1, trunc(y1 * (1003::DOUBLE / 800)) AS y1,
+  (x1 - x0) * (y1 - y0) / 800000 >= 0.015 AND x1 - x0 >= 40 AND y1 - y0 >= 40 AND greatest((x1 - x0) / greatest(y1 - y0, 1), (y1 - y0) / greatest(x1 - x0, 1)) <= 14 AS region,
+  count(*) OVER (PARTITION BY page) = 1 AND (x1 - x0) * (y1 - y0) / 60000 > 0.82 AS scan
+FROM ({_BOXES})
+"""
+
+
+def caption_images(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Which images are large enough for a caption; one in five can't be read."""
+    side = lambda lo, hi: F.when(F.col("page") % 5 != 0, (F.col(f"b.{hi}") - F.col(f"b.{lo}")).cast("int"))
+    return boxes(spark, sf_dir).select("page", "n", images.worth_caption(side("x0", "x1"), side("y0", "y1"), 100, 80, 20000).alias("worth"))
+
+
+CAPTION_IMAGES = f"SELECT page, n, page % 5 <> 0 AND x1 - x0 >= 100 AND y1 - y0 >= 80 AND (x1 - x0) * (y1 - y0) >= 20000 AS worth FROM ({_BOXES})"
+
+
+def figure_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The boxes that two captions of a page take, in order."""
+    pairs = crops.best_pairs(F.array(F.lit("左上"), F.lit("右")), F.col("boxes"), F.lit(W), F.lit(H))
+    return _pages(spark, sf_dir).select("page_id", F.explode(pairs).alias("p")).select("page_id", "p.k", "p.box.*")
+
+
+FIGURE_PAIRS = f"""
+WITH b AS (SELECT *, row_number() OVER (PARTITION BY page ORDER BY n, x0, y0, x1, y1) AS i, (x1 - x0) * (y1 - y0) AS s, (x0 + x1) / 2 / 1000 AS x, (y0 + y1) / 2 / 800 AS y FROM ({_BOXES})),
+v AS (SELECT *, s * (1 + CASE WHEN x < 0.55 THEN 0.8 ELSE 0 END + CASE WHEN y < 0.60 THEN 0.5 ELSE 0 END) AS v0, s * (1 + CASE WHEN x > 0.45 THEN 0.8 ELSE 0 END) AS v1 FROM b),
+f AS (SELECT *, row_number() OVER (PARTITION BY page ORDER BY v0 DESC, i) AS k0 FROM v),
+g AS (SELECT *, row_number() OVER (PARTITION BY page ORDER BY k0 = 1, v1 DESC, i) AS k1 FROM f)
+SELECT page AS page_id, 0 AS k, x0, y0, x1, y1 FROM g WHERE k0 = 1 UNION ALL SELECT page, 1, x0, y0, x1, y1 FROM g WHERE k1 = 1 AND k0 > 1
+"""
+
+
 def figure_match(spark: SparkSession, sf_dir: str) -> DataFrame:
     pages = _pages(spark, sf_dir).withColumn("positions", F.expr("CASE page_id % 3 WHEN 0 THEN array('左上', '右下') WHEN 1 THEN array(CAST(NULL AS STRING)) ELSE array('上', '下', '中') END"))
     return figures.match_page_captions(pages, W, H)
@@ -157,22 +216,21 @@ FROM part
 
 
 def bbox_apart(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Boxes of a page that repeat no earlier one."""
-    rows = _pages(spark, sf_dir).select("page_id", F.size("boxes").alias("n"), F.size(figures.first_apart(F.col("boxes"), 0.3)).alias("kept"))
-    return rows.where("n = 2")
-
-
-def bbox_apart_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """bbox_apart() for every page, whatever its number of boxes; SQL cannot say the greedy rule."""
+    """How many of each page's boxes repeat no earlier one that was kept."""
     return _pages(spark, sf_dir).select("page_id", F.size("boxes").alias("n"), F.size(figures.first_apart(F.col("boxes"), 0.3)).alias("kept"))
 
 
+# The greedy rule as a recursion: one box more a step, against all that are kept so far.
 BBOX_APART = f"""
-WITH b AS ({_BOXES}), p AS (SELECT a.page, greatest(0, least(a.x1, b.x1) - greatest(a.x0, b.x0)) * greatest(0, least(a.y1, b.y1) - greatest(a.y0, b.y0)) AS i,
-  (a.x1 - a.x0) * (a.y1 - a.y0) + (b.x1 - b.x0) * (b.y1 - b.y0) AS s
-  FROM (SELECT *, row_number() OVER (PARTITION BY page ORDER BY n, x0, y0, x1, y1) AS k, count(*) OVER (PARTITION BY page) AS c FROM b) a
-  JOIN (SELECT *, row_number() OVER (PARTITION BY page ORDER BY n, x0, y0, x1, y1) AS k, count(*) OVER (PARTITION BY page) AS c FROM b) b ON a.page = b.page AND a.k = 1 AND b.k = 2 AND a.c = 2)
-SELECT page AS page_id, 2 AS n, CASE WHEN i / (s - i) > 0.3 THEN 1 ELSE 2 END AS kept FROM p
+WITH RECURSIVE b AS (SELECT page, x0, y0, x1, y1, row_number() OVER (PARTITION BY page ORDER BY n, x0, y0, x1, y1) AS k FROM ({_BOXES})),
+fold AS (
+  SELECT page, CAST(0 AS BIGINT) AS k, CAST([] AS STRUCT(x0 DOUBLE, y0 DOUBLE, x1 DOUBLE, y1 DOUBLE)[]) AS kept FROM (SELECT DISTINCT page FROM b)
+  UNION ALL
+  SELECT f.page, b.k, CASE WHEN len(list_filter(kept, lambda o: greatest(0, least(o.x1, b.x1) - greatest(o.x0, b.x0)) * greatest(0, least(o.y1, b.y1) - greatest(o.y0, b.y0)) >
+      0.3 * ((o.x1 - o.x0) * (o.y1 - o.y0) + (b.x1 - b.x0) * (b.y1 - b.y0) - greatest(0, least(o.x1, b.x1) - greatest(o.x0, b.x0)) * greatest(0, least(o.y1, b.y1) - greatest(o.y0, b.y0))))) > 0
+    THEN kept ELSE list_append(kept, {{'x0': b.x0, 'y0': b.y0, 'x1': b.x1, 'y1': b.y1}}) END
+  FROM fold f JOIN b ON b.page = f.page AND b.k = f.k + 1)
+SELECT page AS page_id, CAST(max(k) AS INT) AS n, CAST(max(len(kept)) AS INT) AS kept FROM fold GROUP BY page
 """
 
 QUERIES = {
@@ -184,8 +242,10 @@ QUERIES = {
     "figure_captions": (figure_captions, FIGURE_CAPTIONS),
     "crop_regions": (crop_regions, CROP_REGIONS),
     "figure_inject": (figure_inject, FIGURE_INJECT),
-    "bbox_apart_pages": (bbox_apart_pages, None),
-    "bbox_merge": (bbox_merge, None),
-    "table_zones": (table_zones, None),
+    "bbox_merge": (bbox_merge, BBOX_MERGE),
+    "table_zones": (table_zones, TABLE_ZONES),
+    "page_scans": (page_scans, PAGE_SCANS),
+    "caption_images": (caption_images, CAPTION_IMAGES),
+    "figure_pairs": (figure_pairs, FIGURE_PAIRS),
     "figure_match": (figure_match, None),
 }

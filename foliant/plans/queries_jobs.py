@@ -171,7 +171,63 @@ SELECT pos, a.job_id, original_filename || '_' || left(a.job_id, 8) AS folder, c
 FROM asked a LEFT JOIN jobs j ON j.job_id = a.job_id
 """
 
+#: Events as a log of every action: what a user's event does follows from both ids; one user in five may delete.
+ACTION_LOG = """
+SELECT CAST(user_id AS STRING) AS job_id, event_id AS seq, CAST(event_id AS STRING) AS at,
+  CASE (event_id * 7 + user_id) % 9 WHEN 0 THEN 'insert' WHEN 1 THEN 'claim' WHEN 2 THEN 'progress' WHEN 3 THEN 'succeed' WHEN 4 THEN 'fail' WHEN 5 THEN 'cancel' WHEN 6 THEN 'retry'
+    WHEN 7 THEN 'recover' ELSE CASE WHEN user_id % 5 = 0 THEN 'delete' ELSE 'progress' END END AS action,
+  CAST(event_id % 130 - 10 AS INT) AS progress_percent, concat('step ', CAST(event_id % 3 AS STRING)) AS progress_note
+FROM <events>
+"""
+
+
+def job_event_states(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Jobs after every kind of action: progress, cancellation, recovery after a crash, deletion."""
+    log = derived(spark, sf_dir, ACTION_LOG).withColumns({"owner_username": F.lit("u"), "original_filename": F.lit("f"), "error_message": F.lit("broke"), "result_extra": F.lit("{}"), "progress_pages_done": F.lit(1), "progress_pages_total": F.lit(2)})
+    return jobs.latest_state(log).select("job_id", "status", "attempt_count", "created_at", "started_at", "finished_at", "error_message", "progress_percent", "progress_note")
+
+
+JOB_EVENT_STATES = f"""
+WITH RECURSIVE log AS (SELECT *, row_number() OVER (PARTITION BY job_id ORDER BY seq) AS n FROM ({for_duckdb(ACTION_LOG)})),
+may AS (SELECT * FROM (VALUES ('insert', NULL, 'queued'), ('claim', ['queued'], 'running'), ('succeed', ['running'], 'succeeded'), ('fail', ['running'], 'failed'), ('cancel', ['queued', 'running'], 'cancelled'),
+  ('retry', ['failed', 'cancelled', 'succeeded'], 'queued'), ('recover', ['running'], 'queued')) AS t(a, b, s)),
+fold AS (
+  SELECT job_id, CAST(0 AS BIGINT) AS n, CAST(NULL AS VARCHAR) AS status, 0 AS attempt_count, CAST(NULL AS VARCHAR) AS created_at, CAST(NULL AS VARCHAR) AS started_at, CAST(NULL AS VARCHAR) AS finished_at,
+    CAST(NULL AS VARCHAR) AS error_message, CAST(NULL AS INT) AS progress_percent, CAST(NULL AS VARCHAR) AS progress_note, false AS deleted FROM (SELECT DISTINCT job_id FROM log)
+  UNION ALL
+  SELECT job_id, n, coalesce(s, status), attempt_count + CAST(coalesce(ok AND action = 'claim', false) AS INT),
+    CASE WHEN ok AND action IN ('insert', 'retry') THEN at ELSE created_at END,
+    CASE WHEN ok AND action = 'claim' THEN at WHEN ok AND action IN ('retry', 'recover') THEN NULL ELSE started_at END,
+    CASE WHEN ok AND action IN ('succeed', 'fail', 'cancel') THEN at WHEN ok AND action IN ('retry', 'recover') THEN NULL ELSE finished_at END,
+    CASE WHEN ok AND action = 'fail' THEN 'broke' WHEN ok AND action IN ('retry', 'succeed') THEN NULL ELSE error_message END,
+    CASE WHEN ok AND action = 'retry' THEN NULL WHEN action = 'progress' THEN greatest(0, least(100, new_percent)) ELSE progress_percent END,
+    CASE WHEN ok AND action = 'retry' THEN NULL WHEN action = 'progress' THEN new_note ELSE progress_note END, deleted OR action = 'delete'
+  FROM (SELECT f.job_id, l.n, f.status, attempt_count, created_at, started_at, finished_at, error_message, f.progress_percent, f.progress_note, deleted, l.action, l.at,
+          l.progress_percent AS new_percent, l.progress_note AS new_note, m.s, m.s IS NOT NULL AS ok
+        FROM fold f JOIN log l ON l.job_id = f.job_id AND l.n = f.n + 1 LEFT JOIN may m ON m.a = l.action AND (CASE WHEN m.b IS NULL THEN f.status IS NULL ELSE list_contains(m.b, f.status) END)))
+SELECT job_id, status, attempt_count, created_at, started_at, finished_at, error_message, progress_percent, progress_note
+FROM (SELECT *, row_number() OVER (PARTITION BY job_id ORDER BY n DESC) AS k FROM fold) WHERE k = 1 AND status IS NOT NULL AND NOT deleted
+"""
+
+
+def job_failed_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Failed files out of a result's JSON, twenty at most."""
+    one = lambda i: F.struct(F.concat(F.lit("f"), i.cast("string")).alias("file"), F.lit("e").alias("error"))
+    n = (F.col("job_id").cast("long") % 25).cast("int")
+    listed = F.to_json(F.struct(F.transform(F.sequence(F.lit(0), n), one).alias("failed_files")))
+    rows = jobs.api_rows(all_jobs(spark, sf_dir).withColumn("result_extra", listed).withColumns({"queue_position": F.lit(None).cast("long"), "queue_total": F.lit(0)}))
+    return rows.where("status = 'succeeded'").select("job_id", F.size("failed_files").alias("n"), F.array_join(F.transform("failed_files", lambda f: f["file"]), ",").alias("files"))
+
+
+JOB_FAILED_FILES = f"""
+WITH jobs AS ({_JOBS})
+SELECT job_id, CAST(least(20, CAST(job_id AS BIGINT) % 25 + 1) AS INT) AS n, array_to_string(list_transform(range(0, least(20, CAST(job_id AS BIGINT) % 25 + 1)), lambda i: 'f' || i), ',') AS files
+FROM jobs WHERE status = 'succeeded'
+"""
+
 QUERIES = {
+    "job_event_states": (job_event_states, JOB_EVENT_STATES),
+    "job_failed_files": (job_failed_files, JOB_FAILED_FILES),
     "job_list_page": (job_list_page, JOB_LIST_PAGE),
     "job_status_counts": (job_status_counts, JOB_STATUS_COUNTS),
     "job_queue_positions": (job_queue_positions, JOB_QUEUE_POSITIONS),

@@ -6,9 +6,10 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from foliant.functions import text
-from foliant.operators import model_calls, review
+from foliant.operators import accounts, images, model_calls, review
 from foliant.plans import pipeline
-from foliant.plans.inputs import PICTURES, RAGGED, derived, read
+from foliant.plans.inputs import PICTURES, RAGGED, derived, for_duckdb, read
+from foliant.plans.queries_markdown import MD_TABLE_SUSPICIOUS
 from foliant.sources import files, sinks
 
 
@@ -200,16 +201,148 @@ def html_to_markdown(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.select("page_id", "markdown", F.size(F.regexp_extract_all("markdown", F.lit(r"\]\("), F.lit(0))).alias("n_links"))
 
 
+def html_outline(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Each page's first heading, and its links with and without navigation."""
+    rows = files.with_markdown(files.with_markdown(read(spark, sf_dir, "pages"), furniture=True).withColumnRenamed("markdown", "whole"))
+    links = lambda c: F.size(F.regexp_extract_all(c, F.lit(r"\]\("), F.lit(0)))
+    return rows.select("page_id", F.regexp_extract("markdown", r"(?m)^# (.*)$", 1).alias("title"), links("whole").alias("n_links"), links("markdown").alias("n_own_links"))
+
+
+HTML_OUTLINE = r"""
+SELECT page_id, trim(regexp_replace(replace(replace(replace(regexp_extract(html, '<h1>(.*?)</h1>', 1), '&lt;', '<'), '&gt;', '>'), '&amp;', '&'), '\s+', ' ', 'g')) AS title,
+  CAST(len(regexp_extract_all(html, '<a href')) AS INT) AS n_links,
+  CAST(len(regexp_extract_all(regexp_replace(html, '<nav>.*?</nav>|<footer>.*?</footer>', '', 'gs'), '<a href')) AS INT) AS n_own_links
+FROM pages
+"""
+
+
 def second_pass_tables(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Suspicious tables through a model that answers with the table it was asked about."""
     pages = derived(spark, sf_dir, RAGGED).select(F.col("key").alias("page_id"), "md")
     return pipeline.second_pass(pages, model_calls.EchoClient)
 
 
+# The stand-in's table is taken where all its rows have the header's width, pipes counted plainly; the text stays.
+_PLAIN = "len(string_split(trim(trim({0}), '|'), '|'))"
+SECOND_PASS_TABLES = f"""
+WITH s AS ({MD_TABLE_SUSPICIOUS}),
+p AS (SELECT key, md, list_filter(string_split(md, chr(10)), lambda x: starts_with(trim(x), '|')) AS l FROM ({for_duckdb(RAGGED)}))
+SELECT key AS page_id, CASE WHEN suffix(md, chr(10)) THEN left(md, length(md) - 1) ELSE md END AS md,
+  CAST(suspicious AND len(list_filter(l, lambda x: {_PLAIN.format("x")} <> {_PLAIN.format("l[1]")})) = 0 AS INT) AS n_patched
+FROM p JOIN s USING (key)
+"""
+
+
 def table_captions(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A caption, of the stand-in's making, after each table that is worth one."""
     docs = derived(spark, sf_dir, RAGGED).select(F.col("key").alias("doc_id"), "md")
     return pipeline.caption_tables(docs, model_calls.EchoClient, most=1)
 
 
+TABLE_CAPTIONS = f"""
+WITH s AS ({MD_TABLE_SUSPICIOUS}),
+p AS (SELECT key, md, string_split(CASE WHEN suffix(md, chr(10)) THEN left(md, length(md) - 1) ELSE md END, chr(10)) AS l FROM ({for_duckdb(RAGGED)}))
+SELECT key AS doc_id, CASE WHEN NOT caption_worthy THEN md ELSE array_to_string(list_concat(list_slice(l, 1, 5),
+  ['', '> **表格信息：** caption ' || left(md5(array_to_string(list_slice(l, 2, 5), chr(10))), 8), ''], list_slice(l, 6, len(l))), chr(10)) END AS md
+FROM p JOIN s USING (key)
+"""
+
+
+def caption_cleanup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What is left of a model's captions: fences, labels and stock openers go, long ones are cut."""
+    rows = derived(spark, sf_dir, ANSWERS)
+    return rows.select("key", images.clean_caption(F.col("answer"), 30, "image").alias("image_caption"), images.clean_caption(F.col("answer"), 0, "table").alias("table_caption"))
+
+
+ANSWERS = """
+SELECT p_partkey AS key, CASE p_partkey % 5
+  WHEN 0 THEN concat('```markdown', chr(10), '该图展示了 ', p_name, chr(10), chr(10), p_brand, chr(10), '```')
+  WHEN 1 THEN concat(' 图像补充：该图反映了', p_name, '  ') WHEN 2 THEN concat(repeat(concat(p_name, '， '), 4), '。')
+  WHEN 3 THEN concat('该表列出了', p_name) ELSE concat('图片说明 ', p_type) END AS answer FROM <part>
+"""
+_BARE = r"trim(regexp_replace(regexp_replace(regexp_replace(trim(answer, ' ' || chr(10)), '^```[a-zA-Z]*\s*', ''), '\s*```$', ''), '\n+', ' ', 'g'))"
+CAPTION_CLEANUP = rf"""
+WITH b AS (SELECT key, {_BARE} AS s FROM ({for_duckdb(ANSWERS)})),
+c AS (SELECT key, s, trim(regexp_replace(trim(regexp_replace(s, '^图像补充[:：]\s*', '')), '^(该图展示了|该图说明了|该图反映了|这张图展示了)', '')) AS i FROM b)
+SELECT key, CASE WHEN length(i) > 30 THEN regexp_replace(left(i, 30), '[，,;；。 ]+$', '') || '。' ELSE i END AS image_caption,
+  trim(regexp_replace(s, '^(该表列出了|该表说明了|该表展示了|该表反映了)', '')) AS table_caption FROM c
+"""
+
+
+def ocr_languages(spark: SparkSession, sf_dir: str) -> DataFrame:
+    code = F.expr("CASE doc_id % 4 WHEN 0 THEN ' ZH ' WHEN 1 THEN 'ch_sim' WHEN 2 THEN lang ELSE 'chi_sim' END")
+    return read(spark, sf_dir, "documents").select("doc_id", text.ocr_language(code).alias("code"))
+
+
+OCR_LANGUAGES = "SELECT doc_id, CASE WHEN doc_id % 4 <> 2 THEN 'chi_sim' WHEN lower(trim(lang)) = 'en' THEN 'eng' ELSE lang END AS code FROM documents"
+
+
+def md_rewrite_refs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """References to files below a document's folder, to files elsewhere, and to files that aren't there."""
+    folder = F.concat(F.lit("/d/"), F.col("key").cast("string"))
+    prefix = F.when(F.col("key") % 3 == 0, F.concat(folder, F.lit("/./img/"))).when(F.col("key") % 3 == 1, "/o/x/../img/").otherwise("img/")
+    rows = derived(spark, sf_dir, PICTURES).select(F.col("key").alias("doc_id"), folder.alias("doc_dir"), F.replace("md", F.lit("(img/"), F.concat(F.lit("("), prefix)).alias("md"))
+    there = F.when(F.col("key") % 3 == 0, F.concat(folder, F.lit("/img/"))).when(F.col("key") % 3 == 1, "/o/img/")
+    found = derived(spark, sf_dir, PICTURES).select(F.concat(there, F.col("key").cast("string"), F.lit(".png")).alias("path")).where("path IS NOT NULL")
+    return images.rewrite_refs(rows, found)[0]
+
+
+MD_REWRITE_REFS = f"""
+SELECT key AS doc_id, CASE WHEN key % 3 = 1 THEN replace(md, '(img/', '(images/') ELSE md END AS md, CAST(key % 3 < 2 AS INT) AS n_changed FROM ({for_duckdb(PICTURES)})
+"""
+
+
+def md_image_ref_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = derived(spark, sf_dir, PICTURES).select("key", F.explode(images.refs_by_line(F.col("md"))).alias("r"))
+    return rows.select("key", "r.line_no", "r.path")
+
+
+MD_IMAGE_REF_LINES = rf"""
+SELECT key, CAST(i - 1 AS INT) AS line_no, path FROM (
+  SELECT key, i, regexp_extract(l[i], '!\[[^\]]*\]\(([^)\s]+)(?:\s+"[^"]*")?\)', 1) AS path
+  FROM (SELECT key, l, unnest(range(1, len(l) + 1)) AS i FROM (SELECT key, string_split(md, chr(10)) AS l FROM ({for_duckdb(PICTURES)})))) WHERE path <> ''
+"""
+
+
+def failed_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Pages that failed or never came, of conversations as documents."""
+    rows = read(spark, sf_dir, "conversations").select(F.col("conv_id").cast("string").alias("path"), F.row_number().over(Window.partitionBy("conv_id").orderBy("turn")).alias("page_no"), F.col("text").alias("body"), (F.col("turn") % 5 == 4).alias("failed"))
+    return sinks.completed(rows.where("page_no <> 2")).where("failed").select("path", "page_no")
+
+
+FAILED_PAGES = """
+WITH t AS (SELECT conv_id, row_number() OVER (PARTITION BY conv_id ORDER BY turn) AS k, turn % 5 = 4 AS bad FROM conversations),
+m AS (SELECT conv_id, max(k) AS n FROM t WHERE k <> 2 GROUP BY 1)
+SELECT CAST(t.conv_id AS VARCHAR) AS path, CAST(k AS INT) AS page_no FROM t JOIN m ON m.conv_id = t.conv_id AND k <= n WHERE bad OR k = 2
+"""
+
+
+def upload_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Uploaded files and their relative paths, which come as two lists."""
+    rows = read(spark, sf_dir, "orders").select(F.col("o_custkey").cast("string").alias("job_id"), F.row_number().over(Window.partitionBy("o_custkey").orderBy("o_orderkey")).alias("pos"), "o_orderkey", F.col("o_orderpriority").alias("name"))
+    path = F.when(F.col("o_orderkey") % 11 == 0, "a/../b").otherwise(F.concat(F.lit("/d\\"), F.col("o_orderkey").cast("string"), F.lit("/")))
+    paths = rows.where("NOT (pos = 3 AND job_id % 4 = 0)").select("job_id", "pos", path.alias("relative_path"))
+    return files.paired(rows.select("job_id", "pos", "name"), paths)
+
+
+UPLOAD_PAIRS = """
+WITH f AS (SELECT o_custkey, CAST(o_custkey AS VARCHAR) AS job_id, CAST(row_number() OVER (PARTITION BY o_custkey ORDER BY o_orderkey) AS INT) AS pos, o_orderkey AS k, o_orderpriority AS name FROM orders),
+g AS (SELECT *, pos = 3 AND o_custkey % 4 = 0 AS gone FROM f)
+SELECT job_id, pos, name, CASE WHEN NOT gone AND k % 11 <> 0 THEN 'd/' || k END AS relative_path,
+  CASE WHEN bool_or(gone) OVER (PARTITION BY job_id) THEN 'count_mismatch' WHEN k % 11 = 0 THEN 'bad_path' END AS error FROM g
+"""
+
+
+def user_bootstrap(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Configured names that no user has yet."""
+    customer = read(spark, sf_dir, "customer")
+    wanted = customer.where("c_custkey % 3 = 0").select(F.col("c_name").alias("username")).union(customer.where("c_custkey % 9 = 0").select("c_name"))
+    return accounts.new_users(wanted, customer.where("c_custkey % 2 = 0").select(F.col("c_name").alias("username")))
+
+
+USER_BOOTSTRAP = "SELECT DISTINCT c_name AS username FROM customer WHERE c_custkey % 3 = 0 AND c_name NOT IN (SELECT c_name FROM customer WHERE c_custkey % 2 = 0)"
+
+
 def data_urls(spark: SparkSession, sf_dir: str) -> DataFrame:
     name = F.concat(F.col("n_name"), F.when(F.col("n_nationkey") % 2 == 0, ".JPG").otherwise(""))
     return read(spark, sf_dir, "nation").select("n_nationkey", text.data_url(name, F.repeat("n_name", 20).cast("binary")).alias("url"))
@@ -234,6 +367,14 @@ QUERIES = {
     "page_assembly": (page_assembly, PAGE_ASSEMBLY),
     "data_urls": (data_urls, DATA_URLS),
     "html_to_markdown": (html_to_markdown, None),
-    "second_pass_tables": (second_pass_tables, None),
-    "table_captions": (table_captions, None),
+    "html_outline": (html_outline, HTML_OUTLINE),
+    "second_pass_tables": (second_pass_tables, SECOND_PASS_TABLES),
+    "table_captions": (table_captions, TABLE_CAPTIONS),
+    "caption_cleanup": (caption_cleanup, CAPTION_CLEANUP),
+    "ocr_languages": (ocr_languages, OCR_LANGUAGES),
+    "md_rewrite_refs": (md_rewrite_refs, MD_REWRITE_REFS),
+    "md_image_ref_lines": (md_image_ref_lines, MD_IMAGE_REF_LINES),
+    "failed_pages": (failed_pages, FAILED_PAGES),
+    "upload_pairs": (upload_pairs, UPLOAD_PAIRS),
+    "user_bootstrap": (user_bootstrap, USER_BOOTSTRAP),
 }

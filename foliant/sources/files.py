@@ -20,6 +20,7 @@ from foliant.functions.text import suffix
 LAYOUT = (".pdf", ".docx", ".pptx", ".html", ".htm", ".png", ".jpg", ".jpeg", ".tif", ".tiff", ".bmp", ".webp")
 WORKBOOK = (".xlsx",)
 IMAGE = (".png", ".jpg", ".jpeg", ".tif", ".tiff", ".bmp", ".webp")
+IMAGE_HEADS = (b"\x89PNG", b"\xff\xd8\xff", b"II*\0", b"MM\0*", b"BM")
 
 
 def is_supported(path: Column, allowed: Iterable[str] = (*LAYOUT, *WORKBOOK)) -> Column:
@@ -62,6 +63,18 @@ def upload_errors(files: DataFrame, limit: int, kind: str) -> DataFrame:
     return files.withColumn("error", F.when(F.coalesce(F.trim("name"), F.lit("")) == "", "missing_name").when(size > limit, "too_large"))
 
 
+def paired(files: DataFrame, paths: DataFrame) -> DataFrame:
+    """files (job_id, pos, name, …) with relative_path, by position, and error: where a job's two lists are not of one length, or a path climbs."""
+    from pyspark.sql import Window
+
+    from foliant.operators.jobs import safe_path
+
+    joined = files.join(paths.select("job_id", "pos", F.col("relative_path").alias("raw"), F.lit(True).alias("given")), ["job_id", "pos"], "full")
+    short = F.max(F.when(F.col("name").isNull() | F.col("given").isNull(), 1).otherwise(0)).over(Window.partitionBy("job_id"))
+    error = F.when(short == 1, "count_mismatch").when(safe_path(F.col("raw")).isNull(), "bad_path")
+    return joined.withColumn("relative_path", safe_path(F.col("raw"))).withColumn("error", error).drop("raw", "given")
+
+
 # HTML
 
 BLOCK = {"p", "div", "section", "article", "ul", "ol", "br", "table", "blockquote", "pre", "main", "body"}
@@ -138,11 +151,11 @@ def html_to_markdown(html: str | None, furniture: bool = False) -> str:
     return re.sub(r"\n{3,}", "\n\n", "\n".join(lines)).strip()
 
 
-def with_markdown(pages: DataFrame, html_col: str = "html") -> DataFrame:
-    """`pages` with `markdown`, an Arrow batch at a time."""
+def with_markdown(pages: DataFrame, html_col: str = "html", furniture: bool = False) -> DataFrame:
+    """`pages` with `markdown`, an Arrow batch at a time. furniture: whether headers, footers and navigation stay."""
 
     def run(html: pd.Series) -> pd.Series:
-        return html.map(html_to_markdown)
+        return html.map(lambda x: html_to_markdown(x, furniture))
 
     return pages.withColumn("markdown", F.pandas_udf(run, "string")(html_col))
 
@@ -239,7 +252,9 @@ def standard_extractor(name: str, content: bytes) -> Iterator[tuple[str, bool]]:
     elif low.endswith((".docx", ".pptx")):
         yield from ((p, False) for p in office_pages(name, content))
     elif low.endswith(IMAGE):
-        yield "", False
+        base = name.replace("\\", "/").rpartition("/")[2]
+        fine = content.startswith(IMAGE_HEADS) or content[8:12] == b"WEBP"
+        yield (f"![{base.rpartition('.')[0]}](images/{base})", False) if fine else ("（图片读取失败）", True)
     else:
         yield "", True
 

@@ -55,7 +55,7 @@ def write(docs: DataFrame, root: str, mode: str = "append") -> None:
 
 
 def archives(files: DataFrame) -> DataFrame:
-    """files (job_id, name, content) as (job_id, archive): a ZIP file of each job's files."""
+    """files (job_id, name, content) as (job_id, archive): a ZIP file of each job's files, which is one value and so fits in a task."""
 
     def run(f: pd.DataFrame) -> pd.DataFrame:
         out = io.BytesIO()

@@ -8,7 +8,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from foliant import config
+from foliant import config, model
 from foliant.functions import text
 from foliant.operators import figures, images, jobs, model_calls, raster, review
 from foliant.plans import pipeline
@@ -50,11 +50,14 @@ def test_box_merging_and_zones():
     assert figures.table_zones(grid[:5], 1000) == []
 
 
-def test_matching_prefers_the_place_that_a_caption_names():
+def test_matching_prefers_the_place_that_a_caption_names(spark):
     boxes = [(50, 50, 350, 300), (600, 450, 900, 750)]
-    got = dict(figures.matched(["左上", "右下"], boxes, 1000, 800))
-    assert got[0][:2] == (50, 50) and got[1][2:] == (900, 750)
-    assert figures.matched(["上"], [], 1000, 800) == [(0, (80, 40, 920, 360))]
+    rows = [(1, ["左上", "右下"], [tuple(map(float, b)) for b in boxes]), (2, ["上"], []), (3, [None, " 中 ", None], [(10.0, 300.0, 200.0, 500.0)])]
+    pages = spark.createDataFrame(rows, f"page_id long, positions array<string>, boxes array<{model.BOX}>")
+    got = {(r.page_id, r.k): (r.x0, r.y0, r.x1, r.y1) for r in figures.match_page_captions(pages, 1000, 800).collect()}
+    assert got[1, 0][:2] == (50, 50) and got[1, 1][2:] == (900, 750)
+    assert got[2, 0] == (80, 40, 920, 360)
+    assert got[3, 0] == (10, 300, 200, 500) and got[3, 1] == (80, 280, 920, 520) and got[3, 2] == (80, 546, 920, 786)
 
 
 def test_raster(spark, tmp_path):
@@ -162,11 +165,14 @@ def test_job_states_batch_and_stream(spark, tmp_path):
     assert set(got) == {"j1", "j2"}
     assert (got["j1"].status, got["j1"].attempt_count, got["j1"].created_at, got["j1"].error_message) == ("queued", 1, "t5", None)
     assert (got["j2"].status, got["j2"].progress_percent, got["j2"].finished_at) == ("succeeded", 100, "t9")
-    spark.conf.set("spark.sql.streaming.stateStore.providerClass", "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider")
-    spark.createDataFrame([(a, b, d) for a, b, _, d in EVENTS], "job_id string, seq long, action string").coalesce(1).write.parquet(str(tmp_path / "in"))
-    stream = queue.incoming(spark, str(tmp_path / "in"), spark.read.parquet(str(tmp_path / "in")).schema)
-    out = queue.drained(queue.job_states(stream), "job_states", str(tmp_path / "cp")).collect()
+    with queue.rocksdb(spark):
+        for part in (EVENTS[:4], EVENTS[4:]):  # the second run takes up from the checkpoint of the first
+            spark.createDataFrame([(a, b, d) for a, b, _, d in part], "job_id string, seq long, action string").write.mode("append").parquet(str(tmp_path / "in"))
+            stream = queue.incoming(spark, str(tmp_path / "in"), spark.read.parquet(str(tmp_path / "in")).schema)
+            queue.work(queue.job_states(stream), queue.keep(str(tmp_path / "states")), str(tmp_path / "cp"), mode="update").awaitTermination()
+    out = queue.latest(spark, str(tmp_path / "states")).collect()
     assert {r.job_id: (r.status, r.attempt_count) for r in out} == {"j1": ("queued", 1), "j2": ("succeeded", 1), "j3": ("queued", 0)}
+    assert spark.conf.get("spark.sql.streaming.stateStore.providerClass", "none").rpartition(".")[2] != "RocksDBStateStoreProvider"
     seen = []
     queue.work(stream, lambda df, k: seen.append(df.count()), str(tmp_path / "cp2")).awaitTermination()
     assert seen == [len(EVENTS)]
@@ -199,3 +205,8 @@ def test_entry_module_without_the_corpus_operators(tmp_path):
     shutil.copytree(root, tmp_path / "r", ignore=shutil.ignore_patterns("llm", "corpus_pipeline.py", ".git", "__pycache__"))
     code = "import __spark_entry__ as e; assert e.queries() and e.oracle_sql() and not any(k.startswith('op') for k in e.queries())"
     subprocess.run([sys.executable, "-c", code], cwd=tmp_path / "r", check=True, env=os.environ | {"PYTHONPATH": ""})
+    # every other module imports, and every other test is found
+    code = "import importlib, pkgutil, foliant; [importlib.import_module(m.name) for m in pkgutil.walk_packages(foliant.__path__, 'foliant.')]"
+    subprocess.run([sys.executable, "-c", code], cwd=tmp_path / "r", check=True, env=os.environ | {"PYTHONPATH": ""})
+    found = subprocess.run([sys.executable, "-m", "pytest", "tests", "-q", "--collect-only"], cwd=tmp_path / "r", capture_output=True, text=True, env=os.environ | {"PYTHONPATH": ""})
+    assert found.returncode == 0 and "llm" not in found.stdout

@@ -7,62 +7,61 @@ from foliant.functions import text
 from foliant.operators import tables
 
 
-def model_blocks(md):
-    rows, out, i = md.splitlines(), [], 0
-    pipe = lambda x: x.strip().startswith("|") and x.count("|") >= 2
-    while i < len(rows):
-        ends = [j for j in range(i, len(rows)) if "</table>" in rows[j].lower()]
-        if "<table" in rows[i].lower() and ends:
-            out.append((i, ends[0], "html"))
-            i = ends[0] + 1
-            continue
-        j = i
-        while j < len(rows) and pipe(rows[j]):
-            j += 1
-        if j - i >= 2:
-            out.append((i, j - 1, "pipe"))
-        i = max(j, i + 1)
-    return out
-
-
-def model_cells(line):
-    t = line.strip().removeprefix("|")
-    t = t[:-1] if t.endswith("|") else t
-    cells, cell, i = [], "", 0
-    while i < len(t):
-        if t[i] == "\\":
-            cell += t[i : i + 2]
-            i += 2
-            continue
-        if t[i] == "|":
-            cells.append(cell.strip())
-            cell = ""
-        else:
-            cell += t[i]
-        i += 1
-    return [*cells, cell.strip()]
-
-
-def random_docs(n=400):
-    rng = random.Random(11)
-    parts = ["| a | b |", "|a|", "| x \\| y | z", "|", "||", "text", "", "<table>", "x <TABLE a=1>", "</table>", "| <table> | q |", "| </TABLE> |", " | i | j | ", "|---|---|", "| :--- | ---: |"]
-    return ["\n".join(rng.choices(parts, k=rng.randint(0, 12))) + rng.choice(["", "\n"]) for _ in range(n)]
+#: Parts of a text, with what each must be found as: nothing, or a block of a kind that covers it.
+PARTS = [
+    (["text"], None), ([""], None), (["| a lone row |"], None), (["|"], None), (["|a|", "|b|"], "pipe"), (["| a | b |", "|---|---|", "  | i | j |  "], "pipe"),
+    (["<table><tr></tr></table>"], "html"), (["x <TABLE a=1>", "", "| q | r |", "| s | t |", "</Table> y"], "html"), (["</table>"], None),
+]
 
 
-def test_blocks_match_the_model(spark):
-    docs = random_docs()
-    df = spark.createDataFrame(list(enumerate(docs)), "id int, md string")
+def built_docs(n=200):
+    """Texts put together from PARTS, a plain line between any two, and the blocks that they hold by their making."""
+    rng = random.Random(11)
+    for _ in range(n):
+        rows, blocks = [], []
+        for part, kind in rng.choices(PARTS, k=rng.randint(0, 6)):
+            if kind:
+                blocks.append((len(rows), len(rows) + len(part) - 1, kind))
+            rows += [*part, "between"]
+        yield "\n".join(rows) + rng.choice(["", "\n"]), blocks
+
+
+def test_blocks_are_found_where_they_were_put(spark):
+    docs = list(built_docs())
+    df = spark.createDataFrame([(i, d) for i, (d, _) in enumerate(docs)], "id int, md string")
     got = {r.id: [(b.start_line, b.end_line, b.kind) for b in r.b] for r in df.select("id", tables.blocks(F.col("md")).alias("b")).collect()}
-    assert got == {i: model_blocks(d) for i, d in enumerate(docs)}
+    assert got == {i: b for i, (_, b) in enumerate(docs)}
 
 
-def test_lines_and_cells_match_python(spark):
-    docs = [*random_docs(60), "a\r\nb\rc\x0bd\x0ce\x1cf\x85g h ", "\n", "\n\n", "x\r\n", "a\\", "|a\\|", "a||b", "||"]
-    df = spark.createDataFrame(list(enumerate(docs)), "id int, md string")
-    rows = df.select("id", text.lines(F.col("md")).alias("l"), F.transform(text.lines(F.col("md")), tables.split_row).alias("c")).collect()
-    for r in rows:
-        assert r.l == docs[r.id].splitlines()
-        assert r.c == [model_cells(x) for x in r.l]
+@pytest.mark.parametrize(
+    ("md", "want"),
+    [
+        ("| a | b |\n| c | d |\n<table>\n</table>\n| e | f |\n| g | h |", [(0, 1, "pipe"), (2, 3, "html"), (4, 5, "pipe")]),
+        ("<table>\n| a | b |\n| c | d |", [(1, 2, "pipe")]),
+        ("<table> <table>\n</table>\n</table>", [(0, 1, "html")]),
+        ("| <table> | q |\n| </table> | r |", [(0, 1, "html")]),
+    ],
+)
+def test_blocks_that_touch_or_never_end(spark, md, want):
+    got = spark.createDataFrame([(md,)], "md string").select(tables.blocks(F.col("md"))).first()[0]
+    assert [(b.start_line, b.end_line, b.kind) for b in got] == want
+
+
+def test_cells_come_back_from_the_row_made_of_them(spark):
+    rng = random.Random(5)
+    cells = [["".join(rng.choices(["a", "é", " b", "\\|", "\\\\", "x y"], k=rng.randint(0, 4))).strip() for _ in range(rng.randint(1, 5))] for _ in range(120)]
+    rows = [(i, f"{rng.choice(['', '  '])}| {' | '.join(c)} |{rng.choice(['', ' '])}") for i, c in enumerate(cells)]
+    got = {r.id: r.c for r in spark.createDataFrame(rows, "id int, line string").select("id", tables.split_row(F.col("line")).alias("c")).collect()}
+    assert got == dict(enumerate(cells))
+    odd = {"a": ["a"], "||": [""], "a||b": ["a", "", "b"], "|a\\|b|": ["a\\|b"], "": [""]}
+    for line, want in odd.items():
+        assert spark.createDataFrame([(line,)], "line string").select(tables.split_row(F.col("line"))).first()[0] == want
+
+
+def test_lines_end_where_python_ends_them(spark):
+    docs = ["a\r\nb\rc\x0bd\x0ce\x1cf\x85g\u2028h\u2029", "\n", "\n\n", "x\r\n", "", "plain"]
+    rows = spark.createDataFrame(list(enumerate(docs)), "id int, md string").select("id", text.lines(F.col("md")).alias("l")).collect()
+    assert {r.id: r.l for r in rows} == {i: d.splitlines() for i, d in enumerate(docs)}
 
 
 @pytest.mark.parametrize(
