@@ -73,9 +73,9 @@ def test_recall_on_clustered_vectors(spark):
     assert measured_recall(spark, rows) >= 0.9
 
 
-@pytest.mark.skipif(not os.path.exists("/root/testdata/sf0.1/embeddings.parquet"), reason="no tables")
+@pytest.mark.skipif(not os.path.exists("/root/testdata/check_s/embeddings.parquet"), reason="no tables")
 def test_recall_on_the_given_vectors(spark):
-    rows = [(r.vec_id, r.embedding, r.label) for r in spark.read.parquet("/root/testdata/sf0.1/embeddings.parquet").select("vec_id", "embedding", "label").collect() if r.label is not None]
+    rows = [(r.vec_id, r.embedding, r.label) for r in spark.read.parquet("/root/testdata/check_s/embeddings.parquet").select("vec_id", "embedding", "label").collect() if r.label is not None]
     assert measured_recall(spark, rows) >= 0.9
 
 
