@@ -30,6 +30,8 @@ PAIRS, TABLE = 4096, 32 << 20
 CHUNK, RUN, BLOCK, TEXTS = 1 << 16, 1 << 18, 1024, 1 << 14
 #: A byte's bits, each in a byte of its own.
 LANES = np.unpackbits(np.arange(256, dtype=np.uint8)[:, None], axis=1, bitorder="little").view(np.uint64).ravel()
+#: Numbers of lines that are broadcast at most: eight bytes each.
+BROADCAST = 2_000_000
 #: Tasks that the rows of one group, or the copies of one line, are dealt over.
 SALTS = 16
 BASE = np.uint64(0x9E3779B97F4A7C15 | 1)
@@ -343,9 +345,10 @@ def repeated_lines(rows: DataFrame, least: float = SIMILARITY, distance: int = D
     known = alike.join(chains, "node", "left").select(*fields, F.coalesce("component", "node").alias("group"))
     hits = stage(prints.join(known, fields).select("node", *fields, "group"), "hits")
     hits = stage(hits.join(hits.groupBy("group").agg(F.count("*").alias("n")).where("n > 1").select("group"), "group"), "near")
-    # written first, so that its size is known: a small one is broadcast, and only texts that are compared are dealt
+    # only texts that are compared are dealt: few enough nodes pick them where they are
     nodes = stage(hits.select("node").distinct(), "nodes")
-    texts = distinct.select("node", "form").join(nodes, "node", "left_semi")
+    few = F.broadcast(nodes) if nodes.count() <= BROADCAST else nodes
+    texts = distinct.select("node", "form").join(few, "node", "left_semi")
     edges = stage(similar_links(blocked(hits, block).join(texts, "node"), least, distance), "links")
     unstage(hits, nodes, prints)
     groups = stage(connected_components(edges), "groups")
