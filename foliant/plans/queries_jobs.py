@@ -196,13 +196,13 @@ fold AS (
     CAST(NULL AS VARCHAR) AS error_message, CAST(NULL AS INT) AS progress_percent, CAST(NULL AS VARCHAR) AS progress_note, false AS deleted FROM (SELECT DISTINCT job_id FROM log)
   UNION ALL
   SELECT job_id, n, coalesce(s, status), attempt_count + CAST(coalesce(ok AND action = 'claim', false) AS INT),
-    CASE WHEN ok AND action IN ('insert', 'retry') THEN at ELSE created_at END,
-    CASE WHEN ok AND action = 'claim' THEN at WHEN ok AND action IN ('retry', 'recover') THEN NULL ELSE started_at END,
-    CASE WHEN ok AND action IN ('succeed', 'fail', 'cancel') THEN at WHEN ok AND action IN ('retry', 'recover') THEN NULL ELSE finished_at END,
+    CASE WHEN ok AND action IN ('insert', 'retry') THEN t ELSE created_at END,
+    CASE WHEN ok AND action = 'claim' THEN t WHEN ok AND action IN ('retry', 'recover') THEN NULL ELSE started_at END,
+    CASE WHEN ok AND action IN ('succeed', 'fail', 'cancel') THEN t WHEN ok AND action IN ('retry', 'recover') THEN NULL ELSE finished_at END,
     CASE WHEN ok AND action = 'fail' THEN 'broke' WHEN ok AND action IN ('retry', 'succeed') THEN NULL ELSE error_message END,
     CASE WHEN ok AND action = 'retry' THEN NULL WHEN action = 'progress' THEN greatest(0, least(100, new_percent)) ELSE progress_percent END,
     CASE WHEN ok AND action = 'retry' THEN NULL WHEN action = 'progress' THEN new_note ELSE progress_note END, deleted OR action = 'delete'
-  FROM (SELECT f.job_id, l.n, f.status, attempt_count, created_at, started_at, finished_at, error_message, f.progress_percent, f.progress_note, deleted, l.action, l.at,
+  FROM (SELECT f.job_id, l.n, f.status, attempt_count, created_at, started_at, finished_at, error_message, f.progress_percent, f.progress_note, deleted, l.action, l."at" AS t,
           l.progress_percent AS new_percent, l.progress_note AS new_note, m.s, m.s IS NOT NULL AS ok
         FROM fold f JOIN log l ON l.job_id = f.job_id AND l.n = f.n + 1 LEFT JOIN may m ON m.a = l.action AND (CASE WHEN m.b IS NULL THEN f.status IS NULL ELSE list_contains(m.b, f.status) END)))
 SELECT job_id, status, attempt_count, created_at, started_at, finished_at, error_message, progress_percent, progress_note
