@@ -21,7 +21,7 @@ BITS = 64
 #: What tells the hashes of one fingerprint of a text from those of the next.
 STEP = 0x9E3779B97F4A7C15
 #: Rows of one block value that are compared directly; longer runs are split by further blocks first.
-RUN = 64
+RUN = 512
 #: Distinct fingerprints that a block value may hold on average before longer keys are taken.
 PER_BLOCK = 2048
 #: Rows that a task compares at one go, whole runs of a block value.
