@@ -30,7 +30,8 @@ def second_pass(pages: DataFrame, make: Callable[[], model_calls.ModelClient], m
     judged = lambda new: F.struct(
         new.alias("new"), tables.invariants(F.col("b.markdown"), new)["ok"].alias("ok"), F.size(lines(new)).alias("n_lines")
     )
-    fits = asked.join(answers, "id").withColumn("v", let(tables.first_block(strip_fence(F.col("answer"))), judged))
+    # a generator's output is computed once, whatever looks at it
+    fits = asked.join(answers, "id").select("*", F.explode(F.array(let(tables.first_block(strip_fence(F.col("answer"))), judged))).alias("v"))
     fits = fits.where(F.col("v.ok") & (F.col("v.n_lines") == F.col("b.end_line") - F.col("b.start_line") + 1)).withColumn("new", F.col("v.new"))
     kept = sinks.budgeted(fits.select("page_id", "k", "b", "new"), ["page_id"], ["k"], most)
     patches = kept.groupBy("page_id").agg(F.collect_list(F.struct("b.start_line", "b.end_line", "new")).alias("patches"))  # one page's tables

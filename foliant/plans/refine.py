@@ -80,7 +80,8 @@ def refine_tables(docs: DataFrame, make: Callable[[], model_calls.ModelClient],
     key = F.to_json(F.struct(F.col("doc_id").cast("string").alias("d"), "k"))
     asked = asked.select(key.alias("id"), "doc_id", "k", "b", F.array(model_calls.user_message(ask, pictures)).alias("messages"))
     judged = lambda new: F.struct(new.alias("new"), tables.invariants(F.col("b.markdown"), new)["ok"].alias("ok"), F.size(lines(new)).alias("n"))
-    got = asked.join(model_calls.run(asked, make, "table_cleanup"), "id").withColumn("v", let(tables.first_block(strip_fence(F.col("answer"))), judged))
+    verdict = let(tables.first_block(strip_fence(F.col("answer"))), judged)
+    got = asked.join(model_calls.run(asked, make, "table_cleanup"), "id").select("*", F.explode(F.array(verdict)).alias("v"))
     fits = got.where(F.col("v.ok") & (F.col("v.n") == F.col("b.end_line") - F.col("b.start_line") + 1))
     patch = F.struct("b.start_line", F.struct(F.col("b.end_line").alias("end_line"), lines(F.col("v.new")).alias("new")))
     patches = fits.groupBy("doc_id").agg(F.map_from_entries(F.collect_list(patch)).alias("patches"))  # one document's tables
