@@ -22,8 +22,9 @@ from foliant.llm.common import connected_components, fresh, merge_labels, mixed,
 SIMILARITY = 0.8
 #: Lines with so many words, or so many signs (in any script), are compared; shorter ones go only if they are equal.
 MIN_WORDS, MIN_SIGNS = 5, 20
-#: Characters of a feature; fingerprints of a line; bits in which lines may differ in one of them.
-GRAM, FINGERPRINTS, DISTANCE = 4, 3, 4
+#: Characters of a feature; fingerprints of a line; bits in which lines may differ in one of them. Shorter features are
+#: common to lines of one language, whose fingerprints then lie close together and chain into one huge group.
+GRAM, FINGERPRINTS, DISTANCE = 8, 3, 4
 #: Pairs of lines whose distance is computed at one go, and bytes of their tables.
 PAIRS, TABLE = 4096, 32 << 20
 #: Signs hashed at one go; pairs looked at in one step; lines of one block of a group; texts compared at one go.

@@ -30,14 +30,14 @@ PRINTS = {}
 
 
 def slow_prints(form):
-    """Majority bits of hashed four-letter runs, three times with other hashes."""
+    """Majority bits of hashed runs of eight letters, three times with other hashes."""
     if form not in PRINTS:
-        own, base, out = form.ljust(4), 0x9E3779B97F4A7C15, []
+        own, base, out = form.ljust(8), 0x9E3779B97F4A7C15, []
         for k in range(3):
             hashes = []
-            for i in range(len(own) - 3):
+            for i in range(len(own) - 7):
                 h = 0
-                for c in own[i : i + 4]:
+                for c in own[i : i + 8]:
                     h = (h * base + ord(c)) % 2**64
                 h = slow_mixed(h)
                 hashes.append(h if k == 0 else slow_mixed(h ^ k * base % 2**64))
@@ -159,15 +159,15 @@ def test_prints_are_majorities_of_hashed_grams():
 
 
 def test_recall_of_word_edits(spark):
-    """Lines of 40 words of which one is replaced: nearly all pairs are found, and no other line goes."""
+    """Lines of 80 words of which one is replaced: most pairs are found, and no other line goes."""
     rng = random.Random(8)
     word = lambda letters: "".join(rng.choices(letters, k=rng.randint(3, 7)))
-    base = [[word("abcdefghijklmnop") for _ in range(40)] for _ in range(200)]
+    base = [[word("abcdefghijklmnop") for _ in range(80)] for _ in range(200)]
     rows = [(i, " ".join(x)) for i, x in enumerate(base)]
     for i, x in enumerate(base):
-        rows.append((1000 + i, " ".join([*x[: i % 40], word("qrstuvwxyz"), *x[i % 40 + 1 :]])))
+        rows.append((1000 + i, " ".join([*x[: i % 80], word("qrstuvwxyz"), *x[i % 80 + 1 :]])))
     found = [i for i, t in kept(spark, rows) if not t]
-    assert all(i >= 1000 for i in found) and len(found) >= 0.7 * 200
+    assert all(i >= 1000 for i in found) and len(found) >= 0.6 * 200
 
 
 def test_empty_table(spark):
