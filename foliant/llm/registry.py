@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from foliant.llm import embeddings, language, lines, mixing, packing, quality, simhash, suffixes, toxicity, url_filter
+from foliant.llm import bpe, embeddings, language, lines, merkle, mixing, packing, quality, resample, simhash, suffixes, toxicity, url_filter
 from foliant.llm.common import read
 
 
@@ -117,6 +117,112 @@ def op3_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack_documents(read(spark, sf_dir, "documents"))
 
 
+def op11_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = read(spark, sf_dir, "documents").select("doc_id", "text")
+    decoded = bpe.decode(bpe.encode(docs))
+    return decoded.select("doc_id", F.expr("CAST(octet_length(ids) div 4 AS long)").alias("n_tokens"), F.sha2("ids", 256).alias("ids_sha256"), F.sha2("decoded", 256).alias("decoded_sha256"))
+
+
+#: What a leaf of the manifest is made of, in order.
+LEAF = ["doc_id", "source", "lang", "n_chars", "text"]
+UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
+
+
+def op12_merkle_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document's proof, folded anew from a text that is lower-cased in about every fifth."""
+    touched = F.crc32(F.col("doc_id").cast("string").cast("binary")) % 5 == 0
+    now = F.when(touched, F.translate("text", UPPER, LOWER)).otherwise(F.col("text"))
+    return merkle.verified(read(spark, sf_dir, "documents"), LEAF, "source", "doc_id", altered={"text": now})
+
+
+#: The CRC-32 of the text `v` in a table with the column t, a list of 256 remainders; CRC_TABLE makes that list.
+CRC_TABLE = """
+remainders AS (
+  SELECT list(c ORDER BY b) AS t FROM (
+    SELECT b, list_reduce(list_prepend(b, range(8)), lambda c, i: CASE WHEN c & 1 = 1 THEN xor(c >> 1, 3988292384) ELSE c >> 1 END) AS c
+    FROM (SELECT unnest(range(256)) AS b)))
+"""
+CRC = """
+xor(list_reduce(list_prepend(4294967295, list_transform(range(1, 2 * strlen({v}), 2), lambda i: CAST('0x' || substr(hex(encode({v})), i, 2) AS BIGINT))),
+    lambda c, x: xor(c >> 8, t[(xor(c, x) & 255) + 1])), 4294967295)
+"""
+
+OP12_SQL = f"""
+WITH RECURSIVE {CRC_TABLE},
+touched AS (SELECT doc_id AS id, CAST(doc_id AS VARCHAR) AS d FROM documents WHERE doc_id IS NOT NULL),
+marked AS (SELECT DISTINCT id, {CRC.format(v="d")} % 5 = 0 AS hit FROM touched, remainders),
+fields AS (
+  SELECT doc_id, source, text,
+         coalesce(strlen(CAST(doc_id AS VARCHAR)) || ':' || doc_id, '-') || coalesce(strlen(source) || ':' || source, '-')
+           || coalesce(strlen(lang) || ':' || lang, '-') || coalesce(strlen(CAST(n_chars AS VARCHAR)) || ':' || n_chars, '-') AS head,
+         CASE WHEN hit THEN translate(text, '{UPPER}', '{LOWER}') ELSE text END AS now
+  FROM documents LEFT JOIN marked ON id = doc_id),
+leaves AS (
+  SELECT doc_id, source, sha256(head || coalesce(strlen(text) || ':' || text, '-')) AS leaf, sha256(head || coalesce(strlen(now) || ':' || now, '-')) AS now
+  FROM fields),
+placed AS (
+  SELECT *, row_number() OVER (PARTITION BY source ORDER BY doc_id NULLS FIRST, leaf) - 1 AS pos, count(*) OVER (PARTITION BY source) AS n,
+         dense_rank() OVER (ORDER BY source NULLS FIRST) - 1 AS tree
+  FROM leaves),
+below AS (
+  SELECT tree, 0 AS level, pos, n, leaf AS digest FROM placed
+  UNION ALL
+  SELECT tree, level + 1, pos // 16, (max(n) + 15) // 16, sha256(string_agg(digest, '' ORDER BY pos)) FROM below WHERE n > 1 GROUP BY tree, level, pos // 16),
+subroots AS (SELECT tree, digest, count(*) OVER () AS n FROM below WHERE n = 1),
+above AS (
+  SELECT 0 AS level, tree AS pos, n, digest FROM subroots
+  UNION ALL
+  SELECT level + 1, pos // 16, (max(n) + 15) // 16, sha256(string_agg(digest, '' ORDER BY pos)) FROM above WHERE n > 1 GROUP BY level, pos // 16),
+met AS (
+  SELECT p.tree AS tree, p.pos AS pos, b.level AS step, b.digest AS digest, b.pos AS sib, p.pos >> CAST(4 * b.level AS BIGINT) AS own
+  FROM placed p JOIN below b ON b.tree = p.tree AND b.n > 1 AND b.pos // 16 = p.pos >> CAST(4 * (b.level + 1) AS BIGINT)
+  UNION ALL
+  SELECT p.tree, p.pos, 100 + a.level, a.digest, a.pos, p.tree >> CAST(4 * a.level AS BIGINT)
+  FROM placed p JOIN above a ON a.n > 1 AND a.pos // 16 = p.tree >> CAST(4 * (a.level + 1) AS BIGINT)),
+steps AS (
+  SELECT tree, pos, row_number() OVER (PARTITION BY tree, pos ORDER BY step) AS k,
+         coalesce(string_agg(digest, '' ORDER BY sib) FILTER (WHERE sib < own), '') AS l, coalesce(string_agg(digest, '' ORDER BY sib) FILTER (WHERE sib > own), '') AS r
+  FROM met GROUP BY tree, pos, step),
+folded AS (
+  SELECT tree, pos, CAST(0 AS BIGINT) AS k, now AS digest FROM placed
+  UNION ALL
+  SELECT f.tree, f.pos, s.k, sha256(s.l || f.digest || s.r) FROM folded f JOIN steps s ON s.tree = f.tree AND s.pos = f.pos AND s.k = f.k + 1),
+last AS (SELECT tree, pos, arg_max(digest, k) AS folded_root FROM folded GROUP BY tree, pos),
+proofs AS (SELECT tree, pos, sha256(string_agg(l || r, '' ORDER BY k)) AS proof FROM steps GROUP BY tree, pos)
+SELECT p.doc_id, p.leaf, s.digest AS subroot, a.digest AS root, coalesce(q.proof, sha256('')) AS proof_sha256, l.folded_root, l.folded_root = a.digest AS verified
+FROM placed p JOIN subroots s USING (tree) JOIN last l USING (tree, pos) LEFT JOIN proofs q USING (tree, pos) CROSS JOIN (SELECT digest FROM above WHERE n = 1) a
+"""
+
+
+def op13_importance_resampling(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return resample.resample(read(spark, sf_dir, "documents"), read(spark, sf_dir, "benchmark"))
+
+
+OP13_SQL = f"""
+WITH {CRC_TABLE},
+rows AS (SELECT row_number() OVER () AS r, * FROM documents),
+used AS (
+  SELECT r, w FROM (SELECT r, unnest(regexp_extract_all(translate(text, '{UPPER}', '{LOWER}'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+')) AS w FROM rows)),
+wanted AS (SELECT unnest(regexp_extract_all(translate(text, '{UPPER}', '{LOWER}'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+')) AS w FROM benchmark),
+every AS (SELECT w FROM used UNION SELECT w FROM wanted),
+hashed AS (SELECT w, {CRC.format(v="w")} % 10000 AS b FROM every, remainders),
+source AS (SELECT b, count(*) AS s FROM used JOIN hashed USING (w) GROUP BY b),
+target AS (SELECT b, count(*) AS t FROM wanted JOIN hashed USING (w) GROUP BY b),
+gains AS (
+  SELECT b, CAST(floor(1000 * ln((coalesce(t, 0) + 1)::DOUBLE * ((SELECT count(*) FROM used) + 10000) / ((s + 1)::DOUBLE * ((SELECT count(*) FROM wanted) + 10000)))) AS BIGINT) AS gain
+  FROM source LEFT JOIN target USING (b)),
+weighed AS (SELECT r, count(*) AS n, sum(gain) AS total FROM used JOIN hashed USING (w) JOIN gains USING (b) GROUP BY r),
+scored AS (
+  SELECT r, doc_id, coalesce(n, 0) AS n_features, CASE WHEN n IS NULL THEN 0 ELSE CAST((total - ((total % n) + n) % n) // n AS BIGINT) END AS weight,
+         CAST(('0x' || substr(sha256('2024:' || coalesce(CAST(doc_id AS VARCHAR), '')), 1, 8)) AS BIGINT) AS h
+  FROM rows LEFT JOIN weighed USING (r)),
+noisy AS (SELECT *, weight + CAST(floor(-1000 * ln(-ln((h + 0.5::DOUBLE) / 4294967296))) AS BIGINT) AS score FROM scored),
+ranked AS (SELECT r, row_number() OVER (ORDER BY score DESC, doc_id NULLS FIRST) AS k, count(*) OVER () AS n FROM noisy WHERE n_features >= 20)
+SELECT doc_id, CAST(n_features AS BIGINT) AS n_features, weight, CAST(score AS BIGINT) AS score, CASE WHEN k <= n * 10 // 100 THEN k END AS rank
+FROM noisy LEFT JOIN ranked USING (r)
+"""
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op1_suffix_array_dedup": op1_suffix_array_dedup,
@@ -129,8 +235,11 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op3_best_fit_packing": op3_best_fit_packing,
         "op8_line_dedup": op8_line_dedup,
         "op9_simhash_near_dedup": op9_simhash_near_dedup,
+        "op11_byte_bpe": op11_byte_bpe,
+        "op12_merkle_manifest": op12_merkle_manifest,
+        "op13_importance_resampling": op13_importance_resampling,
     }
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op5_source_mixing": OP5_SQL, "op10_url_filters": OP10_SQL}
+    return {"op5_source_mixing": OP5_SQL, "op10_url_filters": OP10_SQL, "op12_merkle_manifest": OP12_SQL, "op13_importance_resampling": OP13_SQL}
