@@ -73,13 +73,13 @@ def fresh(columns: list[str], *names: str) -> list[str]:
 HOT = 1000
 
 
-def hot_join(left: DataFrame, right: DataFrame, on: str, size: str, total: int) -> DataFrame:
+def hot_join(left: DataFrame, right: DataFrame, on: str, size: str, total: int, least: int = 10_000) -> DataFrame:
     """`left` joined with `right` (one row a key; `size`: the rows of `left` that hold the key, `total` in all).
 
-    Keys that hold more than one of HOT parts of `left` are at most HOT rows, which are broadcast, so their rows stay
-    where they are; the others are dealt by the key.
+    Keys that hold more than one of HOT parts of `left`, and more than `least` rows, are at most HOT rows, which are
+    broadcast, so their rows stay where they are; the others are dealt by the key.
     """
-    bar = max(10_000, total // HOT)
+    bar = max(least, total // HOT)
     hot, cold = right.where(F.col(size) > bar), right.where(F.col(size) <= bar)
     rest = left.join(F.broadcast(hot.select(on)), on, "left_anti").join(cold, on)
     return left.join(F.broadcast(hot), on).unionByName(rest)

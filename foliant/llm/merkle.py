@@ -18,6 +18,8 @@ from foliant.llm.order import looked_up, placed
 FAN = 16
 #: The tree of the subroots, beside the groups' trees, which are numbered from 0.
 TOP = -1
+#: Nodes that fewer runs of leaves ask for are not hot.
+HOT_NODE = 1000
 
 
 def field(value: Column) -> Column:
@@ -128,12 +130,12 @@ def proofs(found: dict[str, DataFrame], fan: int = FAN) -> DataFrame:
     asked = runs.select("tree", "run", F.explode(coordinates(found["below"], found["above"], fan)).alias("c"))
     asked = asked.select("tree", "run", "c", F.explode(F.expr("sequence(c.first, c.last)")).alias("at"))
     side = F.expr("CAST(sign(at - c.own) AS int)")
-    asked = asked.select("tree", "run", F.col("c.step").alias("step"), F.struct(F.col("c.tree").alias("tree"), F.col("c.level").alias("level"), F.col("at").alias("position")).alias("coordinate"), side.alias("side"))
+    asked = stage(asked.select("tree", "run", F.col("c.step").alias("step"), F.struct(F.col("c.tree").alias("tree"), F.col("c.level").alias("level"), F.col("at").alias("position")).alias("coordinate"), side.alias("side")), "asked")
     wanted = stage(asked.groupBy("coordinate").agg(F.count("*").alias("size")), "wanted")
     total = wanted.agg(F.sum("size")).first()[0] or 0
     inner = nodes.where((F.col("level") > 0) | (F.col("tree") == TOP))  # a run has its own leaves
     table = inner.select(F.struct("tree", "level", "position").alias("coordinate"), "digest").join(wanted, "coordinate")
-    met = hot_join(asked, table, "coordinate", "size", total)
+    met = hot_join(asked, table, "coordinate", "size", total, least=HOT_NODE)
     met = met.groupBy("tree", "run").agg(F.sort_array(F.collect_list(F.struct("step", F.col("coordinate.position").alias("position"), "side", "digest"))).alias("met"))
     steps = [way(step) for step in range(1, found["below"] + found["above"])]
     subroot = F.filter("met", lambda x: (x["step"] == found["below"]) & (x["side"] == 0))

@@ -82,7 +82,7 @@ def test_hot_nodes_and_many_groups_go_other_ways_to_the_same_rows(spark, monkeyp
     every = rows(400, ["hot"] * 5 + [f"s{i}" for i in range(30)], 3)
     monkeypatch.setattr(order, "SMALL", 0)
 
-    def low_bar(left, right, on, size, total):
+    def low_bar(left, right, on, size, total, least=0):
         bar = 20
         hot, cold = right.where(F.col(size) > bar), right.where(F.col(size) <= bar)
         rest = left.join(F.broadcast(hot.select(on)), on, "left_anti").join(cold, on)
