@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import tempfile
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
@@ -10,15 +9,15 @@ from pyspark.sql import functions as F
 
 from foliant.plans.inputs import read
 from foliant.plans.queries_jobs import JOB_LATEST_STATE
+from foliant.sources.scratch import shared_folder
 from foliant.streaming import queue
 
 ACTIONS = {"signup": "insert", "view": "claim", "purchase": "succeed", "error": "fail", "click": "retry"}
 
 
 def scratch(spark: SparkSession) -> str:
-    """A new folder below the one that the session shares; a local one only where it names none."""
-    shared = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
-    return f"{shared or 'file://' + tempfile.mkdtemp(prefix='foliant-')}/stream-{uuid.uuid4().hex}"
+    """A new folder below the one that all executors share."""
+    return f"{shared_folder(spark)}/stream-{uuid.uuid4().hex}"
 
 
 def stream_job_states(spark: SparkSession, sf_dir: str, slices: int = 3) -> DataFrame:
