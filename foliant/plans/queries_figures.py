@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from foliant.operators import crops, figures, images
+from foliant.operators import crops, figures, images, injection
 from foliant.plans.inputs import derived, for_duckdb
 
 #: Boxes on pages, one an order line, all within 1000 by 800.
@@ -204,7 +204,7 @@ def figure_match(spark: SparkSession, sf_dir: str) -> DataFrame:
 def figure_inject(spark: SparkSession, sf_dir: str) -> DataFrame:
     figure = F.expr("array(named_struct('caption', concat('图', size, '-1 ', name), 'path', 'images/a.png'), named_struct('caption', '图A2', 'path', 'images/b.png'))")
     rows = derived(spark, sf_dir, f"SELECT c.key AS page_id, c.md, CAST(p_size AS STRING) AS size, p_name AS name FROM ({CAPTIONS}) c JOIN <part> ON p_partkey = c.key")
-    return figures.inject(rows.withColumn("figures", figure))
+    return injection.inject(rows.withColumn("figures", figure))
 
 
 FIGURE_INJECT = """

@@ -36,12 +36,6 @@ def test_captions_and_labels(spark):
     assert one(spark, images.label(text.lines(F.col("t")), F.lit(0), F.lit("x")), t="![x](y)") == images.DEFAULT_LABEL
 
 
-def test_injection_puts_each_figure_before_its_caption():
-    md = "图1 plan\ntext\n图2 section [[position: 左]]"
-    assert figures.injected(md, [("图1 plan", "a.png"), ("图2 section", "b.png")]) == "![图1 plan](a.png)\n\n图1 plan\ntext\n![图2 section](b.png)\n\n图2 section "
-    assert figures.injected("nothing alike", [("图9 other", "c.png")]) == "nothing alike"
-
-
 def test_box_merging_and_zones():
     boxes = [(0, 0, 10, 10), (12, 0, 20, 10), (100, 100, 120, 120), (18, 8, 30, 30)]
     assert sorted(figures.merged_boxes(boxes, gap=3)) == [(0.0, 0.0, 30.0, 30.0), (100.0, 100.0, 120.0, 120.0)]
