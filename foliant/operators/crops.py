@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 
 from foliant.functions.text import let, strip
 from foliant.model import BOX
-from foliant.operators import figures, raster
+from foliant.operators import figures, matching, raster
 
 #: A layout box of this share of the page is the page; one box of that share means a scanned page.
 WHOLE_PAGE, SCANNED = 0.90, 0.82
@@ -202,7 +202,7 @@ def crop_plan(pages: DataFrame, width: float, height: float) -> DataFrame:
     pixels = F.transform("boxes", lambda b: padded(to_pixels(b, pw, ph, w, h), w, h, 0.03, least))
     paired = own.where("by_box").select("page_id", F.explode(best_pairs(F.col("positions"), pixels, w, h)).alias("p"))
     rest = own.where("NOT by_box")
-    seen = figures.match_page_captions(rest.where("size(regions) > 0").select("page_id", "positions", F.col("regions").alias("boxes")), width, height)
+    seen = matching.match_page_captions(rest.where("size(regions) > 0").select("page_id", "positions", F.col("regions").alias("boxes")), width, height)
     one = F.struct("k", figures.box(*[F.col(c) for c in ("x0", "y0", "x1", "y1")]).alias("box"))
     seen = seen.groupBy("page_id").agg(F.array_sort(F.collect_list(one)).alias("p"))  # one page's captions
     apart = F.aggregate("p", F.slice("p", 1, 0), lambda kept, x: F.when(F.exists(kept, lambda y: figures.iou(y["box"], x["box"]) > 0.85), kept).otherwise(F.array_append(kept, x)))

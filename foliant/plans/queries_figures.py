@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from foliant.operators import crops, figures, images, injection
+from foliant.operators import crops, figures, images, injection, matching
 from foliant.plans.inputs import derived, for_duckdb
 
 #: Boxes on pages, one an order line, all within 1000 by 800.
@@ -144,7 +144,7 @@ def table_zones(spark: SparkSession, sf_dir: str) -> DataFrame:
     x, y = (F.col("n") % 4) * 100.0, F.floor(F.col("n") % 16 / 4) * 30.0
     grid = rows.select("page", "n", figures.box(x, y, x + 60 + F.col("size"), y + 24).alias("b"))
     one = F.array_sort(F.collect_list(F.struct("n", "b")))
-    return figures.zone_page_boxes(grid.groupBy(F.col("page").alias("page_id")).agg(F.transform(one, lambda v: v["b"]).alias("boxes")), W)
+    return matching.zone_page_boxes(grid.groupBy(F.col("page").alias("page_id")).agg(F.transform(one, lambda v: v["b"]).alias("boxes")), W)
 
 
 # All cells of a page belong to one zone if eight or more stand there and a row of four begins it.
@@ -198,7 +198,70 @@ SELECT page AS page_id, 0 AS k, x0, y0, x1, y1 FROM g WHERE k0 = 1 UNION ALL SEL
 
 def figure_match(spark: SparkSession, sf_dir: str) -> DataFrame:
     pages = _pages(spark, sf_dir).withColumn("positions", F.expr("CASE page_id % 3 WHEN 0 THEN array('左上', '右下') WHEN 1 THEN array(CAST(NULL AS STRING)) ELSE array('上', '下', '中') END"))
-    return figures.match_page_captions(pages, W, H)
+    return matching.match_page_captions(pages, W, H)
+
+
+# A figure depends on its caption and the box that it begins with alone, so all of them grow first, a round a step; which box
+# each caption takes is a recursion over the captions. Pages have too few boxes for two zones of cells: the first counts.
+_GROW = 11
+_NEXT = lambda i: f""",
+f{i + 1} AS MATERIALIZED (
+  SELECT f.page, f.k, f.i, least(f.x0, coalesce(min(b.x0), f.x0)) AS x0, least(f.y0, coalesce(min(b.y0), f.y0)) AS y0, greatest(f.x1, coalesce(max(b.x1), f.x1)) AS x1, greatest(f.y1, coalesce(max(b.y1), f.y1)) AS y1
+  FROM f{i} f JOIN aim a ON a.r = f.page % 3 AND a.k = f.k
+  LEFT JOIN part_of b ON b.page = f.page AND b.k = f.k
+    AND b.x1 >= greatest(f.x0 - greatest(30, floor((f.x1 - f.x0) * 0.2::DOUBLE)), 0, a.lft) AND b.x0 <= least(f.x1 + greatest(30, floor((f.x1 - f.x0) * 0.2::DOUBLE)), 1000, a.rgt)
+    AND b.y1 >= greatest(f.y0 - greatest(30, floor((f.y1 - f.y0) * 0.15::DOUBLE)), 0, a.upper) AND b.y0 <= least(f.y1 + greatest(30, floor((f.y1 - f.y0) * 0.15::DOUBLE)), 800, a.lower)
+  GROUP BY f.page, f.k, f.i, f.x0, f.y0, f.x1, f.y1)"""
+FIGURE_MATCH = f"""
+WITH RECURSIVE aim(r, k, down, across, upper, lower, middle, lft, rgt, s0, s1) AS (VALUES
+  (0, 0, 1, 1, 0, 480, 400::DOUBLE, 0, 530, 40, 360), (0, 1, 2, 2, 0, 800, 400, 470, 1000, 440, 760), (1, 0, 0, 0, 0, 800, 400, 0, 1000, 280, 520),
+  (2, 0, 1, 0, 0, 466, 400::DOUBLE / 3, 0, 1000, 40, 360), (2, 1, 2, 0, 66, 733, 400, 0, 1000, 440, 760), (2, 2, 3, 0, 333, 680, 2000::DOUBLE / 3, 0, 1000, 546, 786)),
+own AS MATERIALIZED (
+  SELECT *, row_number() OVER (PARTITION BY page ORDER BY y0, x0, n, x1, y1) - 1 AS i, count(*) OVER (PARTITION BY page) AS many, (x0 + x1) / 2 AS cx, (y0 + y1) / 2 AS cy, x1 - x0 AS w, y1 - y0 AS h,
+    greatest((x1 - x0) / greatest(y1 - y0, 1), (y1 - y0) / greatest(x1 - x0, 1)) AS long FROM ({_BOXES})),
+in_row AS (
+  SELECT s.page, s.i AS s, s.h, o.i, o.y0 FROM own s JOIN own o ON o.page = s.page WHERE s.many >= 8 AND s.w >= 12 AND s.h >= 12 AND s.long <= 8
+    AND (o.i = s.i OR abs(o.h - s.h) < s.h * 0.4::DOUBLE AND abs(o.y0 - s.y0) < s.h * 0.6::DOUBLE AND abs(o.x0 - s.x0) < 800)),
+begun AS (SELECT page, s, h, min(y0) AS lo, max(y0) AS hi, list(i) AS mine FROM in_row GROUP BY page, s, h HAVING count(*) >= 4),
+alike AS (
+  SELECT z.*, o.i, greatest(o.y0, hi) - lag(greatest(o.y0, hi), 1, hi) OVER (PARTITION BY z.page, s ORDER BY o.i) > z.h * 4 AS gap
+  FROM begun z JOIN own o ON o.page = z.page AND abs(o.h - z.h) < z.h * 0.5::DOUBLE AND o.y0 >= lo - z.h * 2),
+held AS (SELECT page, s, mine, i, sum(gap::INT) OVER (PARTITION BY page, s ORDER BY i) AS gaps FROM alike),
+cells AS (SELECT page, s, list_distinct(list_concat(any_value(mine), coalesce(list(i) FILTER (gaps = 0), []))) AS cells FROM held GROUP BY page, s),
+zone AS MATERIALIZED (
+  SELECT c.page, min(x0) AS zx0, min(y0) AS zy0, max(x1) AS zx1, max(y1) AS zy1 FROM (SELECT page, arg_min(cells, s) AS cells FROM cells WHERE len(cells) >= 8 GROUP BY page) c
+  JOIN own o ON o.page = c.page AND list_contains(c.cells, o.i) GROUP BY c.page),
+b AS MATERIALIZED (
+  SELECT own.*, CASE WHEN zx0 IS NULL THEN 0 ELSE greatest(0, least(x1, zx1) - greatest(x0, zx0)) * greatest(0, least(y1, zy1) - greatest(y0, zy0)) / greatest(w * h, 1) END AS share FROM own LEFT JOIN zone USING (page)),
+part_of AS MATERIALIZED (SELECT b.*, a.k FROM b JOIN aim a ON a.r = b.page % 3 WHERE share <= 0.5 AND cx BETWEEN lft AND rgt AND cy BETWEEN upper AND lower AND long <= 15),
+f0 AS MATERIALIZED (
+  SELECT s.page, a.k, s.i, least(s.x0, coalesce(min(b.x0), s.x0)) AS x0, least(s.y0, coalesce(min(b.y0), s.y0)) AS y0, greatest(s.x1, coalesce(max(b.x1), s.x1)) AS x1, greatest(s.y1, coalesce(max(b.y1), s.y1)) AS y1
+  FROM b s JOIN aim a ON a.r = s.page % 3
+  LEFT JOIN part_of b ON b.page = s.page AND b.k = a.k AND (
+    abs(b.cx - s.cx) < greatest(s.w * 1.2::DOUBLE, 350) AND abs(b.cy - s.cy) < greatest(s.h, 200)
+    OR b.x1 >= greatest(s.x0 - greatest(60, floor(s.w * 0.6::DOUBLE)), 0, a.lft) AND b.x0 <= least(s.x1 + greatest(60, floor(s.w * 0.6::DOUBLE)), 1000, a.rgt)
+      AND b.y1 >= greatest(s.y0 - greatest(64, floor(s.h * 0.3::DOUBLE)), 0, a.upper) AND b.y0 <= least(s.y1 + greatest(64, floor(s.h * 0.3::DOUBLE)), 800, a.lower))
+  GROUP BY s.page, a.k, s.i, s.x0, s.y0, s.x1, s.y1)""" + "".join(map(_NEXT, range(_GROW))) + f""",
+score AS MATERIALIZED (
+  SELECT b.page, a.k, b.i, w * h * (1::DOUBLE - (4 * abs(cy - middle) / 800 + 0.1::DOUBLE * abs(a.k - b.i) + CASE WHEN long > 2.8::DOUBLE THEN 0.2::DOUBLE ELSE 0 END)
+      + CASE down WHEN 1 THEN CASE WHEN cy / 800 < 0.45::DOUBLE THEN 1.5 WHEN cy / 800 > 0.6::DOUBLE THEN -3 ELSE 0 END WHEN 2 THEN CASE WHEN cy / 800 > 0.55::DOUBLE THEN 1.5 WHEN cy / 800 < 0.4::DOUBLE THEN -3 ELSE 0 END
+          WHEN 3 THEN CASE WHEN cy / 800 > 0.25 AND cy / 800 < 0.75 THEN 0.8::DOUBLE ELSE -1 END ELSE 0 END::DOUBLE
+      + CASE across WHEN 1 THEN CASE WHEN cx / 1000 > 0.55::DOUBLE THEN -3 ELSE 1 END WHEN 2 THEN CASE WHEN cx / 1000 < 0.45::DOUBLE THEN -3 ELSE 1 END ELSE 0 END) AS v
+  FROM b JOIN aim a ON a.r = b.page % 3),
+kept AS MATERIALIZED (  -- the boxes that a figure leaves to others
+  SELECT f.page, f.k, f.i, list(b.i) AS others FROM f{_GROW} f JOIN b ON b.page = f.page AND b.i <> f.i
+    AND greatest(0, least(b.x1, f.x1) - greatest(b.x0, f.x0)) * greatest(0, least(b.y1, f.y1) - greatest(b.y0, f.y0)) / greatest(b.w * b.h, 1) <= 0.6::DOUBLE
+  GROUP BY f.page, f.k, f.i),
+turn AS (
+  SELECT page, -1 AS k, coalesce(list(i) FILTER (share <= 0.6::DOUBLE), []) AS free, CAST(NULL AS BIGINT) AS seed FROM b GROUP BY page
+  UNION ALL
+  SELECT t.page, t.k + 1, CASE WHEN t.seed IS NULL THEN t.free ELSE list_intersect(t.free, coalesce(o.others, [])) END,
+    (SELECT arg_max(s.i, struct_pack(v := s.v, back := -s.i)) FROM score s WHERE s.page = t.page AND s.k = t.k + 1
+       AND list_contains(CASE WHEN t.seed IS NULL THEN t.free ELSE list_intersect(t.free, coalesce(o.others, [])) END, s.i))
+  FROM turn t LEFT JOIN kept o ON o.page = t.page AND o.k = t.k AND o.i = t.seed WHERE t.k + 1 < (SELECT count(*) FROM aim a WHERE a.r = t.page % 3))
+SELECT t.page AS page_id, CAST(t.k AS INT) AS k, coalesce(f.x0, 80)::DOUBLE AS x0, coalesce(f.y0, s0)::DOUBLE AS y0, coalesce(f.x1, 920)::DOUBLE AS x1, coalesce(f.y1, s1)::DOUBLE AS y1
+FROM turn t JOIN aim a ON a.r = t.page % 3 AND a.k = t.k LEFT JOIN f{_GROW} f ON f.page = t.page AND f.k = t.k AND f.i = t.seed
+"""
 
 
 def figure_inject(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -247,5 +310,5 @@ QUERIES = {
     "page_scans": (page_scans, PAGE_SCANS),
     "caption_images": (caption_images, CAPTION_IMAGES),
     "figure_pairs": (figure_pairs, FIGURE_PAIRS),
-    "figure_match": (figure_match, None),
+    "figure_match": (figure_match, FIGURE_MATCH),
 }

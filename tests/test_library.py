@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from foliant import config, model
 from foliant.functions import text
-from foliant.operators import figures, images, jobs, model_calls, raster, review
+from foliant.operators import figures, images, jobs, matching, model_calls, raster, review
 from foliant.plans import pipeline
 from foliant.sources import files, sinks
 from foliant.streaming import queue
@@ -36,19 +36,16 @@ def test_captions_and_labels(spark):
     assert one(spark, images.label(text.lines(F.col("t")), F.lit(0), F.lit("x")), t="![x](y)") == images.DEFAULT_LABEL
 
 
-def test_box_merging_and_zones():
+def test_box_merging():
     boxes = [(0, 0, 10, 10), (12, 0, 20, 10), (100, 100, 120, 120), (18, 8, 30, 30)]
     assert sorted(figures.merged_boxes(boxes, gap=3)) == [(0.0, 0.0, 30.0, 30.0), (100.0, 100.0, 120.0, 120.0)]
-    grid = [(x * 50, y * 30, x * 50 + 40, y * 30 + 24) for y in range(3) for x in range(4)]
-    assert figures.table_zones(grid, 1000) == [(0.0, 0.0, 190.0, 84.0)]
-    assert figures.table_zones(grid[:5], 1000) == []
 
 
 def test_matching_prefers_the_place_that_a_caption_names(spark):
     boxes = [(50, 50, 350, 300), (600, 450, 900, 750)]
     rows = [(1, ["左上", "右下"], [tuple(map(float, b)) for b in boxes]), (2, ["上"], []), (3, [None, " 中 ", None], [(10.0, 300.0, 200.0, 500.0)])]
     pages = spark.createDataFrame(rows, f"page_id long, positions array<string>, boxes array<{model.BOX}>")
-    got = {(r.page_id, r.k): (r.x0, r.y0, r.x1, r.y1) for r in figures.match_page_captions(pages, 1000, 800).collect()}
+    got = {(r.page_id, r.k): (r.x0, r.y0, r.x1, r.y1) for r in matching.match_page_captions(pages, 1000, 800).collect()}
     assert got[1, 0][:2] == (50, 50) and got[1, 1][2:] == (900, 750)
     assert got[2, 0] == (80, 40, 920, 360)
     assert got[3, 0] == (10, 300, 200, 500) and got[3, 1] == (80, 280, 920, 520) and got[3, 2] == (80, 546, 920, 786)
