@@ -2,30 +2,41 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable, Iterable
+from collections.abc import Callable
 
-import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from foliant.config import Settings
-from foliant.functions.text import escape_dimensions, join_lines, let, lines, strip_fence
+from foliant.functions.text import data_url, escape_dimensions, join_lines, let, lines, strip_fence
 from foliant.operators import images, model_calls, tables
+from foliant.plans import refine
 from foliant.sources import files, sinks
 
 
-def second_pass(pages: DataFrame, make: Callable[[], model_calls.ModelClient], most: int = 0) -> DataFrame:
+#: Bytes of pictures that one task sends to a model, a single page's apart.
+TASK_BYTES = 64 << 20
+
+
+def second_pass(pages: DataFrame, make: Callable[[], model_calls.ModelClient], most: int = 0, pictures: DataFrame | None = None, task_bytes: int = TASK_BYTES) -> DataFrame:
     """pages (page_id, md) with suspicious tables rewritten by a model, and n_patched.
 
-    A rewrite counts if rows, columns and lines stay; the first `most` (0: all) that count are put in place.
+    A rewrite counts if rows, columns and lines stay; the first `most` (0: all) that count are put in place. pictures
+    (page_id, name, content): a page's own picture goes with each question about it, in the form its name tells; a page
+    without one is asked about by its text alone. Only pictures of pages with a suspicious table are moved, and tasks
+    are as many as it takes for each to hold about `task_bytes` of them.
     """
     found = pages.select("page_id", lines(F.col("md")).alias("l"), F.posexplode(tables.blocks(F.col("md"))).alias("k", "b"))
     odd = found.where(tables.is_suspicious(F.col("b.markdown")))
     before = join_lines(F.slice("l", F.greatest(F.lit(1), F.col("b.start_line") - 1), F.least(F.lit(2), F.col("b.start_line"))))
     ask = model_calls.prompt(model_calls.TASKS["table_cleanup"], ("Context", before), ("Table", F.col("b.markdown")))
     key = F.struct(F.col("page_id").cast("string").alias("p"), F.col("k").alias("k"))
-    asked = odd.select(F.to_json(key).alias("id"), "page_id", "k", "b", F.array(model_calls.message("user", model_calls.text_part(ask))).alias("messages"))
-    answers = model_calls.run(asked, make, "table_cleanup")
+    asked = odd.select(F.to_json(key).alias("id"), "page_id", "k", "b", ask.alias("ask"))
+    if pictures is None:
+        shown = asked.select("id", F.array(model_calls.message("user", model_calls.text_part(F.col("ask")))).alias("messages"))
+    else:
+        shown = with_pictures(asked, pictures, task_bytes)
+    answers = model_calls.run(shown, make, "table_cleanup")
     # one value, so that the rewrite isn't written out again wherever it is looked at
     judged = lambda new: F.struct(
         new.alias("new"), tables.invariants(F.col("b.markdown"), new)["ok"].alias("ok"), F.size(lines(new)).alias("n_lines")
@@ -34,21 +45,22 @@ def second_pass(pages: DataFrame, make: Callable[[], model_calls.ModelClient], m
     fits = asked.join(answers, "id").select("*", F.explode(F.array(let(tables.first_block(strip_fence(F.col("answer"))), judged))).alias("v"))
     fits = fits.where(F.col("v.ok") & (F.col("v.n_lines") == F.col("b.end_line") - F.col("b.start_line") + 1)).withColumn("new", F.col("v.new"))
     kept = sinks.budgeted(fits.select("page_id", "k", "b", "new"), ["page_id"], ["k"], most)
-    patches = kept.groupBy("page_id").agg(F.collect_list(F.struct("b.start_line", "b.end_line", "new")).alias("patches"))  # one page's tables
-
-    def run(frames: Iterable[pd.DataFrame]) -> Iterable[pd.DataFrame]:
-        for f in frames:
-            out = []
-            for md, own in zip(f["md"], f["patches"], strict=True):
-                parts = (md or "").splitlines()
-                for p in own if own is not None else ():
-                    parts[p["start_line"] : p["end_line"] + 1] = p["new"].splitlines()
-                out.append("\n".join(parts))
-            f["md"], f["n_patched"] = out, [0 if p is None else len(p) for p in f["patches"]]
-            yield f[["page_id", "md", "n_patched"]]
-
-    kind = pages.schema["page_id"].dataType.simpleString()
-    return pages.select("page_id", "md").join(patches, "page_id", "left").mapInPandas(run, f"page_id {kind}, md string, n_patched int")
+    patch = F.struct("b.start_line", F.struct(F.col("b.end_line").alias("end_line"), lines(F.col("new")).alias("new")))
+    patches = kept.groupBy("page_id").agg(F.map_from_entries(F.collect_list(patch)).alias("patches"))  # one page's tables
+    rows = pages.select("page_id", "md").join(patches, "page_id", "left")
+    md = F.when(F.col("patches").isNull(), join_lines(lines(F.col("md")))).otherwise(refine.with_patches(F.col("md"), F.col("patches")))
+    return rows.select("page_id", md.alias("md"), F.coalesce(F.size("patches"), F.lit(0)).alias("n_patched"))
+
+
+def with_pictures(asked: DataFrame, pictures: DataFrame, task_bytes: int = TASK_BYTES) -> DataFrame:
+    """asked (id, page_id, ask) as (id, messages), a page's picture before its question; dealt by the pictures' bytes."""
+    wanted = pictures.join(asked.select("page_id").distinct(), "page_id", "left_semi").select("page_id", "name", "content")
+    sized = asked.select("id", "page_id", "ask").join(wanted, "page_id", "left")
+    total = sized.agg(F.sum(F.octet_length("content"))).first()[0] or 0
+    url = F.when(F.col("content").isNotNull(), data_url(F.coalesce("name", F.lit("")), F.col("content")))
+    shown = F.when(url.isNull(), F.array().cast("array<string>")).otherwise(F.array(url))
+    dealt = sized.repartition(max(1, -(-total // task_bytes)), "id")
+    return dealt.select("id", F.array(model_calls.user_message(F.col("ask"), shown)).alias("messages"))
 
 
 def caption_tables(docs: DataFrame, make: Callable[[], model_calls.ModelClient], around: int = 2, longest: int = 120, most: int = 0) -> DataFrame:

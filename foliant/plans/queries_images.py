@@ -1,8 +1,11 @@
-"""Queries over images: frames of files, bands and regions of pages. Pictures are drawn from the tables at hand."""
+"""Queries over images and workbooks: frames, bands, regions, sheets. The files are made of the tables at hand."""
 
 from __future__ import annotations
 
+import io
+import zipfile
 from collections.abc import Iterator
+from xml.sax.saxutils import escape
 
 import numpy as np
 import pandas as pd
@@ -12,7 +15,7 @@ from pyspark.sql import functions as F
 
 from foliant.operators import regions
 from foliant.plans.inputs import derived, for_duckdb
-from foliant.sources import page_images
+from foliant.sources import files, page_images
 
 #: Pages of an image file that are read at most.
 CAP = 4
@@ -153,7 +156,49 @@ s AS (SELECT *, row_number() OVER (PARTITION BY page_id ORDER BY w * h + h * 200
 SELECT page_id, x0::DOUBLE AS x0, y0::DOUBLE AS y0, x1::DOUBLE AS x1, y1::DOUBLE AS y1 FROM s WHERE k = 1
 """
 
+#: Fifty parts are a workbook, those of even keys its first sheet.
+BOOKS = "SELECT CAST(floor(p_partkey / 50) AS BIGINT) AS book, p_partkey AS key, p_name AS name, CAST(p_size AS STRING) AS size FROM <part>"
+_MAIN = "http://schemas.openxmlformats.org/spreadsheetml/2006/main"
+_LINKS = "http://schemas.openxmlformats.org/officeDocument/2006/relationships"
+
+
+def book_of(sheets: dict[str, list[list[str]]]) -> bytes:
+    """A workbook of texts."""
+    out = io.BytesIO()
+    with zipfile.ZipFile(out, "w") as z:
+        listed = "".join(f'<sheet name="{name}" r:id="r{k}"/>' for k, name in enumerate(sheets))
+        z.writestr("xl/workbook.xml", f'<workbook xmlns="{_MAIN}" xmlns:r="{_LINKS}"><sheets>{listed}</sheets></workbook>')
+        z.writestr("xl/_rels/workbook.xml.rels", "<Relationships>" + "".join(f'<Relationship Id="r{k}" Target="worksheets/s{k}.xml"/>' for k in range(len(sheets))) + "</Relationships>")
+        for k, rows in enumerate(sheets.values()):
+            cells = ("".join(f'<c t="inlineStr"><is><t>{escape(c)}</t></is></c>' for c in row) for row in rows)
+            z.writestr(f"xl/worksheets/s{k}.xml", f'<worksheet xmlns="{_MAIN}"><sheetData>' + "".join(f"<row>{c}</row>" for c in cells) + "</sheetData></worksheet>")
+    return out.getvalue()
+
+
+def workbook_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every row of every sheet of the parts' workbooks."""
+
+    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for f in frames:
+            made = []
+            for rows in f["rows"]:
+                of = lambda rest: [["key", "name", "size"], *([str(r["key"]), r["name"], r["size"]] for r in rows if r["key"] % 2 == rest)]  # noqa: B023, E731
+                made.append(book_of({"even": of(0), "odd": of(1)}))
+            yield pd.DataFrame({"path": f["book"].astype(str) + ".xlsx", "content": made})
+
+    books = derived(spark, sf_dir, BOOKS).groupBy("book").agg(F.array_sort(F.collect_list(F.struct("key", "name", "size"))).alias("rows"))  # fifty parts
+    found = files.workbooks(books.mapInPandas(run, "path string, content binary"))
+    return found.select("path", "sheet", "sheet_no", "row_no", F.concat_ws("|", "cells").alias("cells"))
+
+
+WORKBOOK_SCAN = f"""
+WITH p AS (SELECT *, CAST(key % 2 AS INT) AS n FROM ({for_duckdb(BOOKS)}))
+SELECT book || '.xlsx' AS path, CASE n WHEN 0 THEN 'even' ELSE 'odd' END AS sheet, n AS sheet_no, CAST(row_number() OVER (PARTITION BY book, n ORDER BY key) AS INT) AS row_no, concat_ws('|', key, name, size) AS cells FROM p
+UNION ALL SELECT book || '.xlsx', CASE n WHEN 0 THEN 'even' ELSE 'odd' END, CAST(n AS INT), 0, 'key|name|size' FROM (SELECT DISTINCT book FROM p), range(2) r(n)
+"""
+
 QUERIES = {
+    "workbook_scan": (workbook_scan, WORKBOOK_SCAN),
     "image_pages": (image_pages, IMAGE_PAGES),
     "page_bands": (page_bands, PAGE_BANDS),
     "visual_regions": (visual_regions, VISUAL_REGIONS),

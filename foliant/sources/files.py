@@ -7,12 +7,13 @@ import re
 import zipfile
 from collections.abc import Callable, Iterable, Iterator
 from html.parser import HTMLParser
+from typing import BinaryIO
 from xml.etree import ElementTree
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition
+from pyspark.sql.datasource import DataSource, DataSourceReader, EqualTo, Filter, GreaterThan, GreaterThanOrEqual, InputPartition, IsNotNull, LessThan, LessThanOrEqual
 
 from foliant.functions.text import suffix
 
@@ -20,6 +21,7 @@ from foliant.functions.text import suffix
 LAYOUT = (".pdf", ".docx", ".pptx", ".html", ".htm", ".png", ".jpg", ".jpeg", ".tif", ".tiff", ".bmp", ".webp")
 WORKBOOK = (".xlsx",)
 IMAGE = (".png", ".jpg", ".jpeg", ".tif", ".tiff", ".bmp", ".webp")
+PUSHDOWN = "spark.sql.python.filterPushdown.enabled"
 IMAGE_HEADS = (b"\x89PNG", b"\xff\xd8\xff", b"II*\0", b"MM\0*", b"BM")
 
 
@@ -175,29 +177,88 @@ def _column(ref: str) -> int:
     return n - 1
 
 
+class Workbook:
+    """An open .xlsx file: its sheets are listed at once, and a sheet is read only when its rows are asked for, row by row."""
+
+    def __init__(self, file: BinaryIO) -> None:
+        self.zip = zipfile.ZipFile(file)
+        targets = {r.get("Id"): r.get("Target") for r in ElementTree.fromstring(self.zip.read("xl/_rels/workbook.xml.rels"))}
+        sheets = ElementTree.fromstring(self.zip.read("xl/workbook.xml")).iter(f"{_SHEET}sheet")
+        paths = [(s.get("name"), targets[s.get(_REL)].lstrip("/")) for s in sheets]
+        self.sheets = [(name, path if path.startswith("xl/") else f"xl/{path}") for name, path in paths]
+        self.texts: list[str] | None = None
+
+    def shared(self, number: int) -> str:
+        """A text that cells share; all of them are read when the first one is needed."""
+        if self.texts is None:
+            found = ElementTree.fromstring(self.zip.read("xl/sharedStrings.xml")) if "xl/sharedStrings.xml" in self.zip.namelist() else ()
+            self.texts = ["".join(t.text or "" for t in s.iter(f"{_SHEET}t")) for s in found if s.tag == f"{_SHEET}si"]
+        return self.texts[number]
+
+    def extent(self, k: int) -> int | None:
+        """How many rows sheet k says that it has, which is no less than it holds; None if its head doesn't say."""
+        with self.zip.open(self.sheets[k][1]) as f:
+            for _, tag in ElementTree.iterparse(f, ("start",)):
+                if tag.tag == f"{_SHEET}dimension":
+                    found = re.search(r"(\d+)$", tag.get("ref") or "")
+                    return int(found.group()) if found else None
+                if tag.tag == f"{_SHEET}sheetData":
+                    return None
+        return None
+
+    def rows(self, k: int, first: int = 0, last: int | None = None) -> Iterator[tuple[int, list[str]]]:
+        """(row number, cells as text) of the rows first to last of sheet k. What lies behind is not parsed, and of what is
+        passed by no cell is read."""
+        with self.zip.open(self.sheets[k][1]) as f:
+            n = 0
+            for _, row in ElementTree.iterparse(f):
+                if row.tag != f"{_SHEET}row":
+                    continue
+                if last is not None and n > last:
+                    return
+                if n >= first:
+                    yield n, self.cells(row)
+                row.clear()
+                n += 1
+
+    def cells(self, row: ElementTree.Element) -> list[str]:
+        out: list[str] = []
+        for c in row.iter(f"{_SHEET}c"):
+            at = _column(c.get("r") or "") if c.get("r") else len(out)
+            value = c.find(f"{_SHEET}v")
+            if c.get("t") == "inlineStr":
+                text = "".join(t.text or "" for t in c.iter(f"{_SHEET}t"))
+            elif value is None:
+                text = ""
+            else:
+                text = self.shared(int(value.text)) if c.get("t") == "s" else value.text or ""
+            out += [""] * (at - len(out)) + [text]
+        return out
+
+
 def workbook_rows(content: bytes) -> Iterator[tuple[str, int, int, list[str]]]:
     """(sheet, sheet number, row number, cells as text) of an .xlsx file; row 0 is the header."""
-    with zipfile.ZipFile(io.BytesIO(content)) as z:
-        names = set(z.namelist())
-        shared = []
-        if "xl/sharedStrings.xml" in names:
-            shared = ["".join(t.text or "" for t in s.iter(f"{_SHEET}t")) for s in ElementTree.fromstring(z.read("xl/sharedStrings.xml"))]
-        targets = {r.get("Id"): r.get("Target") for r in ElementTree.fromstring(z.read("xl/_rels/workbook.xml.rels"))}
-        for k, sheet in enumerate(ElementTree.fromstring(z.read("xl/workbook.xml")).iter(f"{_SHEET}sheet")):
-            target = targets[sheet.get(_REL)].lstrip("/")
-            root = ElementTree.fromstring(z.read(target if target.startswith("xl/") else f"xl/{target}"))
-            for n, row in enumerate(root.iter(f"{_SHEET}row")):
-                cells: list[str] = []
-                for c in row.iter(f"{_SHEET}c"):
-                    at = _column(c.get("r") or "") if c.get("r") else len(cells)
-                    value = c.find(f"{_SHEET}v")
-                    text = "".join(t.text or "" for t in c.iter(f"{_SHEET}t")) if c.get("t") == "inlineStr" else "" if value is None else shared[int(value.text)] if c.get("t") == "s" else value.text or ""
-                    cells += [""] * (at - len(cells)) + [text]
-                yield sheet.get("name"), k, n, cells
+    book = Workbook(io.BytesIO(content))
+    for k, (name, _) in enumerate(book.sheets):
+        for n, cells in book.rows(k):
+            yield name, k, n, cells
+
+
+class SheetRows(InputPartition):
+    """Rows first to last of one sheet."""
+
+    def __init__(self, sheet_no: int, first: int, last: int | None) -> None:
+        self.sheet_no, self.first, self.last = sheet_no, first, last
 
 
 class WorkbookSource(DataSource):
-    """`spark.read.format("workbook").load(path)`: a row for each row of each sheet of an .xlsx file."""
+    """`spark.read.format("workbook").load(path)`: a row for each row of each sheet of an .xlsx file.
+
+    Options: path; columns, a comma list of column numbers from 0: the cells returned, in that order, empty where a row
+    has none; partition_rows: rows of a sheet that one task returns (0: a sheet is one task); pushdown: true where the session
+    pushes filters into Python (`workbook` sees to it). Then equality of sheet and sheet_no, and comparisons of sheet_no
+    and row_no with a constant, reach the reader: other sheets are not opened, rows behind the last one wanted not parsed.
+    """
 
     @classmethod
     def name(cls) -> str:
@@ -207,17 +268,71 @@ class WorkbookSource(DataSource):
         return "sheet string, sheet_no int, row_no int, cells array<string>"
 
     def reader(self, schema) -> DataSourceReader:  # noqa: ANN001
-        path = self.options["path"]
-
-        class Reader(DataSourceReader):
-            def partitions(self) -> list[InputPartition]:
-                return [InputPartition(path)]
-
-            def read(self, partition: InputPartition) -> Iterator[tuple]:
-                with open(partition.value.removeprefix("file://"), "rb") as f:
-                    yield from workbook_rows(f.read())
-
-        return Reader()
+        columns = [int(c) for c in self.options.get("columns", "").split(",") if c.strip()]
+        kind = FilteredWorkbookReader if self.options.get("pushdown") == "true" else WorkbookReader
+        return kind(self.options["path"].removeprefix("file://"), columns, int(self.options.get("partition_rows", 0)))
+
+
+class WorkbookReader(DataSourceReader):
+    def __init__(self, path: str, columns: list[int], partition_rows: int) -> None:
+        self.path, self.columns, self.partition_rows = path, columns, partition_rows
+        self.bounds: dict[str, list[int | None]] = {"sheet_no": [0, None], "row_no": [0, None]}
+        self.sheet: str | None = None
+
+    def partitions(self) -> list[InputPartition]:
+        """Row ranges of the sheets wanted; a sheet that doesn't say how long it is, is one. The last range has no end of its
+        own. Of a sheet only the head is read here."""
+        (low, high), (first, last) = self.bounds["sheet_no"], self.bounds["row_no"]
+        if last is not None and last < first:
+            return [SheetRows(-1, 0, -1)]
+        out = []
+        with open(self.path, "rb") as f:
+            book = Workbook(f)
+            for k, (name, _) in enumerate(book.sheets):
+                if k < low or (high is not None and k > high) or self.sheet not in (None, name):
+                    continue
+                end = book.extent(k) if self.partition_rows and last is None else last
+                starts = list(range(first, max(first, end) + 1, self.partition_rows)) if self.partition_rows and end is not None else [first]
+                out += [SheetRows(k, a, b - 1) for a, b in zip(starts, starts[1:], strict=False)] + [SheetRows(k, starts[-1], last)]
+        return out or [SheetRows(-1, 0, -1)]
+
+    def read(self, partition: SheetRows) -> Iterator[tuple]:
+        if partition.sheet_no < 0:
+            return
+        with open(self.path, "rb") as f:
+            book = Workbook(f)
+            name = book.sheets[partition.sheet_no][0]
+            for n, cells in book.rows(partition.sheet_no, partition.first, partition.last):
+                picked = [cells[c] if c < len(cells) else "" for c in self.columns] if self.columns else cells
+                yield name, partition.sheet_no, n, picked
+
+
+class FilteredWorkbookReader(WorkbookReader):
+    """With filters; Spark refuses such a reader in a session that doesn't push filters into Python."""
+
+    def pushFilters(self, filters: list[Filter]) -> Iterable[Filter]:  # noqa: N802  Spark's name
+        """Takes bounds of sheet and row numbers and the name of a sheet, and gives back the rest."""
+        for f in filters:
+            column, value = getattr(f, "attribute", (None,))[0], getattr(f, "value", None)
+            if value is not None and column in self.bounds and isinstance(f, (EqualTo, GreaterThan, GreaterThanOrEqual, LessThan, LessThanOrEqual)):
+                first, last = self.bounds[column]
+                if not isinstance(f, (LessThan, LessThanOrEqual)):
+                    first = max(first, value + isinstance(f, GreaterThan))
+                if not isinstance(f, (GreaterThan, GreaterThanOrEqual)):
+                    top = value - isinstance(f, LessThan)
+                    last = top if last is None else min(last, top)
+                self.bounds[column] = [first, last]
+            elif value is not None and column == "sheet" and isinstance(f, EqualTo) and self.sheet in (None, value):
+                self.sheet = value
+            elif not (isinstance(f, IsNotNull) and column in ("sheet", "sheet_no", "row_no")):  # these are never null
+                yield f
+
+
+def workbook(spark: SparkSession, path: str, **options: object) -> DataFrame:
+    """The rows of one workbook, with filters pushed into the reader; see WorkbookSource for the options."""
+    spark.conf.set(PUSHDOWN, "true")
+    spark.dataSource.register(WorkbookSource)
+    return spark.read.format("workbook").options(pushdown="true", **options).load(path)
 
 
 def workbooks(files: DataFrame) -> DataFrame:

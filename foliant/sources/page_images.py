@@ -16,11 +16,11 @@ from typing import BinaryIO
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
-from pyspark.sql.datasource import DataSource, DataSourceReader, EqualTo, Filter, GreaterThan, GreaterThanOrEqual, InputPartition, LessThan, LessThanOrEqual
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql.datasource import DataSource, DataSourceReader, EqualTo, Filter, GreaterThan, GreaterThanOrEqual, InputPartition, IsNotNull, LessThan, LessThanOrEqual
 
 from foliant.operators.crops import png
-from foliant.sources.files import IMAGE
+from foliant.sources.files import IMAGE, PUSHDOWN
 
 #: Tags of a TIFF directory, the sizes of its field types, and its ways of compression.
 WIDTH, HEIGHT, BITS, COMPRESSION, PHOTOMETRIC, OFFSETS, SAMPLES, ROWS, COUNTS, PLANAR, PREDICTOR, COLOURS, TILES = 256, 257, 258, 259, 262, 273, 277, 278, 279, 284, 317, 320, 322
@@ -289,9 +289,9 @@ class PageImages(DataSource):
     """`spark.read.format("page_images").load(folder)`: a row for each frame of each image below a folder.
 
     Options: path (a folder or a file on a file system that driver and executors mount), pages (the page cap),
-    partition_bytes (64 MB by default). Small files share a partition; a TIFF of more bytes is split by frames.
-    Comparisons of page_no with a constant, and equality of path, are pushed into the reader: other frames are not
-    decoded, and other files not opened.
+    partition_bytes (64 MB by default), pushdown (true where the session pushes filters into Python; `load` sees to it).
+    Small files share a partition; a TIFF of more bytes is split by frames. With pushdown, comparisons of page_no with a
+    constant and equality of path reach the reader: other frames are not decoded, and other files not opened.
     """
 
     @classmethod
@@ -302,7 +302,8 @@ class PageImages(DataSource):
         return f"path string, {FRAME}"
 
     def reader(self, schema) -> DataSourceReader:  # noqa: ANN001
-        return PageReader(self.options["path"], self.options.get("pages"), int(self.options.get("partition_bytes", 64 << 20)))
+        kind = FilteredPageReader if self.options.get("pushdown") == "true" else PageReader
+        return kind(self.options["path"], self.options.get("pages"), int(self.options.get("partition_bytes", 64 << 20)))
 
 
 class PageReader(DataSourceReader):
@@ -310,22 +311,6 @@ class PageReader(DataSourceReader):
         self.root, self.partition_bytes = root.removeprefix("file://"), partition_bytes
         self.first, self.last, self.only = 1, None if pages is None else max(1, int(pages)), None
 
-    def pushFilters(self, filters: list[Filter]) -> Iterable[Filter]:  # noqa: N802  Spark's name
-        """Takes what narrows the range of pages or names the file, and gives back the rest."""
-        for f in filters:
-            column = getattr(f, "attribute", None)
-            if column == ("page_no",) and isinstance(f, (LessThanOrEqual, LessThan, EqualTo)) and f.value is not None:
-                bound = f.value - isinstance(f, LessThan)
-                self.last = bound if self.last is None else min(self.last, bound)
-                if isinstance(f, EqualTo):
-                    self.first = max(self.first, bound)
-            elif column == ("page_no",) and isinstance(f, (GreaterThanOrEqual, GreaterThan)) and f.value is not None:
-                self.first = max(self.first, f.value + isinstance(f, GreaterThan))
-            elif column == ("path",) and isinstance(f, EqualTo) and f.value is not None and self.only in (None, f.value):
-                self.only = f.value
-            else:
-                yield f
-
     def partitions(self) -> list[InputPartition]:
         """Sizes decide: only a file over partition_bytes has its directories walked here, and no pixel is read."""
         every = [self.root] if os.path.isfile(self.root) else sorted(glob.glob(os.path.join(glob.escape(self.root), "**", "*"), recursive=True))
@@ -364,6 +349,33 @@ class PageReader(DataSourceReader):
                     yield (path, *row)
 
 
+class FilteredPageReader(PageReader):
+    """With filters; Spark refuses such a reader in a session that doesn't push filters into Python."""
+
+    def pushFilters(self, filters: list[Filter]) -> Iterable[Filter]:  # noqa: N802  Spark's name
+        """Takes what narrows the range of pages or names the file, and gives back the rest."""
+        for f in filters:
+            column = getattr(f, "attribute", None)
+            if column == ("page_no",) and isinstance(f, (LessThanOrEqual, LessThan, EqualTo)) and f.value is not None:
+                bound = f.value - isinstance(f, LessThan)
+                self.last = bound if self.last is None else min(self.last, bound)
+                if isinstance(f, EqualTo):
+                    self.first = max(self.first, bound)
+            elif column == ("page_no",) and isinstance(f, (GreaterThanOrEqual, GreaterThan)) and f.value is not None:
+                self.first = max(self.first, f.value + isinstance(f, GreaterThan))
+            elif column == ("path",) and isinstance(f, EqualTo) and f.value is not None and self.only in (None, f.value):
+                self.only = f.value
+            elif not (isinstance(f, IsNotNull) and column in (("page_no",), ("path",))):  # these are never null
+                yield f
+
+
+def load(spark: SparkSession, folder: str, **options: object) -> DataFrame:
+    """The frames of all images below a folder, with filters pushed into the reader; see PageImages for the options."""
+    spark.conf.set(PUSHDOWN, "true")
+    spark.dataSource.register(PageImages)
+    return spark.read.format("page_images").options(pushdown="true", **options).load(folder)
+
+
 # Writing
 
 

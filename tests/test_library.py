@@ -1,3 +1,4 @@
+import base64
 import io
 import os
 import sys
@@ -109,6 +110,27 @@ def test_second_pass_and_captions(spark):
     assert got[1].startswith(md) and "> **表格信息：** caption " in got[1] and got[2] == "none" and got[3] is None
 
 
+def test_second_pass_sends_pages_pictures(spark):
+    class Seen(model_calls.EchoClient):
+        """Widens a ragged row, and says in its first cell how many pictures came and how long they were."""
+
+        def generate(self, messages, stage):
+            parts = messages[-1]["content"]
+            assert all(p["image"] is not None for p in parts[:-1]) and parts[-1]["text"]
+            seen = "+".join(p["image"][:22] + str(len(base64.b64decode(p["image"].partition(",")[2]))) for p in parts[:-1])
+            return super().generate(messages, stage).replace("first", seen or "nothing")
+
+    md = "above\n| a | b |\n| --- | --- |\n| first | |\n| | |\nend\n| a | b |\n| --- | --- |\n| first | |\n| | |"
+    pages = spark.createDataFrame([(k, md) for k in range(5)] + [(9, "no table")], "page_id long, md string")
+    shots = spark.createDataFrame([(0, "a.jpg", b"x" * 300), (1, None, b"y" * 50), (2, "c.png", None), (3, "d.png", b"z" * 100), (9, "n.png", b"never sent")], "page_id long, name string, content binary")
+    got = {r.page_id: (r.md, r.n_patched) for r in pipeline.second_pass(pages, Seen, pictures=shots).collect()}
+    told = {0: "data:image/jpeg;base64300", 1: "data:image/png;base64,50", 2: "nothing", 3: "data:image/png;base64,100", 4: "nothing"}
+    assert got == {k: (md.replace("first", v), 2) for k, v in told.items()} | {9: ("no table", 0)}
+    asked = spark.createDataFrame([(f"{k}/{t}", k, "text") for k in range(5) for t in range(2)], "id string, page_id long, ask string")
+    parts = lambda most: pipeline.with_pictures(asked, shots, most).rdd.getNumPartitions()
+    assert parts(10_000) == 1 and parts(300) == 3  # 900 bytes go out: each picture with both of its page's questions
+
+
 def workbook():
     out = io.BytesIO()
     head = '<worksheet xmlns="http://schemas.openxmlformats.org/spreadsheetml/2006/main"><sheetData>'

@@ -172,14 +172,12 @@ def test_a_column_of_files(spark):
 
 
 def test_the_source_splits_files_and_takes_filters(spark, tmp_path, monkeypatch):
-    spark.conf.set("spark.sql.python.filterPushdown.enabled", "true")
-    spark.dataSource.register(page_images.PageImages)
     many = [noise(k, (64, 64)) for k in range(20)]
     (tmp_path / "deep").mkdir()
     (tmp_path / "deep" / "long.tiff").write_bytes(page_images.tiff(many, page_images.PLAIN))
     (tmp_path / "one.tif").write_bytes(page_images.tiff(PAGES[:1]))
     (tmp_path / "notes.txt").write_bytes(b"no image")
-    read = lambda **options: spark.read.format("page_images").options(partition_bytes=20000, **options).load(str(tmp_path))
+    read = lambda **options: page_images.load(spark, str(tmp_path), partition_bytes=20000, **options)
     every = read()
     assert every.rdd.getNumPartitions() > 4
     assert sorted((r.path.rpartition("/")[2], r.page_no) for r in every.select("path", "page_no").collect()) == [("long.tiff", k) for k in range(1, 21)] + [("one.tif", 1)]
@@ -191,7 +189,7 @@ def test_the_source_splits_files_and_takes_filters(spark, tmp_path, monkeypatch)
     assert few.rdd.getNumPartitions() == 1 and sorted(r.page_no for r in few.collect()) == [5, 6]
     assert every.where("page_no = 20").count() == 1 and every.where("page_no < 1").count() == 0
 
-    reader = page_images.PageReader(str(tmp_path), None, 1)
+    reader = page_images.FilteredPageReader(str(tmp_path), None, 1)
     left = list(reader.pushFilters([page_images.LessThan(("page_no",), 9), page_images.EqualTo(("width",), 5), page_images.GreaterThanOrEqual(("page_no",), 2)]))
     assert [f.attribute for f in left] == [("width",)] and (reader.first, reader.last) == (2, 8)
     read_pixels = []
