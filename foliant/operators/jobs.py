@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from foliant.functions import text
+from foliant.functions.text import let
 
 STATUSES = ("queued", "running", "succeeded", "failed", "cancelled")
 #: action: (states that it may leave, state that it leads to)
@@ -21,50 +22,70 @@ TRANSITIONS = {
 PAGE_LIMIT = 100
 
 
-def latest_state(events: DataFrame) -> DataFrame:
-    """One row a job from its event log (JOB_EVENT): the guarded state machine, folded in order of `seq`.
+#: What is known of a job, by name and type; `deleted` stays once it is true.
+STATE = {
+    "owner_username": "string", "original_filename": "string", "status": "string", "attempt_count": "int", "created_at": "string", "started_at": "string", "finished_at": "string",
+    "error_message": "string", "progress_percent": "int", "progress_note": "string", "progress_pages_done": "int", "progress_pages_total": "int", "result_extra": "string", "deleted": "boolean",
+}
+_EVENT = ["at", "action", "owner_username", "original_filename", "error_message", "progress_percent", "progress_note", "progress_pages_done", "progress_pages_total", "result_extra"]
 
-    An action that its state forbids changes nothing. Progress fields keep their last given value; a retry
-    clears times, result and error and puts the job at the back of the queue. Deleted jobs are left out.
-    """
-    fields = ["at", "action", "owner_username", "original_filename", "error_message", "progress_percent", "progress_note", "progress_pages_done", "progress_pages_total", "result_extra"]
-    # one job's own history: short, whatever the number of jobs
-    log = events.groupBy("job_id").agg(F.array_sort(F.collect_list(F.struct("seq", *fields))).alias("log"))
-    kinds = {"owner_username": "string", "original_filename": "string", "status": "string", "attempt_count": "int", "created_at": "string", "started_at": "string", "finished_at": "string", "error_message": "string", "progress_percent": "int", "progress_note": "string", "progress_pages_done": "int", "progress_pages_total": "int", "result_extra": "string", "deleted": "boolean"}
-    start = F.struct(*[F.lit({"attempt_count": 0, "deleted": False}.get(k)).cast(t).alias(k) for k, t in kinds.items()])
 
-    def step(s: Column, e: Column) -> Column:
+def after(status: str | None, action: str) -> str | None:
+    """The status that an action leads to; None if it can't happen in this one."""
+    before, to = TRANSITIONS.get(action, ((), None))
+    return to if (status is None if before is None else status in before) else None
+
+
+def _step(s: Column, e: Column) -> Column:
+    """A job's state after one event."""
+    moves = F.create_map(*[F.lit(x) for name, (before, to) in TRANSITIONS.items() for b in (before or ("",)) for x in (f"{b}>{name}", to)])
+    moved_to = F.try_element_at(moves, F.concat(F.coalesce(s["status"], F.lit("")), F.lit(">"), F.coalesce(e["action"], F.lit(""))))
+
+    def state(to: Column) -> Column:
         act = e["action"]
-        ok = F.lit(False)
-        for name, (before, _) in TRANSITIONS.items():
-            ok = ok | ((act == name) & (s["status"].isNull() if before is None else F.coalesce(s["status"].isin(*before), F.lit(False))))
-        is_ = lambda *names: ok & act.isin(*names)
-        status = s["status"]
-        for name, (_, after) in TRANSITIONS.items():
-            status = F.when(is_(name), after).otherwise(status)
-        moved = act == "progress"
-        given = lambda f: F.when(is_("retry"), None).otherwise(F.when(moved, F.coalesce(e[f], s[f])).otherwise(s[f]))
+        is_ = lambda *names: to.isNotNull() & act.isin(*names)
+        given = lambda f: F.when(is_("retry"), None).otherwise(F.when(act == "progress", F.coalesce(e[f], s[f])).otherwise(s[f]))
         out = {
             "owner_username": F.when(is_("insert"), e["owner_username"]).otherwise(s["owner_username"]),
             "original_filename": F.when(is_("insert"), e["original_filename"]).otherwise(s["original_filename"]),
-            "status": status,
+            "status": F.coalesce(to, s["status"]),
             "attempt_count": s["attempt_count"] + is_("claim").cast("int"),
             "created_at": F.when(is_("insert", "retry"), e["at"]).otherwise(s["created_at"]),
             "started_at": F.when(is_("claim"), e["at"]).when(is_("retry", "recover"), None).otherwise(s["started_at"]),
             "finished_at": F.when(is_("succeed", "fail", "cancel"), e["at"]).when(is_("retry", "recover"), None).otherwise(s["finished_at"]),
             "error_message": F.when(is_("fail"), F.left(e["error_message"], F.lit(4000))).when(is_("retry", "succeed"), None).otherwise(s["error_message"]),
-            "progress_percent": F.when(given("progress_percent").isNotNull(), F.greatest(F.lit(0), F.least(F.lit(100), given("progress_percent")))),
+            "progress_percent": let(given("progress_percent"), lambda p: F.when(p.isNotNull(), F.greatest(F.lit(0), F.least(F.lit(100), p)))),
             "progress_note": F.left(given("progress_note"), F.lit(500)),
             "progress_pages_done": given("progress_pages_done"),
             "progress_pages_total": given("progress_pages_total"),
             "result_extra": F.when(is_("succeed"), e["result_extra"]).when(is_("retry"), None).otherwise(s["result_extra"]),
-            "deleted": s["deleted"] | (act == "delete"),
+            "deleted": s["deleted"] | F.coalesce(act == "delete", F.lit(False)),
         }
-        cast = [F.when(out[k].isNull(), None).otherwise(out[k]).cast(t).alias(k) for k, t in kinds.items()]
-        return F.struct(*cast)
+        return F.struct(*[out[k].cast(t).alias(k) for k, t in STATE.items()])
 
-    state = log.select("job_id", F.aggregate("log", start, step).alias("s")).select("job_id", "s.*")
-    return state.where("NOT deleted AND status IS NOT NULL").drop("deleted")
+    return let(moved_to, state)
+
+
+def states(events: DataFrame, before: DataFrame | None = None) -> DataFrame:
+    """(job_id, STATE) of every job, deleted ones too, from its event log (JOB_EVENT), folded in order of `seq`.
+
+    before: such a table of earlier events; the log then holds what came after. An action that the state forbids
+    changes nothing. Progress fields keep their last given value; a retry clears times, result and error and puts
+    the job at the back of the queue.
+    """
+    # one job's own history: short, whatever the number of jobs
+    log = events.groupBy("job_id").agg(F.array_sort(F.collect_list(F.struct("seq", *_EVENT))).alias("log"))
+    start = F.struct(*[F.lit({"attempt_count": 0, "deleted": False}.get(k)).cast(t).alias(k) for k, t in STATE.items()])
+    if before is not None:
+        log = log.join(before.select("job_id", F.struct(*STATE).alias("was")), "job_id", "full_outer")
+        start = F.coalesce("was", start)
+    folded = F.when(F.col("log").isNull(), start).otherwise(F.aggregate("log", start, _step))
+    return log.select("job_id", folded.alias("s")).select("job_id", "s.*")
+
+
+def latest_state(events: DataFrame, before: DataFrame | None = None) -> DataFrame:
+    """One row for each job that is there, with what states() says of it."""
+    return states(events, before).where("NOT deleted AND status IS NOT NULL").drop("deleted")
 
 
 def last_event(events: DataFrame, key: str, order: list[str]) -> DataFrame:

@@ -14,7 +14,7 @@ import zipfile
 from collections.abc import Callable, Iterable
 from concurrent.futures import ThreadPoolExecutor
 from dataclasses import dataclass, field
-from datetime import datetime, timezone
+from datetime import datetime, timedelta, timezone
 from pathlib import Path, PurePosixPath
 from typing import Protocol
 
@@ -26,7 +26,9 @@ from foliant.operators import accounts, jobs
 from foliant.sources.files import IMAGE
 
 TERMINAL = ("succeeded", "failed", "cancelled")
-BROKEN, INCOMPLETE = "转换进程异常退出", "内部错误：任务记录不完整"
+BROKEN, INCOMPLETE, TIMED_OUT = "转换进程异常退出", "内部错误：任务记录不完整", "timed out"
+#: Jobs whose status a store remembers; beyond it those that have ended are forgotten.
+KNOWN = 100_000
 
 
 def now() -> str:
@@ -105,43 +107,114 @@ def zipped(folder: Path, below: str = "") -> bytes:
 
 
 class JobStore:
-    """Jobs and users below a folder. Columns that older files lack read as null, so a schema only ever grows."""
+    """Jobs and users below a folder. Columns that older files lack read as null, so a schema only ever grows.
+
+    Events of one epoch are a table: `events`, `events-1`, and so on. `state-k` is what all epochs before k come to, and
+    counts from the moment its writing is complete. So a state costs a snapshot and the epochs since, and a reader
+    finds the same before, during and after a compaction. As the only one that appends, a store knows the status of
+    the jobs it has looked at without reading again.
+    """
 
     def __init__(self, spark: SparkSession, root: str) -> None:
         self.spark, self.root = spark, root.rstrip("/")
-        self.lock, self.last = threading.Lock(), 0
+        self.lock, self.last = threading.RLock(), 0
+        self.statuses: dict[str, str | None] = {}
         for name, schema in (("events", model.JOB_EVENT), ("users", model.USER)):
             spark.createDataFrame([], schema).write.mode("append").parquet(f"{self.root}/{name}")
-
-    def events(self, job_id: str | None = None) -> DataFrame:
-        rows = self.spark.read.schema(model.JOB_EVENT).parquet(f"{self.root}/events")
-        return rows if job_id is None else rows.where(F.col("job_id") == job_id)
+        self.epoch = max(self.folders()[0])
+
+    # the log: epochs and snapshots
+
+    def folders(self) -> tuple[list[int], list[int]]:
+        """The epochs that there are, and those before which a complete snapshot was taken (0: nothing was)."""
+        at = self.spark._jvm.org.apache.hadoop.fs.Path(self.root)
+        files = at.getFileSystem(self.spark._jsc.hadoopConfiguration())
+        names = [f.getPath().getName() for f in files.listStatus(at)]
+        epochs = [0] + [int(n.removeprefix("events-")) for n in names if n.startswith("events-")]
+        taken = [int(n.removeprefix("state-")) for n in names if n.startswith("state-")]
+        whole = [k for k in taken if files.exists(self.spark._jvm.org.apache.hadoop.fs.Path(f"{self.root}/state-{k}/_SUCCESS"))]
+        return sorted(epochs), [0, *sorted(whole)]
+
+    def table(self, epoch: int) -> str:
+        return f"{self.root}/events-{epoch}" if epoch else f"{self.root}/events"
+
+    def parts(self) -> tuple[DataFrame | None, DataFrame]:
+        """The newest snapshot, and the events since."""
+        epochs, taken = self.folders()
+        rows = self.spark.read.schema(model.JOB_EVENT).parquet(*(self.table(k) for k in epochs if k >= taken[-1]))
+        schema = "job_id string, " + ", ".join(f"{k} {t}" for k, t in jobs.STATE.items())
+        return (self.spark.read.schema(schema).parquet(f"{self.root}/state-{taken[-1]}") if taken[-1] else None), rows
+
+    def compact(self) -> int:
+        """Fold what is there into a snapshot and return its epoch; events that come meanwhile belong to the next one.
+
+        What the snapshot before this one was made of is removed; readers that began with that one still find it.
+        """
+        with self.lock:
+            epochs, taken = self.folders()
+            self.epoch = self.epoch + 1
+            self.spark.createDataFrame([], model.JOB_EVENT).write.mode("append").parquet(self.table(self.epoch))
+            before = self.spark.read.parquet(f"{self.root}/state-{taken[-1]}") if taken[-1] else None
+            rows = self.spark.read.schema(model.JOB_EVENT).parquet(*(self.table(k) for k in epochs if k >= taken[-1]))
+            new = self.epoch
+        jobs.states(rows, before).write.mode("overwrite").parquet(f"{self.root}/state-{new}")
+        for k in epochs:
+            if k < taken[-1]:
+                self.remove(self.table(k))
+        for k in taken[1:-1]:
+            self.remove(f"{self.root}/state-{k}")
+        return new
+
+    def remove(self, path: str) -> None:
+        at = self.spark._jvm.org.apache.hadoop.fs.Path(path)
+        at.getFileSystem(self.spark._jsc.hadoopConfiguration()).delete(at, True)
 
     def append(self, job_id: str, action: str, **fields: object) -> None:
         with self.lock:
             self.last = max(self.last + 1, time.time_ns())
             row = {f.name: None for f in model.JOB_EVENT} | {"job_id": job_id, "seq": self.last, "at": now(), "action": action} | fields
-            self.spark.createDataFrame([row], model.JOB_EVENT).coalesce(1).write.mode("append").parquet(f"{self.root}/events")
+            self.spark.createDataFrame([row], model.JOB_EVENT).coalesce(1).write.mode("append").parquet(self.table(self.epoch))
+            if action == "delete":
+                self.statuses[job_id] = None
+            elif job_id in self.statuses:
+                self.statuses[job_id] = jobs.after(self.statuses[job_id], action) or self.statuses[job_id]
+
+    # jobs
 
     def jobs(self) -> DataFrame:
-        return jobs.latest_state(self.events())
+        before, rows = self.parts()
+        return jobs.latest_state(rows, before)
 
     def get(self, job_id: str) -> Row | None:
-        """One job; the id is pushed down to the log's files."""
-        return jobs.latest_state(self.events(job_id)).first()
+        """One job; the id is pushed down to the files of the snapshot and of the events since."""
+        own = [t if t is None else t.where(F.col("job_id") == job_id) for t in self.parts()]
+        return jobs.latest_state(own[1], own[0]).first()
+
+    def status(self, job_id: str) -> str | None:
+        """A job's status, None if there is no such job; read once, and known from then on."""
+        with self.lock:
+            if job_id not in self.statuses:
+                if len(self.statuses) >= KNOWN:
+                    self.statuses = {k: v for k, v in self.statuses.items() if v is not None and v not in TERMINAL}
+                job = self.get(job_id)
+                self.statuses[job_id] = None if job is None else job.status
+            return self.statuses[job_id]
 
     def queued(self) -> list[str]:
         """Ids in queue order. The queue is what one service has not begun yet."""
         return [r.job_id for r in self.jobs().where("status = 'queued'").orderBy("created_at", "job_id").select("job_id").collect()]
 
     def act(self, job_id: str, action: str, **fields: object) -> bool:
-        """Append an action if the job's state lets it happen."""
-        job = self.get(job_id)
-        before, _ = jobs.TRANSITIONS.get(action, (("queued", "succeeded", "failed", "cancelled") if action == "delete" else TERMINAL, None))
-        if (job is not None) if before is None else (job is None or job.status not in before):
-            return False
-        self.append(job_id, action, **fields)
-        return True
+        """Append an action if the job's state lets it happen. Nothing can come between the look and the entry."""
+        with self.lock:
+            status = self.status(job_id)
+            if action in jobs.TRANSITIONS:
+                fine = jobs.after(status, action) is not None
+            else:
+                fine = status in (("queued", *TERMINAL) if action == "delete" else TERMINAL)
+            if fine:
+                self.append(job_id, action, **fields)
+            return fine
 
     def progress(self, job_id: str, **fields: object) -> None:
         self.append(job_id, "progress", **{f"progress_{k}": v for k, v in fields.items()})
@@ -149,9 +222,13 @@ class JobStore:
     def recover(self) -> int:
         """Jobs that were running when the service went down are queued again."""
         lost = [r.job_id for r in self.jobs().where("status = 'running'").select("job_id").collect()]
-        for job_id in lost:
-            self.append(job_id, "recover")
-        return len(lost)
+        return sum(self.act(job_id, "recover") for job_id in lost)
+
+    def expire(self, seconds: float) -> list[str]:
+        """Jobs that have run for longer than this fail; their work ends at its next look."""
+        start = (datetime.now(timezone.utc) - timedelta(seconds=seconds)).isoformat(timespec="seconds")
+        late = [r.job_id for r in self.jobs().where((F.col("status") == "running") & (F.col("started_at") < start)).select("job_id").collect()]
+        return [job_id for job_id in late if self.act(job_id, "fail", error_message=TIMED_OUT)]
 
     # users: the newest row of a name counts
 
@@ -195,6 +272,7 @@ class Cancelled(Exception):
 
 class Store(Protocol):
     def get(self, job_id: str) -> Row | None: ...
+    def status(self, job_id: str) -> str | None: ...
     def act(self, job_id: str, action: str, **fields: object) -> bool: ...
     def progress(self, job_id: str, **fields: object) -> None: ...
     def queued(self) -> list[str]: ...
@@ -228,8 +306,7 @@ class Runner:
 
     def hooks(self, job_id: str) -> Hooks:
         def stopped() -> bool:
-            job = self.store.get(job_id)
-            return job is None or job.status != "running"
+            return self.store.status(job_id) != "running"
 
         def progress(done: int, total: int) -> None:
             if stopped():
@@ -259,8 +336,7 @@ class Runner:
         finally:
             self.spark.sparkContext.removeJobTag(tag)
             self.active.pop(job_id, None)
-        job = self.store.get(job_id)
-        return job.status if job else None
+        return self.store.status(job_id)
 
     def drain(self) -> dict[str, str | None]:
         """Run all that is queued by now."""
@@ -278,8 +354,6 @@ class Runner:
     def wait(self, job_id: str, poll: float = 0.25, most: float = 3600.0) -> Row | None:
         """The job once it has ended, or as it stands after `most` seconds."""
         until = time.monotonic() + most
-        while True:
-            job = self.store.get(job_id)
-            if (job and job.status in TERMINAL) or time.monotonic() >= until:
-                return job
+        while self.store.status(job_id) not in TERMINAL and time.monotonic() < until:
             time.sleep(poll)
+        return self.store.get(job_id)

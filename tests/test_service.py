@@ -287,13 +287,16 @@ def test_a_job_from_upload_to_download(spark, tmp_path):
 
 def test_a_cancelled_job_stops_on_the_cluster(spark, tmp_path):
     class Store:
-        status = "queued"
+        now = "queued"
 
         def get(self, job_id):
-            return type("J", (), {"status": self.status, "original_filename": "f", "job_id": job_id})
+            return type("J", (), {"status": self.now, "original_filename": "f", "job_id": job_id})
+
+        def status(self, job_id):
+            return self.now
 
         def act(self, job_id, action, **fields):
-            self.status = {"claim": "running", "cancel": "cancelled", "fail": self.status, "succeed": self.status}[action]
+            self.now = {"claim": "running", "cancel": "cancelled", "fail": self.now, "succeed": self.now}[action]
             return True
 
         def progress(self, job_id, **fields):
