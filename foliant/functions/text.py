@@ -134,4 +134,4 @@ def ocr_language(code: Column) -> Column:
 def splice_after(parts: Column, inserts: Column) -> Column:
     """`parts` with the lines of inserts[i] after line i. inserts: map<int, array<string>>."""
     none = F.array().cast("array<string>")
-    return F.flatten(F.transform(parts, lambda line, i: F.concat(F.array(line), F.coalesce(F.try_element_at(inserts, i.cast("int")), none))))
+    return let(inserts, lambda m: F.flatten(F.transform(parts, lambda line, i: F.concat(F.array(line), F.coalesce(F.try_element_at(m, i.cast("int")), none)))))

@@ -179,7 +179,12 @@ def is_caption_worthy(markdown: Column) -> Column:
 def invariants(original: Column, refined: Column) -> Column:
     """struct(ok, reason): whether a rewritten table keeps the first one's rows and columns; the first reason counts."""
     def facts(t: Column) -> Column:
-        return F.struct(is_html_table(t).alias("html"), column_count(t).alias("width"), html_rows(t).alias("tr"), pipe_rows(t).alias("rows"))
+        def of_parts(v: Column) -> Column:
+            first = F.get(F.filter(v["l"], is_pipe_line), F.lit(0))
+            width = F.when(v["html"], html_columns(t)).otherwise(let(first, lambda x: F.when(x.isNull(), 0).otherwise(F.size(naive_cells(x)))))
+            return F.struct(v["html"], width.alias("width"), F.when(v["html"], html_rows(t)).alias("tr"), F.filter(v["l"], lambda x: strip(x).startswith("|")).alias("rows"))
+
+        return let(F.struct(is_html_table(t).alias("html"), lines(t).alias("l")), of_parts)
 
     width = lambda r: F.when(is_pipe_line(r), F.size(naive_cells(r))).otherwise(0)
 
@@ -198,8 +203,11 @@ def invariants(original: Column, refined: Column) -> Column:
         )
         return let(reason, lambda r: F.struct(r.isNull().alias("ok"), r.alias("reason")))
 
-    blank = strip(F.coalesce(refined, F.lit(""))) == ""
-    return let(F.struct(facts(original).alias("a"), facts(refined).alias("b"), blank.alias("empty")), verdict)
+    def of_both(t: Column) -> Column:
+        blank = strip(F.coalesce(t["b"], F.lit(""))) == ""
+        return let(F.struct(facts(t["a"]).alias("a"), facts(t["b"]).alias("b"), blank.alias("empty")), verdict)
+
+    return let(F.struct(original.alias("a"), refined.alias("b")), of_both)
 
 
 def export(rows: DataFrame, key: str, order: list[str], columns: list[str]) -> DataFrame:

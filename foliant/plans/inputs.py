@@ -18,7 +18,13 @@ def derived(spark: SparkSession, sf_dir: str, sql: str) -> DataFrame:
     """A statement over the tables, whose names stand in angle brackets; DuckDB gets it by for_duckdb()."""
     names = set(re.findall(TABLE, sql))
     named = re.sub(TABLE, r"{\1}", sql.replace("{", "{{").replace("}", "}}"))
-    return spark.sql(named, **{n: read(spark, sf_dir, n) for n in names})
+    return spread(spark.sql(named, **{n: read(spark, sf_dir, n) for n in names}))
+
+
+def spread(rows: DataFrame) -> DataFrame:
+    """`rows` in as many pieces at least as tasks can run at once: small files come as one, which one task would work on."""
+    tasks = rows.sparkSession.sparkContext.defaultParallelism
+    return rows if rows.rdd.getNumPartitions() >= tasks else rows.repartition(tasks)
 
 
 def for_duckdb(sql: str) -> str:
